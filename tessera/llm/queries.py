@@ -1,9 +1,10 @@
 """The queries of this subpackage: each applies one operator to its whole table and derives the digest columns."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import decontaminate, line_dedup, media, token_files
 from .common import table
 
 
@@ -12,7 +13,31 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.read_token_files(token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_text_as_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = media.describe_media(stored)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_token_files": op2_token_files,
+    "op4_media_columns": op4_media_columns,
+    "op8_decontamination": op8_decontamination,
+}
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -31,4 +56,24 @@ judged as (
 select doc_id, count(*) as n_lines, cast(count(*) filter (gone) as bigint) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from judged group by doc_id""",
+    "op8_decontamination": f"""
+with recursive dw as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as w from documents),
+bw as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as w from benchmark),
+windows as (
+  select distinct item_id, least(10, len(w)) as k, array_to_string(w[s + 1 : s + least(10, len(w))], ' ') as g
+  from bw, unnest(range(greatest(1, len(w) - 9))) as t(s) where len(w) > 0),
+grams as (
+  select doc_id, s, k, array_to_string(w[s + 1 : s + k], ' ') as g
+  from dw, (select distinct k from windows) as ks, unnest(range(greatest(0, len(w) - k + 1))) as t(s)),
+found as (select g.doc_id, g.s, g.k, w.item_id from grams g join windows w on g.k = w.k and g.g = w.g),
+hits as (
+  select doc_id, count(distinct p) as n_hit from found, unnest(range(s, s + k)) as t(p) group by doc_id),
+items as (
+  select doc_id, count(*) as n_items, string_agg(name, ',' order by name) as names
+  from (select distinct doc_id, cast(item_id as varchar) as name from found) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(h.n_hit, 0) as bigint) as n_hit, cast(coalesce(i.n_items, 0) as bigint) as n_items,
+  sha256(coalesce(i.names, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
+from dw d left join hits h using (doc_id) left join items i using (doc_id)""",
 }
