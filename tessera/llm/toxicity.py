@@ -9,7 +9,7 @@ The lexicon and the score's curve are learned from labelled rows: entries are sc
 counts, and a logistic curve is fitted on the weighted hits, plain and per word. Scores read texts only.
 
 Defined cases: null and empty texts score as texts without hits; a long text is matched whole; repeated rows score
-alike; without labelled rows of both kinds the lexicon is empty and every score is 0; an empty table gives an empty
+alike; without labelled rows of both kinds, or words that set them apart, the lexicon is empty and every score is 0; an empty table gives an empty
 table; other columns pass through, save those named as a result column.
 """
 
@@ -171,10 +171,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Lexicon(key="none")
     tallied = rows.mapInArrow(_terms(BEGINNINGS), "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    # an entry must set toxic documents apart: the weight is the log-odds, less two of its standard errors
-    weight = odds - 2 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    # an entry must set toxic documents apart: the weight is the log-odds, less 1.5 of its standard errors
+    weight = odds - 1.5 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     found = tallied.where(F.col("bad") >= LEAST_DOCS).select("term", "bad", weight.alias("w")).where(F.col("w") > LEAST_WEIGHT).orderBy(F.desc("bad"), F.desc("w"), "term").limit(ENTRIES)
     entries = {r.term: r.w for r in found.collect()}
+    if not entries:
+        return Lexicon(key="none")
     key = str(hash((tuple(sorted(entries.items())), EXCEPTIONS)))
     sent = spark.sparkContext.broadcast(Lexicon(entries, EXCEPTIONS, None, key))
     measured = rows.mapInArrow(_measured(sent), "plain double, dense double, toxic int").collect()  # three numbers for each of fit_rows
