@@ -12,6 +12,7 @@ closing id is appended to each. Defined cases: null and empty texts hold the clo
 whole; an empty table gives no shard; other columns are not stored.
 """
 
+import re
 import struct
 
 from pyspark.sql import DataFrame, Window
@@ -24,7 +25,7 @@ BLOCK_IDS = 4096
 #: Ids after which a shard is closed; a longer document has a shard of its own size.
 SHARD_IDS = 1 << 20
 #: Words whose ids a worker keeps, before it starts again.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_500_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -82,26 +83,56 @@ class WordEncoder:
     Exact for a tokenizer that drops white space: no token, special string or composition of characters spans it."""
 
     def __init__(self, tokenizer_path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words = Tokenizer.from_file(tokenizer_path), {}
+        spec = json.loads(self.tokenizer.to_str())
+        self.lowers = '"Lowercase"' in json.dumps(spec["normalizer"])
+        first = spec["pre_tokenizer"].get("pretokenizers", [{}])[0]
+        self.splits = first.get("type") == "Split" and first["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.two = re.compile(rb"([A-Za-z]+)([!-&(-/:;=>?@\[-`{}~]+)")
+        self.marks = [(d.encode(), ids[0]) for d in "0123456789" if len(ids := self.tokenizer.encode(d, add_special_tokens=False).ids) == 1]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian u32."""
         import numpy as np
 
-        split = [t.split() for t in texts]
+        # lower-casing ASCII texts beforehand changes no ids, unless it makes a special string; fewer words are left
+        split = [(t.lower() if self.lowers and t.isascii() and b"<|" not in t else t).split() for t in texts]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         words = self.words
-        new = list({w for ws in split for w in ws if w not in words})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in part], add_special_tokens=False)):
-                words[w] = np.asarray(e.ids, "<u4").tobytes()
+        met = set().union(*split).difference(words)
+        # letters before plain punctuation are tokens of their own, and so is the punctuation
+        parts = {w: m.groups() for w in met if (m := self.two.fullmatch(w))} if self.splits else {}
+        new = met.difference(parts).union(*parts.values()).difference(words)
+        # words travel joined by a digit none of them holds: the pre-tokenizer sets each digit apart, white space does the rest
+        for digit, mark in self.marks:
+            if not new:
+                break
+            part = [w for w in new if digit not in w]
+            new = [w for w in new if digit in w]
+            groups = [part[at : at + 128] for at in range(0, len(part), 128)]
+            sep = b" %s " % digit
+            joined = [sep.join(g).decode(errors="replace") for g in groups]
+            for at in range(0, len(groups), 64):
+                for group, e in zip(groups[at : at + 64], self.tokenizer.encode_batch_fast(joined[at : at + 64], add_special_tokens=False)):
+                    ids = np.asarray(e.ids, "<u4")
+                    ends = np.flatnonzero(ids == mark).tolist()
+                    raw, start = ids.tobytes(), 0
+                    if len(ends) != len(group) - 1:
+                        raise ValueError("the tokenizer does not keep words apart")
+                    for w, end in zip(group, [*ends, len(ids)]):
+                        words[w] = raw[4 * start : 4 * end]
+                        start = end + 1
+        for w in new:  # holds every digit
+            words[w] = np.asarray(self.tokenizer.encode(w.decode(errors="replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        for w, (letters, signs) in parts.items():
+            words[w] = words[letters] + words[signs]
         return [b"".join(map(words.__getitem__, ws)) for ws in split]
 
 
@@ -130,8 +161,8 @@ def _packer(tokenizer_path: str, end_id: int, bits: int, shard_ids: int, key: st
         for batch in batches:
             id_type, keys = batch.schema.field(0).type, batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                for doc, got in zip(keys[at : at + 256], encoder.encode([t or b"" for t in texts[at : at + 256]])):
+            for at in range(0, len(texts), 512):
+                for doc, got in zip(keys[at : at + 512], encoder.encode([t or b"" for t in texts[at : at + 512]])):
                     docs.append(doc)
                     ids += (got, end)
                     lens.append(len(got) // 4 + 1)
