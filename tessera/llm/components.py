@@ -1,0 +1,32 @@
+"""Connected components of a graph given by its edges, by rounds of large and small stars."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, label) of every node of edges (a, b): label is the component's least node.
+
+    Each round lets every node hand its neighbours the least node it knows (stars), and is written to the shared folder.
+    Ends when a round changes nothing. A hub's rows are pre-aggregated before they are shuffled."""
+    spark = edges.sparkSession
+    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
+    for _ in range(rounds):
+        # large star: every neighbour above a node is linked to the least of the node and its neighbours
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # small star: every neighbour below a node, and the node, are linked to the least of them
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        now = materialise(small.where("a <> b").distinct(), "edges")
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    else:
+        raise RuntimeError("the components did not settle")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

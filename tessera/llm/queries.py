@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, media, pii, token_files, toxicity
+from . import bpe, decontaminate, line_dedup, media, ngram_join, pii, token_files, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.group_near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_text_as_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = media.describe_media(stored)
@@ -63,6 +67,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_files": op2_token_files,
+    "op3_ngram_join": op3_ngram_join,
     "op4_media_columns": op4_media_columns,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
@@ -87,6 +92,24 @@ judged as (
 select doc_id, count(*) as n_lines, cast(count(*) filter (gone) as bigint) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from judged group by doc_id""",
+    "op3_ngram_join": f"""
+with recursive dw as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[^ \\t-\\r]+') as w from documents),
+sets as materialized (
+  select distinct doc_id, array_to_string(w[s + 1 : s + least(5, len(w))], ' ') as g
+  from dw, unnest(range(greatest(1, len(w) - 4))) as t(s) where len(w) > 0),
+sizes as materialized (select doc_id, count(*) as n from sets group by doc_id),
+pairs as materialized (
+  select a.doc_id as a, b.doc_id as b, count(*) as common
+  from sets a join sets b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as materialized (
+  select a, b from pairs join sizes x on a = x.doc_id join sizes y on b = y.doc_id where 100 * common >= 80 * (x.n + y.n - common)),
+reach as (
+  select doc_id, doc_id as other from dw
+  union
+  select r.doc_id, l.b from reach r join links l on r.other = l.a)
+select d.doc_id, coalesce(any_value(s.n), 0) as n_shingles, min(r.other) as component_id
+from dw d left join sizes s using (doc_id) join reach r using (doc_id) group by d.doc_id""",
     "op8_decontamination": f"""
 with recursive dw as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as w from documents),
