@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, media, ngram_join, pii, token_files, toxicity
+from . import bpe, decontaminate, html_text, licenses, line_dedup, media, ngram_join, pii, token_files, toxicity
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.BASE]
@@ -53,6 +58,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_path():
+    """Documents as files: a directory per source, with two levels of directories below it."""
+    at = F.coalesce(F.col("doc_id"), F.lit(-1))
+    return F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("unknown")), F.floor(at / 1000).cast("bigint"), F.pmod(F.floor(at / 10), F.lit(100)).cast("bigint"), at)
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", document_path().alias("path"), "text")
+    found = licenses.scan(docs)
+    return found.select(F.regexp_extract("path", "[^/]*$", 0).cast("bigint").alias("doc_id"), "path", "lines", "licensed", "license", "score", "origin", "license_path")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, ranks = table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     found = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
@@ -69,9 +86,11 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_ngram_join": op3_ngram_join,
     "op4_media_columns": op4_media_columns,
+    "op5_html_text": op5_html_text,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
+    "op9_licenses": op9_licenses,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
@@ -130,4 +149,8 @@ items as (
 select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(h.n_hit, 0) as bigint) as n_hit, cast(coalesce(i.n_items, 0) as bigint) as n_items,
   sha256(coalesce(i.names, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
 from dw d left join hits h using (doc_id) left join items i using (doc_id)""",
+    "op9_licenses": licenses.oracle_sql(
+        "select '/' || coalesce(source, 'unknown') || '/' || doc_id // 1000 || '/' || (doc_id // 10) % 100 || '/' || doc_id as path, text from documents",
+        "cast(split_part(f.path, '/', -1) as bigint) as doc_id",
+    ),
 }
