@@ -40,10 +40,42 @@ def _encoding(ranks_path: str, pattern: str):
     return cache[key]
 
 
-def _splitter(pattern: str):
-    import regex
-
-    return regex.compile(pattern).findall
+class Splitter:
+    """Pre-tokens of texts; most texts by way of the distinct pieces between their spaces.
+
+    Where every run of white space is one character, a space belongs to what follows it, so that the pieces between
+    spaces, each with its space, are split alike wherever they stand. Other texts are split whole."""
+
+    def __init__(self, pattern: str):
+        import regex
+
+        # white space as Unicode defines it, which leaves out four control characters that Python counts in
+        self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+
+    @staticmethod
+    def pieces(text: str) -> list[str] | None:
+        """What stands between single spaces; None if white space stands together, begins or ends the text."""
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+            return None
+        return text.split(" ")
+
+    def of_piece(self, piece: str) -> list[str]:
+        """The pre-tokens of a piece and the space before it; letters, and letters before points, need no pattern."""
+        if piece.isalpha():
+            return [" " + piece]
+        letters = piece.rstrip(".,;:!?*#%&$")
+        if letters.isalpha():
+            return [" " + letters, piece[len(letters) :]]
+        return self.split(" " + piece)
+
+    def add(self, text: str | None, words: set[str], pieces: set[str]) -> None:
+        """Puts the text's pieces that follow a space into pieces, and its other pre-tokens into words."""
+        if text:
+            if (parts := self.pieces(text)) is None:
+                words.update(self.split(text))
+            else:
+                words.update(self.split(parts[0]))
+                pieces.update(parts[1:])
 
 
 def _to_blob(table) -> bytes:
@@ -113,9 +145,10 @@ def _block_words(pattern: str, buckets: int):
     def run(batches):
         import pyarrow as pa
 
-        split, current, words = _splitter(pattern), None, set()
+        splitter, current, words, pieces = Splitter(pattern), None, set(), set()
 
         def rows():
+            words.update(w for p in pieces for w in splitter.of_piece(p))
             dealt = [(k, _pack_words(x)) for k, x in enumerate(_bucketed(words, buckets)) if x]
             return pa.RecordBatch.from_arrays([pa.array([current] * len(dealt), pa.int64()), pa.array([k for k, _ in dealt], pa.int32()), pa.array([x for _, x in dealt], pa.binary())], names=["block", "bucket", "words"])
 
@@ -124,10 +157,9 @@ def _block_words(pattern: str, buckets: int):
                 if block != current:
                     if words:
                         yield rows()
-                    current, words = block, set()
+                    current, words, pieces = block, set(), set()
                 for text in _from_blob(blob).column(TEXT).to_pylist():
-                    if text:
-                        words.update(split(text))
+                    splitter.add(text, words, pieces)
         if words:
             yield rows()
 
@@ -159,35 +191,46 @@ def _encode_words(ranks_path: str, pattern: str):
 
 def _assemble(pattern: str, buckets: int):
     def run(left, right):
-        from collections import defaultdict
-        from itertools import count
-
         import numpy as np
         import pyarrow as pa
 
-        split, docs, places = _splitter(pattern), [], []
-        index: dict[str, int] = defaultdict(count().__next__)
-        for blob in left.column("blob").to_pylist():
-            table = _from_blob(blob)
-            for text in table.column(TEXT).to_pylist():
-                places.append(np.fromiter(map(index.__getitem__, split(text)), np.int32) if text else None)
-            docs.append(table.drop_columns([TEXT]))
-        ids_of: list = [None] * len(index)
+        splitter = Splitter(pattern)
+        tables = [_from_blob(b) for b in left.column("blob").to_pylist()]
+        words: set[str] = set()
+        pieces: set[str] = set()
+        for table in tables:
+            for chunk in table.column(TEXT).chunks:
+                for text in chunk.to_pylist():
+                    splitter.add(text, words, pieces)
+        words.update(w for p in pieces for w in splitter.of_piece(p))
         sent = {k: (i, n) for k, i, n in zip(*(right.column(c).to_pylist() for c in ("bucket", "ids", "lens")))}
-        for k, words in enumerate(_bucketed(index, buckets)):
-            if words:
-                ids, at = _from_blob(sent[k][0]).column("i").to_numpy().tobytes(), 0
-                for w, n in zip(words, _from_blob(sent[k][1]).column("n").to_pylist(), strict=True):
-                    ids_of[index[w]] = ids[at : at + 4 * n]
+        ids_of: dict[str, bytes] = {}
+        for k, dealt in enumerate(_bucketed(words, buckets)):
+            if dealt:
+                raw, at = _from_blob(sent[k][0]).column("i").to_numpy().tobytes(), 0
+                for w, n in zip(dealt, _from_blob(sent[k][1]).column("n").to_pylist(), strict=True):
+                    ids_of[w] = raw[at : at + 4 * n]
                     at += 4 * n
-        index.clear()
-        get, out = ids_of.__getitem__, []
-        for at in range(0, len(places), 256):
-            part = [b"" if x is None else b"".join(map(get, x.tolist())) for x in places[at : at + 256]]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in part])]).astype(np.int32)
-            out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(part), "<i4"))))
-        table = pa.concat_tables(docs)
-        return table.append_column("ids", pa.chunked_array(out, pa.list_(pa.int32())))
+        del words
+        get = ids_of.__getitem__
+        of_piece = {p: b"".join(map(get, splitter.of_piece(p))) for p in pieces}.__getitem__
+        del pieces
+
+        def ids(text) -> bytes:
+            if not text:
+                return b""
+            if (parts := splitter.pieces(text)) is None:
+                return b"".join(map(get, splitter.split(text)))
+            return b"".join([*map(get, splitter.split(parts[0])), *map(of_piece, parts[1:])])
+
+        out = []
+        for table in tables:
+            for chunk in table.column(TEXT).chunks:
+                part = [ids(t) for t in chunk.to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in part])]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(part), "<i4"))))
+        whole = pa.concat_tables([t.drop_columns([TEXT]) for t in tables])
+        return whole.append_column("ids", pa.chunked_array(out, pa.list_(pa.int32())))
 
     return run
 
@@ -210,24 +253,43 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return unpack(made, docs.drop(text_col), id_col, text_col, {"ids": F.col("ids")})
 
 
+def token_bytes(ranks_path: str):
+    """The token-byte table: all bytes in a row, each id's start and length (-1: no such id)."""
+    import numpy as np
+
+    cache, key = worker_cache(), f"bytes:{ranks_path}"
+    if key not in cache:
+        tokens = sorted((i, t) for t, i in read_ranks(ranks_path).items())
+        starts, lens = np.zeros(tokens[-1][0] + 1, np.int64), np.full(tokens[-1][0] + 1, -1, np.int64)
+        at = 0
+        for i, t in tokens:
+            starts[i], lens[i] = at, len(t)
+            at += len(t)
+        cache[key] = np.frombuffer(b"".join(t for _, t in tokens), np.uint8), starts, lens
+    return cache[key]
+
+
 def _decoder(ranks_path: str):
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        cache, key = worker_cache(), f"bytes:{ranks_path}"
-        if key not in cache:
-            ranks = read_ranks(ranks_path)
-            table: list = [None] * (max(ranks.values()) + 1)
-            for token, i in ranks.items():
-                table[i] = token
-            cache[key] = table
-        get = cache[key].__getitem__
+        pool, starts, lens = token_bytes(ranks_path)
         for batch in batches:
-            lists = batch.column(1)
-            for at in range(0, batch.num_rows, 256):
-                part = lists.slice(at, 256)
-                out = [None if x is None else b"".join(map(get, x)) for x in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, 256).columns, pa.array(out, pa.binary())], names=[ID, TEXT, REST, "decoded"])
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                lists = part.column(1)
+                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(lens) or lens[ids].min() < 0):
+                    raise ValueError("an id that the table does not hold")
+                n = lens[ids]
+                ends = np.cumsum(n)
+                # each output byte's place in the pool: where its token starts, and how far into the token it stands
+                out = pool[np.repeat(starts[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+                counts = np.asarray(lists.value_lengths().fill_null(0))
+                stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+                texts = [out[a:b] if ok else None for a, b, ok in zip(stops[:-1].tolist(), stops[1:].tolist(), lists.is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[ID, TEXT, REST, "decoded"])
 
     return run
 

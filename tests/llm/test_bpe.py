@@ -3,6 +3,8 @@ import hashlib
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tessera.llm import bpe, queries
 
@@ -31,3 +33,21 @@ def test_query_equals_library(spark, tmp_path):
         ids = LIBRARY.encode_ordinary(texts[r.doc_id] or "")
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([" ", "\n", "\t", "a", "B9", "'s", "!", "é", "\x1c", "\x85", "\u3000", "don't", "\u180e", "漢", "  ", "?!", "$a.", "ʰ", "Ⅷ", "²", "a,"]), max_size=12).map("".join))
+def test_splitter_equals_library(text):
+    splitter, words, pieces = bpe.Splitter(PATTERN), set(), set()
+    splitter.add(text, words, pieces)
+    parts = splitter.pieces(text) if text else None
+    split = splitter.split(text) if parts is None else splitter.split(parts[0]) + [w for p in parts[1:] for w in splitter.of_piece(p)]
+    assert set(split) == words | {w for p in pieces for w in splitter.of_piece(p)}
+    assert [i for w in split for i in LIBRARY._core_bpe.encode_single_piece(w.encode())] == LIBRARY.encode_ordinary(text)
+
+
+def test_decode_cases(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [72, 72]), (4, [0])], "doc_id bigint, ids array<int>")
+    assert [r.decoded if r.decoded is None else bytes(r.decoded) for r in bpe.decode(rows, RANKS).orderBy("doc_id").collect()] == [None, b"", LIBRARY.decode_bytes([72, 72]), LIBRARY.decode_bytes([0])]
+    with pytest.raises(Exception, match="does not hold"):
+        bpe.decode(spark.createDataFrame([(1, [999_999])], "doc_id bigint, ids array<int>"), RANKS).collect()
