@@ -7,8 +7,8 @@ that hold terms are licensed; the best licence file of a directory (by score, th
 directory, and a file without a licence takes that of the nearest directory at or above it that has one.
 
 DataFrame operations only. A line can reach the threshold only if it holds a term of a template's prefix (its weightiest
-terms, until the rest has a norm below the threshold; everyday words go last): other lines are dropped before any
-shuffle. The templates' terms are broadcast; their number is fixed by TEMPLATES.
+terms, until the rest has a norm below the threshold; everyday words go last) and if its known terms may outweigh its
+unknown ones: other lines are dropped before any shuffle. The templates' terms are broadcast; their number is fixed by TEMPLATES.
 
 Defined cases: null and empty texts have no lines with terms; null paths are files at the root with an empty name; rows
 that repeat a path are one file with the lines of all; ties go to the first licence by name; an empty table gives an
@@ -88,6 +88,26 @@ def prefix_terms(rows, threshold: float) -> list[str]:
     return sorted(out)
 
 
+def may_reach(terms: str, idf: dict[str, float], unknown: float, threshold: float):
+    """Whether a line's known terms may outweigh its unknown ones enough for the threshold: a bound within the row.
+
+    The cosine squared is at most K / (K + U), with K and U the squared weights of known and unknown terms. Of a term held
+    t times, (1 + ln t)^2 <= 1.5 t bounds its part of K, and 1 its part of U from below."""
+    groups: dict[float, list[str]] = {}
+    for t, w in idf.items():
+        groups.setdefault(w, []).append(t)
+
+    def square(t):
+        out = F.lit(0.0)
+        for w, names in sorted(groups.items()):
+            out = F.when(t.isin(names), F.lit(1.5 * w * w)).otherwise(out)
+        return out
+
+    known = F.aggregate(terms, F.lit(0.0), lambda s, t: s + square(t))
+    strange = F.size(F.array_distinct(F.filter(terms, lambda t: ~t.isin(sorted(idf)) & (t != "")))) * F.lit(unknown * unknown)
+    return known * (1 + 1e-9) >= threshold * threshold * (known + strange)
+
+
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """A row per path: path, lines (with terms), licensed (lines), license, score, origin (own, inherited, none), license_path."""
     spark = files.sparkSession
@@ -96,7 +116,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     held = files.select(F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")).alias("path"), F.xxhash64(F.col(f"`{text_col}`")).alias("copy"), F.split(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), "\n", -1).alias("texts"))
     lookup = F.array(*[F.lit(t) for t in prefix_terms(rows, threshold)])
     lines = held.select("path", "copy", F.posexplode("texts").alias("pos", "line"))
-    lines = lines.select("path", "copy", "pos", F.split("line", "[^a-z0-9]+").alias("terms")).where(F.arrays_overlap("terms", lookup))
+    lines = lines.select("path", "copy", "pos", F.split("line", "[^a-z0-9]+").alias("terms")).where(F.arrays_overlap("terms", lookup)).where(may_reach("terms", idf, unknown, threshold))
 
     # the lines that may reach the threshold, as bags of terms
     each = lines.select("path", "copy", "pos", F.posexplode("terms").alias("at", "term")).where("term <> ''").distinct()
