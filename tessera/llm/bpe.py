@@ -32,7 +32,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _encoding(ranks_path: str, pattern: str):
-    cache, key = worker_cache(), f"bpe:{ranks_path}:{pattern}"
+    cache, key = worker_cache("bpe"), f"bpe:{ranks_path}:{pattern}"
     if key not in cache:
         import tiktoken
 
@@ -257,7 +257,7 @@ def token_bytes(ranks_path: str):
     """The token-byte table: all bytes in a row, each id's start and length (-1: no such id)."""
     import numpy as np
 
-    cache, key = worker_cache(), f"bytes:{ranks_path}"
+    cache, key = worker_cache("bpe"), f"bytes:{ranks_path}"
     if key not in cache:
         tokens = sorted((i, t) for t, i in read_ranks(ranks_path).items())
         starts, lens = np.zeros(tokens[-1][0] + 1, np.int64), np.full(tokens[-1][0] + 1, -1, np.int64)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ID, TEXT, REST = "__id", "__text", "__rest"
+BATCH_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,10 +35,19 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Rows that hold whole texts go to Python workers in batches of BATCH_ROWS at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def pack(docs: DataFrame, id_col: str, text_col: str, own: list[str]) -> DataFrame:
     """Id, text and the other columns as one struct, so that no name of the input meets a name of ours.
 
     Input columns named as one of ``own`` give way to the operator's result of that name."""
+    in_small_batches(docs.sparkSession)
     taken = {x.lower() for x in (id_col, text_col, *own)}
     rest = [c for c in docs.columns if c.lower() not in taken]
     packed = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(None).cast("int").alias("__none"))
@@ -56,8 +66,24 @@ def unpack(df: DataFrame, like: DataFrame, id_col: str, text_col: str, own: dict
     return df.select(*out, *[v.alias(k) for k, v in own.items()])
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker, across tasks."""
+def worker_cache(owner: str) -> dict:
+    """A dict that lives across the tasks of a Python worker, for one operator at a time: the next operator's call frees it."""
     import pyspark
 
-    return pyspark.__dict__.setdefault("_tessera_worker_cache", {})
+    held = pyspark.__dict__.get("_tessera_worker_cache")
+    if held is None or held[0] != owner:
+        pyspark._tessera_worker_cache = held = (owner, {})
+        trim()
+    return held[1]
+
+
+def trim() -> None:
+    """Hands memory that Python has freed back to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass

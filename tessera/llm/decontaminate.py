@@ -17,7 +17,7 @@ result column.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, REST, TEXT, materialise, pack, unpack
+from .common import ID, REST, TEXT, materialise, pack, unpack, worker_cache
 
 #: Bytes of item text in one broadcast block.
 BLOCK_BYTES = 16 << 20
@@ -36,6 +36,7 @@ def _counter(vocabulary):
 
         import pyarrow as pa
 
+        worker_cache("contamination")
         known, found = vocabulary.value, Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -79,6 +80,7 @@ def _matcher(block, width: int):
     def run(batches):
         import pyarrow as pa
 
+        worker_cache("contamination")
         items, names, prefixes = block.value
         for batch in batches:
             ids, sizes, spans, found = batch.column(0), [], [], []

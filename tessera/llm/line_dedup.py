@@ -12,7 +12,7 @@ pass through, save those named as a result column.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, REST, TEXT, materialise, pack, unpack
+from .common import ID, REST, TEXT, materialise, pack, unpack, worker_cache
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: A hot line's rows are dealt over so many parts in the join with the frequent keys.
@@ -24,6 +24,8 @@ def _exploder(min_chars: int):
         import pyarrow as pa
         import xxhash
 
+        worker_cache("lines")
+
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             ids, rows, keys, places = [], [], [], []
@@ -48,6 +50,8 @@ def _exploder(min_chars: int):
 def _rewrite(batches):
     import pyarrow as pa
 
+    worker_cache("lines")
+
     for batch in batches:
         kept, lines, dropped = [], [], []
         for text, places in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):

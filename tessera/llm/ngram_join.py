@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _blocker, _from_blob, _to_blob
-from .common import ID, REST, TEXT, materialise, partitions, worker_cache
+from .common import ID, REST, TEXT, in_small_batches, materialise, partitions, worker_cache
 from .components import components
 from .signature_tree import join as tree_join
 
@@ -33,7 +33,7 @@ def _hashes(words: list[bytes]):
     import numpy as np
     import xxhash
 
-    known = worker_cache().setdefault("ngram:words", {})
+    known = worker_cache("ngram").setdefault("ngram:words", {})
     if len(known) > CACHED_WORDS:
         known.clear()
     for w in set(words).difference(known):
@@ -331,6 +331,7 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """A row per document: id, row (xxhash64 of its text), n_shingles and component_id, the least id of its component."""
     spark = docs.sparkSession
     n = partitions(spark)
+    in_small_batches(spark)
     text = F.col(f"`{text_col}`")
     base = docs.select(F.col(f"`{id_col}`").alias(ID), text.cast("binary").alias(TEXT), F.xxhash64(text).alias(REST))
     id_type = base.schema[ID].dataType.simpleString()

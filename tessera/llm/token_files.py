@@ -18,7 +18,7 @@ import struct
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, worker_cache
+from .common import in_small_batches, materialise, partitions, worker_cache
 
 MAGIC = b"TSRPACK1"
 BLOCK_IDS = 4096
@@ -142,7 +142,7 @@ def _packer(tokenizer_path: str, end_id: int, bits: int, shard_ids: int, key: st
         import pyarrow as pa
         from pyspark import TaskContext
 
-        cache = worker_cache()
+        cache = worker_cache("tokens")
         encoder = cache.get(key) or cache.setdefault(key, WordEncoder(tokenizer_path))
         part, end = TaskContext.get().partitionId(), np.asarray([end_id], "<u4").tobytes()
         docs, lens, ids, held, before, shard = [], [], [], 0, 0, 0
@@ -179,6 +179,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     """The shard table, written and read back: part, shard, before (ids of this part before it), n_ids, docs, lens, image."""
     from tokenizers import Tokenizer
 
+    in_small_batches(docs.sparkSession)
     bits = bits_for(max(Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()

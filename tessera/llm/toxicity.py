@@ -50,7 +50,7 @@ def _fold_table() -> dict[int, str]:
             self[code] = out = plain if plain.isalnum() else "" if unicodedata.category(c) in ("Cf", "Mn") else " "
             return out
 
-    return worker_cache().setdefault("toxicity:fold", Table())
+    return worker_cache("toxicity").setdefault("toxicity:fold", Table())
 
 
 def _letters(m) -> str:
@@ -61,7 +61,7 @@ def _letters(m) -> str:
 
 
 def fold(text: str) -> str:
-    signs = worker_cache().setdefault("toxicity:signs", re.compile(rf"[{re.escape(''.join(SUBSTITUTES))}]+(?=[^\W\d_])"))
+    signs = worker_cache("toxicity").setdefault("toxicity:signs", re.compile(rf"[{re.escape(''.join(SUBSTITUTES))}]+(?=[^\W\d_])"))
     return f" {' '.join(signs.sub(_letters, text).translate(_fold_table()).split())} "
 
 
@@ -89,7 +89,7 @@ class Lexicon:
     def hits(self, text: str | None) -> tuple[float, float]:
         """The sum of the weights of the words that match, and that sum per 100 words."""
         folded = fold(text or "")
-        cache, key = worker_cache(), f"toxicity:{self.key}"
+        cache, key = worker_cache("toxicity"), f"toxicity:{self.key}"
         machine = cache.get(key) or cache.setdefault(key, self.automaton())
         if not len(machine):
             return 0.0, 0.0
