@@ -1,30 +1,14 @@
-"""What the operators share: the shared folder, input tables, column packing and worker caches."""
-
-import os
-import tempfile
-import uuid
+"""What the operators share: input tables, column packing and worker caches."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ID, TEXT, REST = "__id", "__text", "__rest"
-BATCH_ROWS = 1024
-
+from ..storage import materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["ID", "REST", "TEXT", "in_small_batches", "materialise", "pack", "partitions", "shared_dir", "table", "trim", "unpack", "worker_cache"]
 
-
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df once to the shared folder and read it back: a cut in the lineage that outlives any executor."""
-    path = f"{shared_dir(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+ID, TEXT, REST = "__id", "__text", "__rest"
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .bpe import _blocker, _from_blob, _to_blob
 from .common import ID, REST, TEXT, in_small_batches, materialise, partitions, worker_cache
-from .components import components
+from ..operators.components import components
 from .signature_tree import join as tree_join
 
 BLOCK_BYTES, LEAST_BYTES = 32 << 20, 256 << 10

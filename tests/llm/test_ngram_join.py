@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import components, ngram_join, signature_tree
+from tessera.llm import ngram_join, signature_tree
 
 SCHEMA = "doc_id bigint, text string, n_shingles int, component_id string, lang string"
 
@@ -98,15 +98,3 @@ def test_tree_join(found, percent, cross):
             if i != j and 100 * len(a & b) >= percent * len(a | b):
                 want.join(i, j)
     assert [links.root(i) for i in range(len(sets))] == [want.root(i) for i in range(len(sets))]
-
-
-def test_components(spark):
-    rng = np.random.default_rng(3)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, i) for i in range(5001, 5100)] + [(7, 7)]
-    links = signature_tree.Links(6000)
-    for a, b in edges:
-        links.join(a, b)
-    got = components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
-    assert len(got) == len({r.node for r in got})
-    assert all(r.label == links.root(r.node) for r in got)
-    assert {r.node for r in got} == {x for e in edges for x in e if e[0] != e[1]}
