@@ -290,3 +290,38 @@ def early_stopping(history: DataFrame, patience: int, by: list[str], epoch: str
 
 def probability_columns(logits: str = "logits") -> dict[str, Column]:
     return {"probabilities": softmax(logits), "predicted": argmax(logits)}
+
+
+def train_head(rows: DataFrame, classes: int, label: str = "label", features: str = "features", weighted: bool = True, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, bias) of a linear head over stored features, by multinomial regression; rows of unknown labels are left
+    out, and classes weigh alike if asked for."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    held = rows.where(F.col(label) >= 0)
+    sizes = held.groupBy(label).agg((1.0 / F.count(F.lit(1))).alias("__w"))
+    x = held.join(F.broadcast(sizes), label).select(F.col(label).cast("double").alias("y"), array_to_vector(doubles(features)).alias("x"), F.when(F.lit(weighted), F.col("__w")).otherwise(1.0).alias("w"))
+    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", family="multinomial", regParam=penalty).fit(x)
+    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    pad = classes - len(w)
+    return np.vstack([w, np.zeros((pad, w.shape[1]))]), np.concatenate([b, np.full(pad, -1e9)])
+
+
+def apply_head(rows: DataFrame, head: np.ndarray, bias: np.ndarray, features: str = "features") -> DataFrame:
+    """rows with logits and predicted."""
+    from ..functions.vector import dot
+
+    logits = F.array(*[dot(features, F.array(*[F.lit(float(v)) for v in w])) + F.lit(float(b)) for w, b in zip(head, bias)])
+    return rows.withColumn("logits", logits).withColumn("predicted", argmax("logits"))
+
+
+def lookalikes(manifest: DataFrame, pairs: list[tuple[str, str, float]], examples: int = 4, seed: int = 42) -> DataFrame:
+    """Example crops of unknown classes and of the known classes they look like: (unknown, known, auroc, side, columns)."""
+    from .sampling import shuffled
+
+    order = Window.partitionBy("unknown", "side").orderBy(*shuffled(seed, "relative_path"))
+    listed = manifest.sparkSession.createDataFrame(pairs, "unknown string, known string, auroc double")
+    sides = [listed.withColumn("side", F.lit(s)).withColumn("class", F.col(s)) for s in ("unknown", "known")]
+    wanted = sides[0].unionByName(sides[1])
+    rows = manifest.where(F.col("split").isin("test", "test_unknown")).join(F.broadcast(wanted), "class")
+    return rows.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= examples).drop("__k")
