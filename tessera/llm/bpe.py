@@ -18,7 +18,7 @@ import base64
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, REST, TEXT, pack, partitions, unpack, worker_cache
+from .common import ID, REST, TEXT, pack, partitions, trim, unpack, worker_cache
 
 #: UTF-8 bytes of text at most aimed at in one block; small inputs have a block for each shuffle partition.
 BLOCK_BYTES, LEAST_BYTES = 32 << 20, 256 << 10
@@ -145,6 +145,7 @@ def _block_words(pattern: str, buckets: int):
     def run(batches):
         import pyarrow as pa
 
+        worker_cache("bpe")
         splitter, current, words, pieces = Splitter(pattern), None, set(), set()
 
         def rows():
@@ -162,6 +163,8 @@ def _block_words(pattern: str, buckets: int):
                     splitter.add(text, words, pieces)
         if words:
             yield rows()
+        del words, pieces
+        trim()
 
     return run
 
@@ -194,6 +197,7 @@ def _assemble(pattern: str, buckets: int):
         import numpy as np
         import pyarrow as pa
 
+        worker_cache("bpe")
         splitter = Splitter(pattern)
         tables = [_from_blob(b) for b in left.column("blob").to_pylist()]
         words: set[str] = set()
@@ -211,10 +215,12 @@ def _assemble(pattern: str, buckets: int):
                 for w, n in zip(dealt, _from_blob(sent[k][1]).column("n").to_pylist(), strict=True):
                     ids_of[w] = raw[at : at + 4 * n]
                     at += 4 * n
-        del words
-        get = ids_of.__getitem__
-        of_piece = {p: b"".join(map(get, splitter.of_piece(p))) for p in pieces}.__getitem__
-        del pieces
+        del words, sent
+        get, joined = ids_of.__getitem__, {}
+        while pieces:
+            p = pieces.pop()
+            joined[p] = b"".join(map(get, splitter.of_piece(p)))
+        of_piece = joined.__getitem__
 
         def ids(text) -> bytes:
             if not text:
@@ -229,8 +235,12 @@ def _assemble(pattern: str, buckets: int):
                 part = [ids(t) for t in chunk.to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in part])]).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(part), "<i4"))))
-        whole = pa.concat_tables([t.drop_columns([TEXT]) for t in tables])
-        return whole.append_column("ids", pa.chunked_array(out, pa.list_(pa.int32())))
+        whole = pa.concat_tables([t.drop_columns([TEXT]) for t in tables]).append_column("ids", pa.chunked_array(out, pa.list_(pa.int32())))
+        ids_of.clear()
+        joined.clear()
+        del tables, table, chunk, out
+        trim()
+        return whole
 
     return run
 

@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _blocker, _from_blob, _to_blob
-from .common import ID, REST, TEXT, in_small_batches, materialise, partitions, worker_cache
+from .common import ID, REST, TEXT, in_small_batches, materialise, partitions, trim, worker_cache
 from ..operators.components import components
 from .signature_tree import join as tree_join
 
 BLOCK_BYTES, LEAST_BYTES = 32 << 20, 256 << 10
 #: Tokens of one task's part of a group.
 PART_TOKENS = 4 << 20
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 
 
 def _hashes(words: list[bytes]):
@@ -124,6 +124,8 @@ def _block_tokens(width: int, percent: int, buckets: int):
                 texts += _from_blob(blob).column(TEXT).to_pylist()
         if texts:
             yield from rows()
+        del texts
+        trim()
 
     return run
 
@@ -182,10 +184,11 @@ def _keep_linkable(width: int, percent: int, buckets: int):
             else:
                 seen.add(key)
                 sets.append(b.sets[at].tobytes())
-        whole = pa.concat_tables([t.drop_columns([TEXT]) for t in tables])
-        return (
-            whole.append_column("n", pa.array(b.sizes, pa.int64())).append_column("key", pa.array(b.keys, pa.binary())).append_column("set", pa.array(sets, pa.binary()))
-        )
+        whole = pa.concat_tables([t.drop_columns([TEXT]) for t in tables]).append_column("n", pa.array(b.sizes, pa.int64())).append_column("key", pa.array(b.keys, pa.binary()))
+        whole = whole.append_column("set", pa.array(sets, pa.binary()))
+        del b, tables, sets, shared
+        trim()
+        return whole
 
     return run
 
