@@ -70,22 +70,25 @@ def spare(n: int) -> int:
 
 
 class Block:
-    """The distinct sets of a block's documents, in order of first sight, and their first prefixes by bucket."""
+    """The distinct sets of a block's documents, in order of their keys, and their first prefixes by bucket.
+
+    Both passes meet the documents of a block in orders of their own; the order of keys is the same in each."""
 
     def __init__(self, texts, width: int, percent: int, buckets: int):
         import numpy as np
         import xxhash
 
-        self.keys, self.sizes, self.sets, index = [], [], [], {}
+        self.keys, self.sizes, found = [], [], {}
         for text in texts:
             s = shingle_set(text, width)
             key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
             self.keys.append(key)
             self.sizes.append(len(s))
-            if key is not None and key not in index:
-                index[key] = len(self.sets)
-                self.sets.append(s)
-        self.index, self.tags = index, np.frombuffer(b"".join(k[:8] for k in index), "<u8")
+            if key is not None:
+                found.setdefault(key, s)
+        ordered = sorted(found)
+        self.index, self.sets = {k: i for i, k in enumerate(ordered)}, [found[k] for k in ordered]
+        self.tags = np.frombuffer(b"".join(k[:8] for k in ordered), "<u8")
         heads = [s[: min(len(s), len(s) - need(len(s), percent) + spare(len(s)))] for s in self.sets]
         tokens = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])

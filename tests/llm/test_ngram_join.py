@@ -98,3 +98,29 @@ def test_tree_join(found, percent, cross):
             if i != j and 100 * len(a & b) >= percent * len(a | b):
                 want.join(i, j)
     assert [links.root(i) for i in range(len(sets))] == [want.root(i) for i in range(len(sets))]
+
+
+def test_a_block_does_not_depend_on_the_order_of_its_documents():
+    texts = [t.encode() for _, t in corpus(4, 120)]
+    one, other = ngram_join.Block(texts, 5, 80, 7), ngram_join.Block(texts[::-1], 5, 80, 7)
+    assert (one.tokens == other.tokens).all() and (one.owner == other.owner).all() and (one.cuts == other.cuts).all()
+    assert one.keys == other.keys[::-1] and one.index == other.index
+
+
+def test_many_partitions_against_sql(spark, tmp_path):
+    """The whole of sf0.01 in many small input parts, so that the blobs of a block come in no fixed order."""
+    import duckdb
+
+    from tessera.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(60).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = sorted(con.execute(queries.ORACLE_SQL["op3_ngram_join"]).fetchall())
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = queries.op3_ngram_join(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
