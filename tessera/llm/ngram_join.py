@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .bpe import _blocker, _from_blob, _to_blob
 from .common import ID, REST, TEXT, in_small_batches, materialise, partitions, trim, worker_cache
 from ..operators.components import components
+from .signature_tree import Links
 from .signature_tree import join as tree_join
 
 BLOCK_BYTES, LEAST_BYTES = 32 << 20, 256 << 10
@@ -255,7 +256,8 @@ def _sum_counts(batches):
 
 
 def _bind(percent: int, buckets: int):
-    """Edges between sets of a block that share a rare prefix token, and each such token with the block's least key."""
+    """Edges from each set of a block to the least of those that rare prefix tokens bind it to, and that least with each
+    such token that other blocks hold too."""
 
     def run(left, right):
         import numpy as np
@@ -285,18 +287,26 @@ def _bind(percent: int, buckets: int):
         order = np.lexsort((o, t))
         t, o = t[order], o[order]
         starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        first = np.repeat(o[starts], np.diff(np.concatenate([starts, [len(t)]])))
-        pairs = np.unique(np.stack([o, first])[:, o != first], axis=1).T.tolist()
+        sizes = np.diff(np.concatenate([starts, [len(t)]]))
+        first = np.repeat(o[starts], sizes)
+        links = Links(len(sets))
+        for i, j in np.unique(np.stack([o, first])[:, o != first], axis=1).T.tolist():
+            links.join(i, j)
+        roots = [links.root(i) for i in range(len(sets))]
+        stars = [(i, r) for i, r in enumerate(roots) if i != r]
+        # only tokens that sets of other blocks hold too can bind blocks; the same root stands for all sets bound here
+        abroad = total[np.searchsorted(tokens, t[starts])] > np.unique(np.concatenate(sets), return_counts=True)[1][np.searchsorted(tokens, t[starts])]
+        heads = starts[abroad]
         return pa.concat_tables([
-            pa.table({"token": pa.array(t[starts].view(np.int64)), "a": pa.array([keys[i] for i in o[starts].tolist()], pa.binary()), "b": pa.nulls(len(starts), pa.binary())}),
-            pa.table({"token": pa.nulls(len(pairs), pa.int64()), "a": pa.array([keys[i] for i, _ in pairs], pa.binary()), "b": pa.array([keys[j] for _, j in pairs], pa.binary())}),
+            pa.table({"token": pa.array(t[heads].view(np.int64)), "a": pa.array([keys[roots[i]] for i in o[heads].tolist()], pa.binary()), "b": pa.nulls(len(heads), pa.binary())}),
+            pa.table({"token": pa.nulls(len(stars), pa.int64()), "a": pa.array([keys[i] for i, _ in stars], pa.binary()), "b": pa.array([keys[j] for _, j in stars], pa.binary())}),
         ])
 
     return run
 
 
 def _join_groups(percent: int):
-    """Spanning links of each (label, i, j): all of side 0 among themselves, or side 0 against side 1."""
+    """Links of each (label, i, j), as stars of components: all of side 0 among themselves, or side 0 against side 1."""
 
     def run(batches):
         import numpy as np
@@ -306,7 +316,10 @@ def _join_groups(percent: int):
             sets = [np.frombuffer(s, "<u8") for _, _, s in held]
             left = [i for i, (side, _, _) in enumerate(held) if side == 0]
             right = [i for i, (side, _, _) in enumerate(held) if side == 1] if cross else None
-            return [(held[i][1], held[j][1]) for i, j in tree_join(sets, left, right, percent)]
+            bound = Links(len(sets))
+            for i, j in tree_join(sets, left, right, percent):
+                bound.join(i, j)
+            return [(held[i][1], held[r][1]) for i in range(len(sets)) if (r := bound.root(i)) != i]  # a star for each component
 
         def batch_of(pairs):
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
