@@ -15,6 +15,7 @@ named as a result column.
 
 import math
 import re
+from functools import lru_cache
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -321,6 +322,7 @@ def _made_up(rng) -> tuple[str, list[bool]]:
     return f"<html><head><title>{say(2, 5)}</title></head><body>{out}</body></html>", truth
 
 
+@lru_cache
 def train(pages: int = 500, seed: int = 11) -> list[float]:
     """Weights of the classifier: logistic regression over the blocks of made-up pages."""
     import random

@@ -12,6 +12,7 @@ as a result column.
 """
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -220,6 +221,7 @@ def _made_up(rng) -> tuple[str, list[tuple[str, int, int]]]:
     return text, spans
 
 
+@lru_cache
 def train(sentences: int = 700, rounds: int = 5, seed: int = 7) -> dict[str, list[float]]:
     """Weights by feature, one for each kind: an averaged structured perceptron over made-up sentences."""
     import random
