@@ -53,13 +53,13 @@ def test_dataset_commands(spark, tmp_path):
 def test_crown_metrics_command(spark, tmp_path):
     def layer(name, boxes):
         ring = lambda a, b, c, d: [[a, b], [c, b], [c, d], [a, d], [a, b]]
-        doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"species": "Dipteryx x", "confidence": 0.9 - i / 10}, "geometry": {"type": "Polygon", "coordinates": [ring(*b)]}} for i, b in enumerate(boxes)]}
+        doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"species": "Oak x", "confidence": 0.9 - i / 10}, "geometry": {"type": "Polygon", "coordinates": [ring(*b)]}} for i, b in enumerate(boxes)]}
         (tmp_path / name).write_text(json.dumps(doc))
         return str(tmp_path / name)
 
     p, t = layer("p.geojson", [(0, 0, 10, 10), (1, 0, 11, 10), (50, 50, 60, 60)]), layer("t.geojson", [(0, 0, 10, 9), (30, 30, 40, 40)])
     for mode in ("iou", "centroid"):
-        r = registry.run("crown-metrics", spark, predictions=p, ground_truth=t, species_pattern="dipteryx", mode=mode).first()
+        r = registry.run("crown-metrics", spark, predictions=p, ground_truth=t, species_pattern="oak", mode=mode).first()
         assert (r.true_positive, r.false_positive, r.false_negative, r.precision) == (1, 2, 1, 0.3333)
 
 
