@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, REST, TEXT, pack, unpack, worker_cache
+from .common import ID, REST, TEXT, in_small_batches, materialise, pack, unpack, worker_cache
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hash of their id.
 FIT_ROWS = 20_000
@@ -163,8 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(fit_rows)  # bounded: fit_rows pairs
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("text", "toxic")
+    # bounded: the texts of fit_rows ids; written once, so that the documents are read once
+    rows = materialise(texts.join(F.broadcast(chosen), "id").select("text", "toxic"), "labelled")
     spark = docs.sparkSession
+    in_small_batches(spark)
     counts = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = counts.get(1, 0), counts.get(0, 0)
     if not bad or not good:
