@@ -169,7 +169,8 @@ def test_shapes():
 def star(seed, n=9):
     rng = random.Random(seed)
     cx, cy = rng.uniform(-3, 3), rng.uniform(-3, 3)
-    return [(cx + rng.uniform(1, 6) * math.cos(2 * math.pi * k / n), cy + rng.uniform(1, 6) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    radii = [rng.uniform(1, 6) for _ in range(n)]  # one for each direction: the outline does not cross itself
+    return [(cx + r * math.cos(2 * math.pi * k / n), cy + r * math.sin(2 * math.pi * k / n)) for k, r in enumerate(radii)]
 
 
 @settings(max_examples=40, deadline=None)
@@ -186,6 +187,22 @@ def test_polygon_overlap_by_sampling(a, b):
     assert got == pytest.approx(share * 324, abs=4 * 324 * math.sqrt(max(share, 0.002) / 1500) + 1)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(3, 9))
+def test_convex_overlap_equals_triangles(seed, n):
+    p, q = star(seed), gon(n, 4.0, seed % 7)
+    assert polygons.is_convex(q) and polygons.is_convex(q[::-1]) and not polygons.is_convex([(0, 0), (4, 0), (1, 1), (0, 4)])
+    total = sum(abs(polygons.ring_area(part)) for t in polygons.triangles(p) for u in [list(t)] for part in [clip_by(u, q)])
+    assert polygons.overlap_area(p, q) == pytest.approx(total, abs=1e-9) == polygons.overlap_area(q[::-1], p)
+
+
+def clip_by(part, convex):
+    for (x1, y1), (x2, y2) in zip(convex, convex[1:] + convex[:1]):
+        nx, ny = y2 - y1, x1 - x2
+        part = polygons.clip_half(part, nx, ny, nx * x1 + ny * y1) if part else part
+    return part
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6))
 def test_clip_and_contours(seed):
