@@ -87,18 +87,18 @@ def _tiles(spark, sf_dir):
 
 
 def visible_fraction(spark, sf_dir):
-    return rounded(spatial.tile_cover(_tiles(spark, sf_dir), boxes(spark, sf_dir).where("id % 40 = 0"), CELL).select("plot", "tile", "visible", F.col("crowns").cast("bigint").alias("crowns")))
+    return rounded(spatial.tile_cover(_tiles(spark, sf_dir), boxes(spark, sf_dir), CELL).select("plot", "tile", "visible", F.col("crowns").cast("bigint").alias("crowns")))
 
 
 def tile_classify(spark, sf_dir):
-    covered = spatial.tile_cover(_tiles(spark, sf_dir), boxes(spark, sf_dir).where("id % 40 = 0"), CELL)
+    covered = spatial.tile_cover(_tiles(spark, sf_dir), boxes(spark, sf_dir), CELL)
     return spatial.classify_tiles(covered).select("plot", "tile", "kind")
 
 
 def _fragments(spark, sf_dir):
     """Boxes spread over a wide plane, so that they form many components."""
     far = lambda c, m: (F.col(c) + F.col("id") % m * 40).alias(c)
-    return boxes(spark, sf_dir).where("id % 5 = 0").select("id", "confidence", far("minx", 97), far("miny", 89), far("maxx", 97), far("maxy", 89))
+    return boxes(spark, sf_dir).select("id", "confidence", far("minx", 97), far("miny", 89), far("maxx", 97), far("maxy", 89))
 
 
 def dissolve(spark, sf_dir):
@@ -166,8 +166,7 @@ def polygon_clip(spark, sf_dir):
 
 def yolo_lines(spark, sf_dir):
     """Label lines of boxes on their tiles, kept from half a box on."""
-    b = boxes(spark, sf_dir).where("id % 40 = 0")
-    pairs = spatial.grid_join(_tiles(spark, sf_dir), b, CELL, ("plot",))
+    pairs = spatial.grid_join(_tiles(spark, sf_dir), boxes(spark, sf_dir), CELL, ("plot",))
     x1, y1 = F.greatest("l.minx", "r.minx"), F.greatest("l.miny", "r.miny")
     x2, y2 = F.least("l.maxx", "r.maxx"), F.least("l.maxy", "r.maxy")
     share = (x2 - x1) * (y2 - y1) / ((F.col("r.maxx") - F.col("r.minx")) * (F.col("r.maxy") - F.col("r.miny")))
