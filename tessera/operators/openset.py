@@ -265,16 +265,56 @@ def domain_auc(rows: DataFrame, domain: str = "domain", features: str = "feature
 
 
 def supervised_contrastive_loss(rows: DataFrame, temperature: float = 0.1, id_col: str = "id", label: str = "label", features: str = "features") -> DataFrame:
-    """One row: anchors with a positive, and the mean loss over them. For a batch of training size: the batch is broadcast."""
-    from ..functions.vector import dot
+    """One row: anchors with a positive, and the mean loss over them, against all rows as one batch.
+
+    The rows are broadcast in blocks of BLOCK_ROWS; the maximum, the sum of exponentials and the sum over positives of each
+    anchor are carried from block to block. The work grows with the square of the rows."""
+    spark, blocks, held = rows.sparkSession, [], []
+    batch = rows.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("label"), doubles(features).alias("f"))
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in batch.schema) + ", most double, total double, positive double, n bigint"
+
+    def seen(block):
+        def run(batches):
+            import pyarrow as pa
 
-    batch = rows.select(F.col(id_col).alias("id"), F.col(label).alias("label"), doubles(features).alias("f"))
-    pairs = batch.alias("a").join(F.broadcast(batch.alias("b")), F.col("a.id") != F.col("b.id"))
-    sims = pairs.select(F.col("a.id").alias("id"), (F.col("a.label") == F.col("b.label")).alias("same"), (dot("a.f", "b.f") / F.lit(temperature)).alias("s"), (dot("a.f", "a.f") / F.lit(temperature)).alias("own"))
-    most = sims.groupBy("id").agg(F.greatest(F.max("s"), F.max("own")).alias("most"))
-    shifted = sims.join(most, "id").withColumn("s", F.col("s") - F.col("most"))
-    each = shifted.groupBy("id").agg(F.log(F.sum(F.exp("s")) + 1e-12).alias("log_all"), F.avg(F.when(F.col("same"), F.col("s"))).alias("positive"))
-    return each.where("positive is not null").agg(F.count(F.lit(1)).alias("anchors"), (-F.avg(F.col("positive") - F.col("log_all"))).alias("loss"))
+            ids, labels, b = block.value
+            for batch in batches:
+                for start in range(0, batch.num_rows, 512):
+                    part = batch.slice(start, 512)
+                    if not part.num_rows:
+                        continue
+                    mine, y = np.asarray(part.column(0).to_pylist()), part.column(1).to_numpy(zero_copy_only=False)
+                    x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    most, total, positive, n = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7))
+                    for at in range(0, len(b), 4096):
+                        s = x @ b[at : at + 4096].T / temperature
+                        other = mine[:, None] != ids[None, at : at + 4096]
+                        same = other & (y[:, None] == labels[None, at : at + 4096])
+                        top = np.maximum(most, s.max(axis=1))
+                        total = total * np.exp(most - top) + np.where(other, np.exp(s - top[:, None]), 0.0).sum(axis=1)
+                        most, positive, n = top, positive + np.where(same, s, 0.0).sum(axis=1), n + same.sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(most), pa.array(total), pa.array(positive), pa.array(n, pa.int64())], names=part.schema.names)
+
+        return run
+
+    def send():
+        ids, labels, x = zip(*held)
+        blocks.append(spark.sparkContext.broadcast((np.asarray(ids), np.array(labels, float), np.array(x))))
+        held.clear()
+
+    for r in batch.toLocalIterator():
+        held.append(tuple(r))
+        if len(held) >= BLOCK_ROWS:
+            send()
+    if held:
+        send()
+    # an anchor's own product is the least that the maximum may be
+    own = F.aggregate("f", F.lit(0.0), lambda t, v: t + v * v) / F.lit(float(temperature))
+    out = batch.select("*", own.alias("most"), F.lit(0.0).alias("total"), F.lit(0.0).alias("positive"), F.lit(0).cast("bigint").alias("n"))
+    for block in blocks:
+        out = out.mapInArrow(seen(block), schema)
+    loss = F.col("positive") / F.col("n") - F.col("most") - F.log(F.col("total") + 1e-12)
+    return out.where("n > 0").agg(F.count(F.lit(1)).alias("anchors"), (-F.avg(loss)).alias("loss"))
 
 
 def early_stopping(history: DataFrame, patience: int, by: list[str], epoch: str = "epoch", value: str = "validation_macro_f1") -> DataFrame:

@@ -13,12 +13,12 @@ CLASSES = 5
 SCALAR = ["msp", "maxlogit", "energy", "entropy"]
 
 
-def rows(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     logits = F.transform(F.slice("embedding", 1, CLASSES), lambda x: x.cast("double") * 10)
     out = e.select(
         F.col("vec_id").alias("id"), F.when(F.col("label") < CLASSES, F.col("label")).otherwise(openset.UNKNOWN).alias("label"), F.concat(F.lit("U"), F.col("label")).alias("class"),
-        F.slice("embedding", 1, width).alias("features"), logits.alias("logits"), (2023 + 2 * (F.col("vec_id") % 2)).cast("int").alias("year"), (F.col("vec_id") % 3 == 0).alias("train"),
+        F.col("embedding").alias("features"), logits.alias("logits"), (2023 + 2 * (F.col("vec_id") % 2)).cast("int").alias("year"), (F.col("vec_id") % 3 == 0).alias("train"),
     )
     return out.withColumn("predicted", argmax("logits"))
 
@@ -37,14 +37,14 @@ def knn(spark, sf_dir):
 
 
 def mahalanobis(spark, sf_dir):
-    df = rows(spark, sf_dir, 2)
+    df = rows(spark, sf_dir)
     found = openset.Mahalanobis.fit(train(df)).score(df.where("not train"))
     return rounded(found.select("id", "mahalanobis", "nearest"), 4)
 
 
 def vim(spark, sf_dir):
-    df = rows(spark, sf_dir, 2)
-    return rounded(openset.ViM.fit(train(df), 1).score(df.where("not train")).select("id", "vim"), 5)
+    df = rows(spark, sf_dir)
+    return rounded(openset.ViM.fit(train(df), CLASSES).score(df.where("not train")).select("id", "vim"), 5)
 
 
 def react(spark, sf_dir):
@@ -84,7 +84,7 @@ def all_methods(spark, sf_dir):
 
 
 def per_unknown_class(spark, sf_dir):
-    df = rows(spark, sf_dir, 2)
+    df = rows(spark, sf_dir)
     scored = openset.Mahalanobis.fit(train(df)).score(df.where("not train"))
     return rounded(openset.per_unknown_class(scored.withColumnRenamed("mahalanobis", "score"), CLASSES))
 
@@ -102,12 +102,12 @@ def centroid_shift(spark, sf_dir):
 
 
 def domain_auc(spark, sf_dir):
-    found = openset.domain_auc(rows(spark, sf_dir, 16).withColumn("domain", (F.col("year") == 2025).cast("int")))
+    found = openset.domain_auc(rows(spark, sf_dir).withColumn("domain", (F.col("year") == 2025).cast("int")))
     return rounded(spark.createDataFrame([(found,)], "domain_auc double"), 3)
 
 
 def contrastive_loss(spark, sf_dir):
-    return rounded(openset.supervised_contrastive_loss(rows(spark, sf_dir).where("id < 200 and label >= 0")))
+    return rounded(openset.supervised_contrastive_loss(rows(spark, sf_dir).where("label >= 0")))
 
 
 def early_stopping(spark, sf_dir):
