@@ -2,8 +2,8 @@
 
 The field scores whole candidate spans (up to ``MAX_TOKENS`` tokens) by features of the span and its neighbours; tokens
 outside spans score nothing. A bounded-length dynamic programme chooses boundaries and kinds together. It runs over
-islands: stretches around digits and at-signs, outside which no candidate exists, so that the best segmentation of a
-text is the union of those of its islands. Base spans are fixed; the field may only add spans that meet none of them.
+islands: stretches around digits, at-signs and written-out addresses (name at host dot com), outside which no candidate
+exists, so that the best segmentation of a text is the union of those of its islands. Base spans are fixed; the field may only add spans that meet none of them.
 Its weights are learned by an averaged structured perceptron from sentences that are made up here with known spans.
 
 Defined cases: null and empty texts have no spans; offsets are code points, ends exclusive; long texts are scanned
@@ -31,6 +31,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]+")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\W_]+|\s+|.", re.S)
+#: The word of a written-out at-sign, and what follows it up to the first dot of the host.
+_AT_WORD = re.compile(r"\b[aA][tT]\b")
+_HOST = re.compile(r"at[)\]]?\s?[\w-]+\s?(?:\.|\(dot\)|\[dot\]|\bdot\b)\s?[\w-]+", re.I)
 #: Words before a span that tell of its kind.
 CUES = ("password", "passwd", "pwd", "token", "secret", "key", "apikey", "api", "bearer", "tel", "phone", "call", "fax", "mobile", "card", "visa", "ip", "host", "mail", "email", "version", "page", "year", "total")
 
@@ -67,13 +70,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def written_out(text: str) -> list[tuple[int, int]]:
+    """Stretches that hold every written-out address of at most MAX_TOKENS tokens."""
+    out = []
+    for m in _AT_WORD.finditer(text):
+        end = m.start()
+        for _ in range(MAX_TOKENS):
+            if not (t := _TOKEN.match(text, end)):
+                break
+            end = t.end()
+        if not _HOST.match(text, m.start(), end):
+            continue
+        start = m.start() - (m.start() > 0 and text[m.start() - 1] in "([")
+        start -= start > 0 and text[start - 1].isspace()
+        for _ in range(MAX_TOKENS):  # back over runs of the name
+            if not start or not (text[start - 1].isalnum() or text[start - 1] in "_.%+-"):
+                break
+            start -= 1
+            while start and text[start].isalnum() and text[start - 1].isalnum():
+                start -= 1
+        out.append((start, end))
+    return out
+
+
 def islands(text: str) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        if out and m.start() - out[-1][1] <= GAP:
-            out[-1][1] = m.end()
+    for a, b in sorted([m.span() for m in _TRIGGER.finditer(text)] + written_out(text)):
+        if out and a - out[-1][1] <= GAP:
+            out[-1][1] = max(b, out[-1][1])
         else:
-            out.append([*m.span()])
+            out.append([a, b])
     wide: list[list[int]] = []
     for a, b in out:
         a, b = max(0, a - CONTEXT), min(len(text), b + CONTEXT)
@@ -109,6 +135,8 @@ def span_features(text: str, a: int, b: int, cue: str | None) -> list[str]:
         out.append("joined")
     if _AT.fullmatch(span):
         out.append("mail")
+        if "@" not in span:  # prose has such words too: met at home. Then
+            out += ["spelt" if re.search(r"[(\[](?:at|dot)[)\]]|\bdot\b", span, re.I) else "prose", "spaced" if re.search(r"\s\.|\.\s", span) else "tight"]
     elif _NUMBER.fullmatch(span):
         groups = re.findall(r"[0-9]+", span)
         quad = span.count(".") == 3 and len(groups) == 4
@@ -135,6 +163,7 @@ def segment(text: str, start: int, end: int, fixed: list[tuple[str, int, int]],
     n = len(tokens)
     taken = [any(a < e and s < b for _, s, e in fixed) for a, b in tokens]
     lively = [any(c.isdigit() or c == "@" for c in text[a:b]) for a, b in tokens]
+    ats = [text[a:b].lower() == "at" for a, b in tokens]
     cues: list[str | None] = []
     recent, age = None, 0
     for a, b in tokens:
@@ -149,13 +178,13 @@ def segment(text: str, start: int, end: int, fixed: list[tuple[str, int, int]],
         a = tokens[i][0]
         if taken[i] or text[a].isspace():
             continue
-        alive = False
+        alive = spelt = False
         for j in range(i, min(n, i + MAX_TOKENS)):
             if taken[j]:
                 break
-            alive = alive or lively[j]
+            alive, spelt = alive or lively[j], spelt or ats[j]
             b = tokens[j][1]
-            if not alive or text[b - 1].isspace():
+            if text[b - 1].isspace() or not (alive or spelt and _AT.fullmatch(text, a, b)):
                 continue
             sums = [0.0] * len(KINDS)
             for f in span_features(text, a, b, cues[i]):
@@ -175,9 +204,9 @@ def segment(text: str, start: int, end: int, fixed: list[tuple[str, int, int]],
 
 def find_spans(text: str | None, weights: dict[str, list[float]]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and all spans, each by kind, then start."""
-    if not text or not _TRIGGER.search(text):
+    if not text:
         return [], []
-    base = base_spans(text)
+    base = base_spans(text) if _TRIGGER.search(text) else []
     added = []
     for a, b in islands(text):
         near = [s for s in base if s[1] < b and a < s[2]]
@@ -205,7 +234,7 @@ def _made_up(rng) -> tuple[str, list[tuple[str, int, int]]]:
         "phone": lambda: pick([f"+{digit(1)} ({digit(3)}) {digit(3)}-{digit(4)}", f"({digit(3)}) {digit(3)}-{digit(4)}", f"{digit(3)}-{digit(3)}-{digit(4)}", f"+{digit(2)} {digit(3)} {digit(7)}"]),
         "secret": lambda: pick(["".join(pick("0123456789abcdef") for _ in range(pick([18, 32, 40]))), "AKIA" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), "sk-" + "".join(pick("ABCDEFGHabcdefgh0123456789") for _ in range(32))]),
     }
-    plain = [lambda: digit(rng.randrange(1, 6)), lambda: f"{digit(1)}.{digit(1)}", lambda: f"version {digit(1)}.{digit(1)}.{digit(2)}", lambda: f"20{digit(2)}-0{digit(1)}-1{digit(1)}", lambda: digit(rng.randrange(7, 13)), lambda: f"{digit(2)}:{digit(2)}", lambda: f"@{word()}", lambda: word() + digit(1), lambda: f"{digit(1)},{digit(3)},{digit(3)}", lambda: f"{digit(1)}.{digit(1)}.{digit(1)}.{digit(1)}.{digit(1)}", lambda: f"{digit(2)}.{digit(2)}"]
+    plain = [lambda: digit(rng.randrange(1, 6)), lambda: f"{digit(1)}.{digit(1)}", lambda: f"version {digit(1)}.{digit(1)}.{digit(2)}", lambda: f"20{digit(2)}-0{digit(1)}-1{digit(1)}", lambda: digit(rng.randrange(7, 13)), lambda: f"{digit(2)}:{digit(2)}", lambda: f"@{word()}", lambda: word() + digit(1), lambda: f"{digit(1)},{digit(3)},{digit(3)}", lambda: f"{digit(1)}.{digit(1)}.{digit(1)}.{digit(1)}.{digit(1)}", lambda: f"{digit(2)}.{digit(2)}", lambda: f"{word()} at {word()}. {word()}", lambda: f"{word()} at {word()}.{word()}"]
     cues = {"secret": ["password=", 'token = "', "key: ", "secret "], "phone": ["call ", "tel "], "card": ["card ", ""], "ip": ["host ", ""], "email": ["mail ", ""]}
     text, spans = "", []
     for _ in range(rng.randrange(2, 5)):
