@@ -1,14 +1,17 @@
-"""License scans: sparse TF-IDF cosine of lines to templates, then inheritance from the nearest ancestor directory.
+"""License scans: sparse TF-IDF cosine of lines, blocks and licence files to templates, then inheritance from the nearest
+ancestor directory.
 
 Terms are lower-cased runs of a-z and 0-9; a term weighs (1 + ln tf) * idf, with idf over the templates and the largest
 idf for terms of none. A line of a file is licensed as the template nearest to it, from a cosine of ``threshold`` on. A
-file has the licence of its best line. A file is a licence file if its name says so, or if at least half of its lines
+block is a run of consecutive lines that hold terms, less its copyright statements; it is compared with BLOCKS (whole
+notices, whole short licences, SPDX forms) and speaks for all its lines if it comes nearer than each of them. The whole
+text of a file named as a licence is compared so too, against all its blocks. A file has the licence of its best part. A file is a licence file if its name says so, or if at least half of its lines
 that hold terms are licensed; the best licence file of a directory (by score, then licence, then path) speaks for the
 directory, and a file without a licence takes that of the nearest directory at or above it that has one.
 
-DataFrame operations only. A line can reach the threshold only if it holds a term of a template's prefix (its weightiest
+DataFrame operations only. A line or block can reach the threshold only if it holds a term of a template's prefix (its weightiest
 terms, until the rest has a norm below the threshold; everyday words go last) and if its known terms may outweigh its
-unknown ones: other lines are dropped before any shuffle. The templates' terms are broadcast; their number is fixed by TEMPLATES.
+unknown ones: others are dropped before any shuffle. The templates' terms are broadcast; their number is fixed by TEMPLATES and BLOCKS.
 
 Defined cases: null and empty texts have no lines with terms; null paths are files at the root with an empty name; rows
 that repeat a path are one file with the lines of all; ties go to the first licence by name; an empty table gives an
@@ -52,6 +55,37 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
 )
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+_APACHE = "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+_ASIS = "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+_GNU = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} General Public License as published by the Free Software Foundation, {3}either version {4} of the License, or (at your option) any later version."
+_NO_WARRANTY = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} General Public License for more details. You should have received a copy of the GNU {1} General Public License along with this {0}. If not, see https://www.gnu.org/licenses/."
+_GNU_KINDS = (("GPL-3.0", "program", "", "3"), ("GPL-2.0", "program", "", "2"), ("LGPL-3.0", "library", "Lesser", "3"), ("LGPL-2.1", "library", "Lesser", "2.1"), ("AGPL-3.0", "program", "Affero", "3"))
+_SPDX = {"Apache-2.0": (), "MIT": (), "GPL-3.0": ("-only", "-or-later"), "GPL-2.0": ("-only", "-or-later"), "LGPL-3.0": ("-only", "-or-later"), "LGPL-2.1": ("-only", "-or-later"), "AGPL-3.0": ("-only", "-or-later"), "BSD-3-Clause": (), "BSD-2-Clause": (), "MPL-2.0": (), "CC-BY-4.0": (), "CC-BY-SA-4.0": (), "CC-BY-NC-4.0": (), "CC0-1.0": (), "Unlicense": (), "ISC": ()}
+#: What blocks and whole files are compared with, besides TEMPLATES.
+BLOCKS = (
+    *((n, t) for n, parts in (("MIT", _MIT), ("ISC", _ISC)) for t in (parts[0], " ".join(parts))),
+    ("BSD-2-Clause", f"{_BSD[0]} {_BSD[2]}"), ("BSD-3-Clause", " ".join(_BSD)), ("Unlicense", _UNLICENSE), ("Apache-2.0", _APACHE), ("Apache-2.0", f"{_APACHE} {_ASIS}"),
+    *((n, text) for n, what, kind, v in _GNU_KINDS for notice in [_GNU.format(what, ":", kind, "", v)] for text in (notice, f"{notice} {_NO_WARRANTY.format(what, kind)}", f"GNU {kind} General Public License version {v}")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *((n, f"SPDX-License-Identifier: {n}{end}") for n, ends in _SPDX.items() for end in ("", *ends)),
+)
+#: Copyright statements in lower case: they name holders, not licences.
+COPYRIGHT = r"(?:copyright\s*(?:\(c\)|\u00a9)?|\(c\)|\u00a9)\s*[0-9]{4}[^.\n]*(?:\.|(?=\n)|$)|all rights reserved\.?"
 #: Words too common to look a line up by.
 EVERYDAY = ("a", "an", "and", "any", "at", "by", "for", "in", "is", "it", "of", "or", "that", "the", "this", "to", "under", "with", "without", "you", "0", "1", "2", "3", "4")
 LICENCE_NAME = r"(?i)^(un)?licen[sc]es?([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
@@ -108,33 +142,58 @@ def may_reach(terms: str, idf: dict[str, float], unknown: float, threshold: floa
     return known * (1 + 1e-9) >= threshold * threshold * (known + strange)
 
 
-def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """A row per path: path, lines (with terms), licensed (lines), license, score, origin (own, inherited, none), license_path."""
-    spark = files.sparkSession
+def nearest_template(parts: DataFrame, keys: list[str], templates, threshold: float) -> DataFrame:
+    """(keys, b: (less, license)) of the parts (keys, terms) that reach the threshold with a template; less is the negated score."""
+    spark = parts.sparkSession
     rows, idf, unknown = vectors(templates)
-    # rows of one path are told apart by their texts; alike rows are one
-    held = files.select(F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")).alias("path"), F.xxhash64(F.col(f"`{text_col}`")).alias("copy"), F.split(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), "\n", -1).alias("texts"))
     lookup = F.array(*[F.lit(t) for t in prefix_terms(rows, threshold)])
-    lines = held.select("path", "copy", F.posexplode("texts").alias("pos", "line"))
-    lines = lines.select("path", "copy", "pos", F.split("line", "[^a-z0-9]+").alias("terms")).where(F.arrays_overlap("terms", lookup)).where(may_reach("terms", idf, unknown, threshold))
+    held = parts.where(F.arrays_overlap("terms", lookup)).where(may_reach("terms", idf, unknown, threshold))
 
-    # the lines that may reach the threshold, as bags of terms
-    each = lines.select("path", "copy", "pos", F.posexplode("terms").alias("at", "term")).where("term <> ''").distinct()
-    bags = each.groupBy("path", "copy", "pos", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # the parts that may reach the threshold, as bags of terms
+    each = held.select(*keys, F.posexplode("terms").alias("at", "term")).where("term <> ''").distinct()
+    bags = each.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     known = spark.sql("select * from values " + ", ".join(f"('{t}', {w!r}D)" for t, w in sorted(idf.items())) + " as t(term, idf)")
     weighed = bags.join(F.broadcast(known), "term", "left").withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.lit(unknown)))
     units = spark.sql("select * from values " + ", ".join(f"({i}, '{n}', '{t}', {w!r}D)" for i, n, t, w in rows) + " as t(template, license, term, unit)")
-    norms = weighed.groupBy("path", "copy", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(units), "term").groupBy("path", "copy", "pos", "license", "template").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
-    scored = dots.join(norms, ["path", "copy", "pos"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
-    best = scored.groupBy("path", "copy", "pos").agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("b"))
-    own = best.groupBy("path").agg(F.count(F.lit(1)).alias("licensed"), F.min("b").alias("b")).select("path", "licensed", F.col("b.license").alias("own"), (-F.col("b.less")).alias("own_score"))
-    with_terms = F.size(F.filter("texts", lambda t: t.rlike("[a-z0-9]")))
-    total = held.groupBy("path", "copy").agg(F.max(with_terms).alias("lines")).groupBy("path").agg(F.sum("lines").alias("lines"))
+    norms = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(F.broadcast(units), "term").groupBy(*keys, "license", "template").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
+    scored = dots.join(norms, keys).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
+    return scored.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("b"))
+
+
+def outspoken(parts: DataFrame, whole: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, b): of parts (keys, n, b), summed, and whole (keys, size, b), whole where it comes nearer than each part."""
+    inner = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("b").alias("b"))
+    both = inner.join(whole.select(*keys, "size", F.col("b").alias("wb")), keys, "full")
+    wins = F.col("wb").isNotNull() & (F.col("b").isNull() | (F.col("wb.less") < F.col("b.less")))
+    return both.select(*keys, F.when(wins, F.col("size")).otherwise(F.col("n")).alias("n"), F.when(wins, F.col("wb")).otherwise(F.col("b")).alias("b"))
+
+
+def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, blocks=BLOCKS) -> DataFrame:
+    """A row per path: path, lines (with terms), licensed (lines), license, score, origin (own, inherited, none), license_path."""
+    # rows of one path are told apart by their texts; alike rows are one
+    held = files.select(F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")).alias("path"), F.xxhash64(F.col(f"`{text_col}`")).alias("copy"), F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text"))
+    held = held.withColumn("texts", F.split("text", "\n", -1))
+    size = lambda texts: F.size(F.filter(texts, lambda t: t.rlike("[a-z0-9]")))
+    named = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_NAME)
+    holders = lambda text: text.contains("copyright") | text.contains("(c)") | text.contains("\u00a9") | text.contains("all rights reserved")
+    terms = lambda text: F.split(F.when(holders(text), F.regexp_replace(text, COPYRIGHT, " ")).otherwise(text), "[^a-z0-9]+")
+
+    # lines without terms part the blocks
+    runs = held.select("path", "copy", F.posexplode(F.split("text", "\n[^a-z0-9]*\n", -1)).alias("block", "run"))
+    lines = runs.select("path", "copy", "block", F.posexplode(F.split("run", "\n", -1)).alias("pos", "line")).select("path", "copy", "block", "pos", F.split("line", "[^a-z0-9]+").alias("terms"))
+    by_line = nearest_template(lines, ["path", "copy", "block", "pos"], templates, threshold).select("path", "copy", "block", F.lit(1).alias("n"), "b")
+    whole = (*templates, *blocks)
+    sized = runs.select("path", "copy", "block", size(F.split("run", "\n", -1)).alias("size"), terms(F.col("run")).alias("terms"))
+    by_block = outspoken(by_line, nearest_template(sized, ["path", "copy", "block", "size"], whole, threshold), ["path", "copy", "block"])
+    # texts of other files are set to null, as the filter alone does not keep Spark from cutting them into terms
+    texts = held.where(named).select("path", "copy", F.when(named, size("texts")).alias("size"), F.when(named, terms(F.col("text"))).alias("terms"))
+    by_file = outspoken(by_block, nearest_template(texts, ["path", "copy", "size"], whole, threshold), ["path", "copy"])
+    own = by_file.groupBy("path").agg(F.sum("n").alias("licensed"), F.min("b").alias("b")).select("path", "licensed", F.col("b.license").alias("own"), (-F.col("b.less")).alias("own_score"))
+    total = held.groupBy("path", "copy").agg(F.max(size("texts")).alias("lines")).groupBy("path").agg(F.sum("lines").alias("lines"))
     found = materialise(total.join(own, "path", "left").withColumn("directory", F.regexp_replace("path", "/?[^/]*$", "")), "licenses")
 
     # directories that a licence file speaks for, and the nearest of them at or above each directory
-    named = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_NAME)
     speaks = found.where(F.col("own").isNotNull() & (named | (2 * F.col("licensed") >= F.col("lines"))))
     spoken = speaks.groupBy("directory").agg(F.min(F.struct((-F.col("own_score")).alias("less"), F.col("own").alias("license"), F.col("path").alias("from"))).alias("v"))
     directories = found.select("directory").distinct()
