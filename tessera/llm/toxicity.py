@@ -25,8 +25,8 @@ from .common import ID, REST, TEXT, in_small_batches, materialise, pack, unpack,
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hash of their id.
 FIT_ROWS = 20_000
-#: Entries of the lexicon at most, documents that must hold one, and its least weight.
-ENTRIES, LEAST_DOCS, LEAST_WEIGHT = 4_000, 5, 1.5
+#: Documents that must hold an entry of the lexicon, and its least weight.
+LEAST_DOCS, LEAST_WEIGHT = 5, 1.5
 #: Lengths of word beginnings that may become entries.
 BEGINNINGS = (4, 5, 6)
 #: Letters that look like Latin ones, and digits and signs written for letters inside words.
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     # an entry must set toxic documents apart: the weight is the log-odds, less 1.5 of its standard errors
     weight = odds - 1.5 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    found = tallied.where(F.col("bad") >= LEAST_DOCS).select("term", "bad", weight.alias("w")).where(F.col("w") > LEAST_WEIGHT).orderBy(F.desc("bad"), F.desc("w"), "term").limit(ENTRIES)
+    found = tallied.where(F.col("bad") >= LEAST_DOCS).select("term", "bad", weight.alias("w")).where(F.col("w") > LEAST_WEIGHT).orderBy(F.desc("bad"), F.desc("w"), "term")
     entries = {r.term: r.w for r in found.collect()}
     if not entries:
         return Lexicon(key="none")
