@@ -2,7 +2,7 @@
 
 A stage takes (spark, docs, sf_dir). All but the last return the columns of documents; n_chars follows the text where a
 stage rewrites it. Null and empty texts pass the filtering stages. Tables with extra columns keep them to the last stage,
-which returns doc_id, ids and n_tokens."""
+which returns doc_id, ids, n_tokens and decoded_sha256."""
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +37,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and n_tokens of byte-level BPE."""
+    """doc_id, ids and n_tokens of byte-level BPE, and the digest of the bytes that the ids decode to."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return found.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"))
+    found = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN), ranks)
+    return found.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
