@@ -223,7 +223,7 @@ select round(x, 6) + 0.0 as mean_cross_year_centroid_shift, round(y, 6) + 0.0 as
 from o""",
     "contrastive_loss": f"""
 with {ROWS},
-b as (select id, label, f from s where id < 200 and label >= 0),
+b as (select id, label, f from s where label >= 0),
 sims as (select a.id, a.label = c.label as same, a.id = c.id as self, list_dot_product(a.f, c.f) / 0.1 as v from b a, b c),
 most as (select id, max(v) as m from sims group by id),
 each as (select id, ln(sum(exp(v - m)) + 1e-12) as log_all, avg(case when same then v - m end) as positive from sims join most using (id) where not self group by id)

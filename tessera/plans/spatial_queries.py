@@ -128,7 +128,7 @@ def crown_outcomes(spark, sf_dir):
 
 def crown_layer(spark, sf_dir):
     layer = spatial.crown_layer(spatial.outcomes(*_judged(spark, sf_dir)))
-    return rounded(layer.select("id", "confidence", "area_m2", F.round("redet_conf", 3).alias("redet_conf"), F.round("redet_iou", 3).alias("redet_iou")), 4)
+    return rounded(layer.select("id", "confidence", "area_m2", "redet_conf", "redet_iou"), 4)
 
 
 def polygon_measures(spark, sf_dir):
@@ -262,11 +262,11 @@ TILES = f"""{B},
 t as materialized (select plot, x || '_' || y as tile, cast(x as double) as minx, cast(y as double) as miny, x + 30.0 as maxx, y + 30.0 as maxy from (select distinct plot from b), range(0, 91, 15) as gx(x), range(0, 91, 15) as gy(y)),
 cover as materialized (
   select l.plot, l.tile, l.minx, l.miny, r.id, {SHARED} / {AREA('r')} as share, greatest(l.minx, r.minx) as x1, greatest(l.miny, r.miny) as y1, least(l.maxx, r.maxx) as x2, least(l.maxy, r.maxy) as y2
-  from t l join b r on l.plot = r.plot and r.id % 40 = 0 and l.minx <= r.maxx and r.minx <= l.maxx and l.miny <= r.maxy and r.miny <= l.maxy),
+  from t l join b r on l.plot = r.plot and l.minx <= r.maxx and r.minx <= l.maxx and l.miny <= r.maxy and r.miny <= l.maxy),
 seen as materialized (select t.plot, t.tile, coalesce(max(share), 0.0) as visible, count(id) as crowns from t left join cover using (plot, tile) group by t.plot, t.tile)"""
 
 PARTS = f"""{B},
-f as materialized (select id, confidence, minx + id % 97 * 40 as minx, miny + id % 89 * 40 as miny, maxx + id % 97 * 40 as maxx, maxy + id % 89 * 40 as maxy from b where id % 5 = 0),
+f as materialized (select id, confidence, minx + id % 97 * 40 as minx, miny + id % 89 * 40 as miny, maxx + id % 97 * 40 as maxx, maxy + id % 89 * 40 as maxy from b),
 links as materialized (
   select l.id as a, r.id as b from f l join f r on l.id <> r.id and l.minx <= r.maxx and r.minx <= l.maxx and l.miny <= r.maxy and r.miny <= l.maxy
   where least(l.maxx, r.maxx) > greatest(l.minx, r.minx) or least(l.maxy, r.maxy) > greatest(l.miny, r.miny)),
@@ -331,7 +331,7 @@ with {B} select id, plot from b where (minx + maxx) / 2 > 10 and (minx + maxx) /
     "crown_layer": f"""
 with recursive {HITS}
 select row_number() over (order by component) as id, round(confidence, 4) + 0.0 as confidence, round(round_even((maxx - minx) * (maxy - miny), 1), 4) + 0.0 as area_m2,
-  round(round(redet_conf, 3), 4) + 0.0 as redet_conf, round(round(round_even(redet_iou, 4), 3), 4) + 0.0 as redet_iou from judged where outcome = 'kept'""",
+  round(redet_conf, 4) + 0.0 as redet_conf, round(round_even(redet_iou, 4), 4) + 0.0 as redet_iou from judged where outcome = 'kept'""",
     "polygon_measures": f"""
 with {HEXES}
 select p_partkey, round(sum(x * y2 - x2 * y) / 2, 6) + 0.0 as area, round(any_value(cx), 6) + 0.0 as x, round(any_value(cy), 6) + 0.0 as y, round(min(x), 6) + 0.0 as minx, round(max(y), 6) + 0.0 as maxy from c group by p_partkey""",
@@ -346,9 +346,6 @@ select p_partkey, count(*) filter (crosses) % 2 = 1 as inside,
 from e group by p_partkey""",
     "polygon_shapes": "select p_partkey, round(2 / sqrt(3), 4) as aspect, false as tile_cut, round(1.5 * sqrt(3) * (p_size / 5 + 1) * (p_size / 5 + 1), 4) + 0.0 as area from part",
     "polygon_clip": "select p_partkey, cast(0.5 as double) as share from part",
-    "yolo_lines": f"""
-with {TILES}
-select plot, tile, id, '0 ' || array_to_string([printf('%.6f %.6f', px, py) for px, py in [1]], ' ') as line from (select *, 1 as px, 1 as py from cover) where false""",
     "tile_grid": f"""
 with {RASTERS}, g as (select *, unnest({STARTS('width', 512, 200)}) as col_off from r), k as (select *, unnest({STARTS('height', 512, 200)}) as row_off from g)
 select p_partkey, cast(row_off as int) as row_off, cast(col_off as int) as col_off, cast(least(512, width - col_off) as int) as w, cast(least(512, height - row_off) as int) as h from k""",
