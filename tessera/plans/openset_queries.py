@@ -145,17 +145,24 @@ sets as (select *, unnest(['combined', cast(year as varchar)]) as "set" from s w
 long as (
   unpivot (select "set", label >= 0 as known, label = predicted as correct, msp, maxlogit, energy, entropy from sets) on msp, maxlogit, energy, entropy into name method value score)"""
 
-TWO = f"""{ROWS},
-t as (select id, label, f[1] as a, f[2] as b from s where train and label >= 0),
-m as (select label, avg(a) as ma, avg(b) as mb from t group by label),
-c as (
-  select sum((a - ma) * (a - ma)) / (count(*) - 1) + 1e-6 as saa, sum((a - ma) * (b - mb)) / (count(*) - 1) as sab, sum((b - mb) * (b - mb)) / (count(*) - 1) + 1e-6 as sbb
-  from t join m using (label)),
+#: Mahalanobis distances over all features; the covariance is inverted by Gauss-Jordan steps.
+DISTANCES = f"""{ROWS},
+t as materialized (select id, label, f from s where train and label >= 0),
+m as materialized (select label, list(v order by i) as mean from (select label, i, avg(f[i]) as v from t, range(1, 65) as g(i) group by label, i) group by label),
+e as materialized (select list_transform(list_zip(f, mean), lambda p: p[1] - p[2]) as d from t join m using (label)),
+cov as (select i, j, sum(d[i] * d[j]) / (count(*) - 1) + case when i = j then 1e-6 else 0 end as v from e, range(1, 65) as gi(i), range(1, 65) as gj(j) group by i, j),
+wide as (select i, list(v order by j) || list_transform(range(1, 65), lambda j: case when j = i then 1.0::double else 0.0::double end) as r from cov group by i),
+step as (
+  select cast(0 as bigint) as k, list(r order by i) as a from wide
+  union all
+  select k + 1, list_transform(a, lambda r, i: case when i = k + 1 then list_transform(r, lambda x: x / r[k + 1])
+    else list_transform(list_zip(r, a[k + 1]), lambda p: p[1] - r[k + 1] * p[2] / a[k + 1][k + 1]) end)
+  from step where k < 64),
+inv as materialized (select list_transform(a, lambda r: r[65:128]) as p from step where k = 64),
 d as (
-  select s.id, s.label, s.class, m.label as to_label,
-    ((f[1] - ma) * (f[1] - ma) * sbb - 2 * (f[1] - ma) * (f[2] - mb) * sab + (f[2] - mb) * (f[2] - mb) * saa) / (saa * sbb - sab * sab) as dist
-  from s, m, c where not train),
-maha as (select id, any_value(label) as label, any_value(class) as class, -min(dist) as score, cast(arg_min(to_label, dist) as int) as nearest from d group by id)"""
+  select id, label, class, to_label, list_dot_product(v, list_transform(p, lambda r: list_dot_product(r, v))) as dist
+  from (select s.id, s.label, s.class, m.label as to_label, list_transform(list_zip(f, mean), lambda x: x[1] - x[2]) as v from s, m where not train), inv),
+maha as materialized (select id, any_value(label) as label, any_value(class) as class, -min(dist) as score, cast(arg_min(to_label, dist) as int) as nearest from d group by id)"""
 
 ORACLE_SQL = {
     "score_logits": f"with {ROWS} select id, round(msp, 6) + 0.0 as msp, round(maxlogit, 6) + 0.0 as maxlogit, round(energy, 6) + 0.0 as energy, round(entropy, 6) + 0.0 as entropy from s",
@@ -167,16 +174,7 @@ d as (
   from n q, n t where not q.train and t.train and t.label >= 0),
 k as (select *, row_number() over (partition by id order by dist) as rk from d)
 select id, round(-sum(dist) / 5, 6) + 0.0 as knn from k where rk <= 5 group by id""",
-    "score_mahalanobis": f"with {TWO} select id, round(score, 4) + 0.0 as mahalanobis, nearest from maha",
-    "score_vim": f"""
-with {ROWS},
-t as (select f[1] as a, f[2] as b, list_max(z) as top from s where train and label >= 0),
-mu as (select avg(a) as ma, avg(b) as mb, avg(top) as top from t),
-cov as (select avg((a - ma) * (a - ma)) as saa, avg((a - ma) * (b - mb)) as sab, avg((b - mb) * (b - mb)) as sbb from t, mu),
-low as (select *, (saa + sbb) / 2 - sqrt((saa - sbb) * (saa - sbb) / 4 + sab * sab) as l from cov),
-v as (select sab / sqrt(sab * sab + (l - saa) * (l - saa)) as va, (l - saa) / sqrt(sab * sab + (l - saa) * (l - saa)) as vb from low),
-al as (select any_value(mu.top) / greatest(avg(abs((a - ma) * va + (b - mb) * vb)), 1e-12) as alpha from t, mu, v)
-select id, round(energy - alpha * abs((f[1] - ma) * va + (f[2] - mb) * vb), 5) + 0.0 as vim from s, mu, v, al where not train""",
+    "score_mahalanobis": f"with recursive {DISTANCES} select id, round(score, 4) + 0.0 as mahalanobis, nearest from maha",
     "score_react": f"""
 with {ROWS},
 c as (select i, quantile_cont(f[i], 0.9) as q from s, range(1, {CLASSES + 1}) as g(i) where train and label >= 0 group by i),
@@ -202,7 +200,7 @@ each as (
   from labels l join k on k."set" = l."set" group by all)
 select "set", cast(sum(t) as bigint) as samples, round(sum(hit) / sum(t), 6) + 0.0 as accuracy, round(avg(2 * hit / (t + p)), 6) + 0.0 as macro_f1 from each group by "set" """,
     "per_unknown_class": f"""
-with {TWO},
+with recursive {DISTANCES},
 u as (select * from maha where label < 0),
 auc as (
   select u.class, avg(case when k.score > u.score then 1.0 when k.score = u.score then 0.5 else 0.0 end) as auroc
