@@ -33,14 +33,15 @@ def segment_tiles(tiles: DataFrame, transforms: DataFrame, model, threshold: flo
                 boxes, prototypes = model(given.astype(np.float32))
                 if np.ndim(boxes) == 4:  # outputs may come the other way round
                     boxes, prototypes = prototypes, boxes
-                found = sorted(detector_boxes(boxes[0], prototypes[0], threshold, size, size, np.shape(prototypes)[1]), key=lambda d: -d["conf"])
+                boxes, conf, mixing = detector_boxes(boxes[0], threshold, size, size, np.shape(prototypes)[1])
                 apart, t = _Apart(iou), row["transform"]
-                sx, sy = row["width"] / size, row["height"] / size
-                for d in found:
-                    if apart.take(d["box"]):
-                        for ring in detection_rings(d, prototypes[0], size, size):
-                            pixels = [(row["col_off"] + x * sx, row["row_off"] + y * sy) for x, y in ring]
-                            out.append((row["path"], row["row_off"], row["col_off"], d["conf"], [{"x": t[0] * x + t[1] * y + t[2], "y": t[3] * x + t[4] * y + t[5]} for x, y in pixels]))
+                scale, start = np.array([row["width"], row["height"]]) / size, np.array([row["col_off"], row["row_off"]])
+                for k in np.argsort(-conf, kind="stable").tolist():
+                    if apart.take(boxes[k].tolist()):
+                        for ring in detection_rings(boxes[k], mixing[k], prototypes[0], size, size):
+                            x, y = (start + np.asarray(ring) * scale).T
+                            world = np.stack([t[0] * x + t[1] * y + t[2], t[3] * x + t[4] * y + t[5]], axis=1).tolist()
+                            out.append((row["path"], row["row_off"], row["col_off"], float(conf[k]), [{"x": u, "y": v} for u, v in world]))
             columns = list(zip(*out)) if out else [()] * 5
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.list_(point)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "row_off", "col_off", "confidence", "ring"])

