@@ -46,18 +46,42 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("bad", "good", "heading", "hidden", "linked", "path", "text")
+    """A block's text, the share of it that is linked, what its open elements tell, and the element it stands in."""
 
-    def __init__(self, text, linked, path, frames):
-        self.text, self.linked, self.path = text, linked, path
-        self.bad = sum(f[2] for f in frames)
-        self.good = sum(f[3] for f in frames)
-        self.hidden = any(f[4] for f in frames)
-        self.heading = any(f[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for f in frames)
+    __slots__ = ("bad", "good", "heading", "hidden", "linked", "place", "text")
 
+    def __init__(self, text, linked, place, bad, good, hidden, heading):
+        self.text, self.linked, self.place, self.bad, self.good, self.hidden, self.heading = text, linked, place, bad, good, hidden, heading
 
-def _frame(tag: str, attrs: str, number: int) -> tuple:
-    """(tag, number, bad signs, good signs, hidden)."""
+
+class Place:
+    """An open element that begins blocks, linked to the one around it; far is a place some way up, as in a skip list, so
+    that the depth at which two places part is found in few steps."""
+
+    __slots__ = ("depth", "far", "up")
+
+    def __init__(self, up):
+        self.up = up
+        self.depth = up.depth + 1 if up else 0
+        self.far = up if up is None or up.far is None or up.depth - up.far.depth != (up.far.depth - up.far.far.depth if up.far.far else -1) else up.far.far
+
+
+def shared_depth(a: Place, b: Place) -> int:
+    """How many elements below the page two places have in common."""
+    if a.depth < b.depth:
+        a, b = b, a
+    while a.depth > b.depth:
+        a = a.far if a.far and a.far.depth >= b.depth else a.up
+    while a is not b:
+        a, b = (a.far, b.far) if a.far is not b.far else (a.up, b.up)
+    return a.depth
+
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _signs(tag: str, attrs: str) -> tuple[int, int, bool]:
+    """(bad signs, good signs, hidden) of an element."""
     bad, good, hidden = int(tag in BAD_TAGS), int(tag in GOOD_TAGS), False
     if attrs and attrs.strip():
         for name, a, b, c in _ATTR.findall(attrs):
@@ -70,30 +94,38 @@ def _frame(tag: str, attrs: str, number: int) -> tuple:
                 hidden = True
     if tag == "header":
         bad += 1
-    return tag, number, bad, good, hidden
+    return bad, good, hidden
 
 
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks in order; character references decoded, white space made single spaces."""
     out: list[Block] = []
-    stack: list[tuple] = []
+    stack: list[str] = []
     parts: list[str] = []
     linked = silent = at = links = 0
-    number = 0
+    # for each open element: the place it makes or stands in; bad and good signs, whether hidden or a heading, so far
+    places, told = [Place(None)], [(0, 0, False, False)]
+    opened: dict[str, list[int]] = {}
+    walls: list[int] = []  # open elements that begin blocks
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, min(1.0, linked / len(text)), tuple(f[1] for f in stack if f[0] not in INLINE), stack))
+                out.append(Block(text, min(1.0, linked / len(text)), places[-1], *told[-1]))
             parts.clear()
         linked = 0
 
     def close(upto: int):
         nonlocal silent, links
         while len(stack) > upto:
-            tag = stack.pop()[0]
+            tag = stack.pop()
+            places.pop()
+            told.pop()
+            opened[tag].pop()
+            if walls and walls[-1] == len(stack):
+                walls.pop()
             silent -= tag in SILENT
             links -= tag == "a"
 
@@ -115,22 +147,21 @@ def blocks_of(html: str) -> list[Block]:
         if m[0][1] == "/":
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag in INLINE and any(f[0] not in INLINE for f in stack[k + 1 :]):
-                        break  # an inline end tag does not reach out of its block
+            if opened.get(tag):
+                k = opened[tag][-1]
+                # an inline end tag does not reach out of its block
+                if tag not in INLINE or places[k + 1] is places[-1]:
                     close(k)
-                    break
             continue
         if tag not in INLINE:
             flush()
             if tag in PARAGRAPH_ENDS or tag in CLOSES:
-                for k in range(len(stack) - 1, -1, -1):
-                    open_ = stack[k][0]
+                for k in reversed(walls):
+                    open_ = stack[k]
                     if tag in PARAGRAPH_ENDS and open_ == "p" or open_ in CLOSES.get(tag, ()):
                         close(k)
                         break
-                    if open_ not in INLINE and not (open_ == "p" or tag == "tr" and open_ in ("td", "th")):
+                    if not (open_ == "p" or tag == "tr" and open_ in ("td", "th")):
                         break
         if tag in VOID or m[0].endswith("/>") and tag not in RAW and tag in INLINE:
             if tag == "br":
@@ -140,22 +171,28 @@ def blocks_of(html: str) -> list[Block]:
             e = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = e.end() if e else n
             continue
-        number += 1
-        stack.append(_frame(tag, m[2], number))
+        bad, good, hidden = _signs(tag, m[2])
+        before = told[-1]
+        told.append((before[0] + bad, before[1] + good, before[2] or hidden, before[3] or tag in HEADINGS))
+        places.append(places[-1] if tag in INLINE else Place(places[-1]))
+        opened.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            walls.append(len(stack))
+        stack.append(tag)
         silent += tag in SILENT
         links += tag == "a"
     flush()
     return out
 
 
-FEATURES = ("one", "words", "short", "linked", "marks", "bad", "good", "hidden", "heading", "within")
+FEATURES = ("one", "words", "short", "linked", "marks", "bad", "good", "hidden", "heading", "within", "rights")
 
 
 def features(b: Block) -> list[float]:
     words = b.text.count(" ") + 1
     return [
         1.0, math.log1p(words) / 4, float(words < 4), b.linked, float(b.text[-1] in ".!?…:;\"”»"), min(b.bad, 2) / 1.0, float(b.good > 0), float(b.hidden), float(b.heading),
-        float(b.good > 0 and b.bad == 0),
+        float(b.good > 0 and b.bad == 0), float(b.text[0] == "\u00a9"),
     ]
 
 
@@ -165,13 +202,8 @@ def content_cost(b: Block, weights) -> float:
 
 
 def nearness(a: Block, b: Block) -> float:
-    """Weight of the edge between blocks that follow one another: larger, the more of their paths they share."""
-    common = 0
-    for x, y in zip(a.path, b.path):
-        if x != y:
-            break
-        common += 1
-    apart = len(a.path) + len(b.path) - 2 * common
+    """Weight of the edge between blocks that follow one another: larger, the more of their elements they share."""
+    apart = a.place.depth + b.place.depth - 2 * shared_depth(a.place, b.place)
     return 1.2 / (1 + max(0, apart - 1))
 
 
@@ -258,13 +290,14 @@ def label(blocks: list[Block], weights) -> list[bool]:
             costs[i] = 1e6
     edges = [(i, i + 1, nearness(blocks[i], blocks[i + 1])) for i in range(len(blocks) - 1)]
     # blocks under one parent, though others stand between
-    last: dict[tuple, int] = {}
+    last: dict[int, int] = {}
     for i, b in enumerate(blocks):
-        j = last.get(b.path[:-1])
+        around = id(b.place.up)  # blocks hold their places, so that the number stays the place's own
+        j = last.get(around)
         if j is not None and j < i - 1:
             edges.append((j, i, 0.6))
-        last[b.path[:-1]] = i
-    # the chain is cut where every block around agrees: only stretches with unlike signs need a flow
+        last[around] = i
+    # where all costs agree there is nothing to cut
     if all(c > 0 for c in costs) or all(c <= 0 for c in costs):
         return [c <= 0 for c in costs]
     return minimum_cut(costs, edges)
@@ -288,14 +321,16 @@ def _made_up(rng) -> tuple[str, list[bool]]:
     def links(n):
         return "<ul>" + "".join(block("li", f'<a href="/{word()}">{say(1, 4)}</a>', False) for _ in range(n)) + "</ul>"
 
+    bare = rng.random() < 0.15  # a page without telling names
+
     def named(names):
-        return f' {rng.choice(["class", "id"])}="{rng.choice(names)}"'
+        return "" if bare else f' {rng.choice(["class", "id"])}="{rng.choice(names)}"'
 
     out = ""
     wrap = rng.random()
     if rng.random() < 0.8:
-        out += f"<nav>{links(rng.randrange(2, 7))}</nav>" if rng.random() < 0.6 else f'<div{named(["menu", "navbar", "top-nav"])}>{links(rng.randrange(2, 7))}</div>'
-    if rng.random() < 0.5:
+        out += f"<nav>{links(rng.randrange(2, 7))}</nav>" if rng.random() < 0.6 and not bare else f'<div{named(["menu", "navbar", "top-nav"])}>{links(rng.randrange(2, 7))}</div>'
+    if rng.random() < 0.5 and not bare:
         out += block("div", say(4, 12) + ".", False, named(["ad", "banner", "cookie-notice", "promo"]))
     if rng.random() < 0.3:
         out += f"<header>{block('p', say(2, 8), False)}</header>"
@@ -309,16 +344,16 @@ def _made_up(rng) -> tuple[str, list[bool]]:
         elif kind < 0.9:
             body += "<ul>" + "".join(block("li", say(2, 12), True) for _ in range(rng.randrange(2, 5))) + "</ul>"
         else:
-            body += block("div", say(3, 10) + ".", False, named(["ad", "sponsored", "share-box", "related"]))
-    out += f"<article>{body}</article>" if wrap < 0.45 else f"<main>{body}</main>" if wrap < 0.6 else f'<div{named(["content", "post-body", "entry"])}>{body}</div>' if wrap < 0.8 else f"<div>{body}</div>"
-    if rng.random() < 0.4:
-        out += f"<aside>{block('p', say(3, 20) + '.', False)}{links(rng.randrange(1, 4))}</aside>" if rng.random() < 0.5 else f'<div{named(["sidebar", "widget"])}>{links(rng.randrange(2, 5))}{block("p", say(3, 15), False)}</div>'
+            body += block("div", say(3, 10) + "." if not bare else f'<a href="/x">{say(2, 6)}</a>', False, named(["ad", "sponsored", "share-box", "related"]))
+    out += f"<div>{body}</div>" if bare else f"<article>{body}</article>" if wrap < 0.45 else f"<main>{body}</main>" if wrap < 0.6 else f'<div{named(["content", "post-body", "entry"])}>{body}</div>' if wrap < 0.8 else f"<div>{body}</div>"
     if rng.random() < 0.4:
+        out += f"<aside>{block('p', say(3, 20) + '.', False)}{links(rng.randrange(1, 4))}</aside>" if rng.random() < 0.5 and not bare else f'<div{named(["sidebar", "widget"])}>{links(rng.randrange(2, 5))}{block("p", say(3, 15), False) if not bare else ""}</div>'
+    if rng.random() < 0.4 and not bare:
         out += f'<div{named(["comments", "comment-list", "disqus"])}>' + "".join(block("p", say(3, 30) + ".", False) for _ in range(rng.randrange(1, 5))) + "</div>"
     if rng.random() < 0.3:
         out += f"<form>{block('p', say(2, 6), False)}<input></form>"
     if rng.random() < 0.85:
-        out += block("footer", f"&copy; {say(2, 10)}.", False)
+        out += block("footer" if not bare else "div", f"&copy; {say(2, 10)}.", False)
     return f"<html><head><title>{say(2, 5)}</title></head><body>{out}</body></html>", truth
 
 

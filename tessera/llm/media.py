@@ -12,7 +12,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, REST, TEXT, materialise, pack, unpack
+from .common import ID, REST, TEXT, in_small_batches, materialise, pack, unpack
 
 WIDTH = 64
 TILE = 16
@@ -34,6 +34,17 @@ def _netpbm_fields(data: bytes, n: int) -> tuple[list[int], int]:
 
 
 def decode_image(data: bytes):
+    """The samples of an image; what is no whole image of a size above zero raises ValueError."""
+    try:
+        samples = _decode(data)
+    except (TypeError, struct.error, IndexError, OverflowError, MemoryError, ZeroDivisionError) as cause:
+        raise ValueError("not a whole image") from cause
+    if not samples.size:
+        raise ValueError("an image without samples")
+    return samples
+
+
+def _decode(data: bytes):
     """A Netpbm (P1 to P6) or uncompressed BMP (8, 24 or 32 bits) image as (height, width) or (height, width, 3) samples."""
     import numpy as np
 
@@ -41,8 +52,8 @@ def decode_image(data: bytes):
     if kind == b"BM":
         start, = struct.unpack_from("<I", data, 10)
         head, w, h, _, bits, packed = struct.unpack_from("<IiiHHI", data, 14)
-        if packed or bits not in (8, 24, 32):
-            raise ValueError("BMP of an unsupported kind")
+        if packed or bits not in (8, 24, 32) or w <= 0 or abs(h) * w * bits // 8 > len(data):
+            raise ValueError("BMP of an unsupported kind or size")
         stride = (w * bits // 8 + 3) // 4 * 4
         rows = np.frombuffer(data, np.uint8, stride * abs(h), start).reshape(abs(h), stride)[:, : w * bits // 8]
         rows = rows[::-1] if h > 0 else rows
@@ -138,56 +149,83 @@ def _encoder(form: str):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 512):
-                media, sizes = [], []
+                media, sizes, tiles = [], [], []
                 for text in texts[at : at + 512]:
                     data = text or b""
                     sizes.append(len(data))
                     data += b"\0" * (-len(data) % WIDTH or (0 if data else WIDTH))
-                    media.append(encode(np.frombuffer(data, np.uint8).reshape(-1, WIDTH)))
+                    samples = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+                    media.append(encode(samples))
+                    tiles.append(npy_tile(samples))
                 part = batch.slice(at, len(media))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[ID, REST, "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(tiles, pa.binary())], names=[ID, REST, "n_bytes", "media", "tile"])
 
     return run
 
 
 def store_text_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", form: str = "pgm") -> DataFrame:
-    """A media table, written to the shared folder and read back: id, other columns, n_bytes and media.
+    """A media table, written to the shared folder and read back: id, other columns, n_bytes, media and its NPY tile.
 
     Each text's UTF-8 bytes, with zeros up to a positive multiple of 64, are the samples of a grey image 64 wide."""
-    base = pack(docs, id_col, text_col, ["n_bytes", "media"])
+    base = pack(docs, id_col, text_col, ["n_bytes", "media", "tile"])
     id_type, rest = base.schema[ID].dataType.simpleString(), base.schema[REST].dataType.simpleString()
-    made = base.select(ID, F.col(TEXT).cast("binary"), REST).mapInArrow(_encoder(form), f"{ID} {id_type}, {REST} {rest}, n_bytes bigint, media binary")
-    made = unpack(made, docs.drop(text_col), id_col, text_col, {"n_bytes": F.col("n_bytes"), "media": F.col("media")})
+    made = base.select(ID, F.col(TEXT).cast("binary"), REST).mapInArrow(_encoder(form), f"{ID} {id_type}, {REST} {rest}, n_bytes bigint, media binary, tile binary")
+    made = unpack(made, docs.drop(text_col), id_col, text_col, {c: F.col(c) for c in ("n_bytes", "media", "tile")})
     return materialise(made, "media")
 
 
-def _describe(batches):
-    import hashlib
-    import zlib
+def read_tile(data: bytes):
+    """The samples of an NPY tile."""
+    import io
 
     import numpy as np
-    import pyarrow as pa
-
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "tile"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
-    for batch in batches:
-        rows = []
-        for media in batch.column(2).to_pylist():
-            try:
-                samples = np.ascontiguousarray(decode_image(media))
+
+    return np.load(io.BytesIO(data), allow_pickle=False)
+
+
+def _describe(stored: bool):
+    """Rows (id, other columns, media, tile if stored) described; a tile is made where none is stored."""
+
+    def run(batches):
+        import hashlib
+        import zlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.float64()]
+        for batch in batches:
+            rows = []
+            tiles = batch.column(3).to_pylist() if stored else [None] * batch.num_rows
+            for media, tile in zip(batch.column(2).to_pylist(), tiles):
+                try:
+                    samples = np.ascontiguousarray(decode_image(media))
+                    tile = tile or npy_tile(samples)
+                    mean = float(read_tile(tile).mean())
+                except (ValueError, TypeError):
+                    rows.append((None,) * len(OWN))
+                    continue
                 payload = samples.tobytes()
-            except (ValueError, TypeError, struct.error, IndexError):
-                rows.append((None,) * 9)
-                continue
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(samples), samples.shape[1], samples.shape[0], npy_tile(samples)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[ID, REST, *names])
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(samples), samples.shape[1], samples.shape[0], tile, mean))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[ID, REST, *OWN])
+
+    return run
+
+
+OWN = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "tile", "tile_mean")
 
 
-def describe_media(table: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """What the decoded samples of each image show: sizes, digests, difference hash and NPY tile."""
-    own = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "tile"]
-    base = pack(table, id_col, media_col, own)
+def describe_media(table: DataFrame, id_col: str = "doc_id", media_col: str = "media", tile_col: str | None = None) -> DataFrame:
+    """What the decoded samples of each image show: sizes, digests, difference hash, NPY tile (read from tile_col, or made) and the
+    tile's mean."""
+    base = pack(table, id_col, media_col, list(OWN))
     id_type, rest = base.schema[ID].dataType.simpleString(), base.schema[REST].dataType.simpleString()
-    schema = f"{ID} {id_type}, {REST} {rest}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width int, height int, tile binary"
-    made = base.select(ID, REST, TEXT).mapInArrow(_describe, schema)
-    return unpack(made, table.drop(media_col), id_col, media_col, {c: F.col(c) for c in own})
+    schema = f"{ID} {id_type}, {REST} {rest}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width int, height int, tile binary, tile_mean double"
+    given = base.select(ID, REST, TEXT)
+    if tile_col:  # beside the packed columns, as tile is a name of the result
+        in_small_batches(table.sparkSession)
+        rest_cols = [c for c in table.columns if c.lower() not in {id_col.lower(), media_col.lower(), *OWN}]
+        packed = F.struct(*[F.col(f"`{c}`") for c in rest_cols]) if rest_cols else F.struct(F.lit(None).cast("int").alias("__none"))
+        given = table.select(F.col(f"`{id_col}`").alias(ID), packed.alias(REST), F.col(f"`{media_col}`").alias(TEXT), F.col(f"`{tile_col}`").alias("__tile"))
+    made = given.mapInArrow(_describe(bool(tile_col)), schema)
+    return unpack(made, table.drop(media_col), id_col, media_col, {c: F.col(c) for c in OWN})

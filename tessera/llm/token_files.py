@@ -77,10 +77,37 @@ def read_ids(image, start: int = 0, stop: int | None = None):
     return ids[start - skip : stop - skip]
 
 
-class WordEncoder:
-    """Encodes through the library, one distinct run of characters between ASCII white space at a time.
+def drops_white_space(spec: dict) -> bool:
+    """Whether a tokenizer's description shows that runs between ASCII white space are encoded each by itself: what it does
+    to characters looks at no neighbours over white space, its first cut drops white space, and no added token holds,
+    or eats, any."""
+    flat = lambda x, key: [y for z in x[key] for y in flat(z, key)] if x and x.get("type") == "Sequence" else [x] if x else []
+    for n in flat(spec.get("normalizer"), "normalizers"):
+        blank = n["type"] == "Replace" and n.get("content") in ("", " ") and n.get("pattern", {}).get("Regex") in (r"\s+", r"\s")
+        if n["type"] not in ("NFC", "NFD", "Lowercase", "StripAccents") and not blank:
+            return False
+    cuts = flat(spec.get("pre_tokenizer"), "pretokenizers")
+    if not cuts:
+        return False
+    first, *rest = cuts
+    regex = (first.get("pattern") or {}).get("Regex", "")
+    split = first["type"] == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and regex.endswith(LETTERS_DIGITS_SIGNS) and "\\s" not in regex[: -len(LETTERS_DIGITS_SIGNS)] and " " not in regex
+    if not split and first["type"] not in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer"):
+        return False
+    if any(r["type"] not in ("ByteLevel", "Digits", "Punctuation") or r.get("add_prefix_space") for r in rest):
+        return False
+    if spec.get("truncation") or spec.get("padding"):
+        return False
+    return not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens") or [])
+
+
+#: The end of a cut into letters, single digits and runs of other signs.
+LETTERS_DIGITS_SIGNS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 
-    Exact for a tokenizer that drops white space: no token, special string or composition of characters spans it."""
+class WordEncoder:
+    """Encodes through the library: one distinct run of characters between ASCII white space at a time where the tokenizer
+    drops white space, whole texts for any other tokenizer."""
 
     def __init__(self, tokenizer_path: str):
         import json
@@ -91,9 +118,10 @@ class WordEncoder:
 
         self.tokenizer, self.words = Tokenizer.from_file(tokenizer_path), {}
         spec = json.loads(self.tokenizer.to_str())
+        self.by_word = drops_white_space(spec)
         self.lowers = '"Lowercase"' in json.dumps(spec["normalizer"])
-        first = spec["pre_tokenizer"].get("pretokenizers", [{}])[0]
-        self.splits = first.get("type") == "Split" and first["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.splits = self.by_word and first.get("type") == "Split"
         self.two = re.compile(rb"([A-Za-z]+)([!-&(-/:;=>?@\[-`{}~]+)")
         self.marks = [(d.encode(), ids[0]) for d in "0123456789" if len(ids := self.tokenizer.encode(d, add_special_tokens=False).ids) == 1]
 
@@ -101,6 +129,12 @@ class WordEncoder:
         """The ids of each text as little-endian u32."""
         import numpy as np
 
+        if not self.by_word:
+            out = []
+            for at in range(0, len(texts), 64):
+                found = self.tokenizer.encode_batch_fast([t.decode(errors="replace") for t in texts[at : at + 64]], add_special_tokens=False)
+                out += [np.asarray(e.ids, "<u4").tobytes() for e in found]
+            return out
         # lower-casing ASCII texts beforehand changes no ids, unless it makes a special string; fewer words are left
         split = [(t.lower() if self.lowers and t.isascii() and b"<|" not in t else t).split() for t in texts]
         if len(self.words) > CACHED_WORDS:

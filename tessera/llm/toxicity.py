@@ -3,7 +3,9 @@
 Folding lower-cases, maps homoglyphs (Cyrillic, Greek, full-width) and digit substitutions inside words to Latin
 letters, drops combining and invisible marks, and makes every run of other characters one space; a folded text starts
 and ends with a space. Lexicon entries are whole words (" word ") and word beginnings (" begin").
-Exception phrases are entries without weight: a match inside one does not count.
+A word's last digits and signs are marks in the folded text, and letters in a second reading of that word (a$$).
+Exception phrases are entries without weight: a match inside one does not count. Pairs of words are learned as such where
+they set texts without toxicity apart, though one of the words is an entry.
 
 The lexicon and the score's curve are learned from labelled rows: entries are scored by smoothed log-odds of document
 counts, and a logistic curve is fitted on the weighted hits, plain and per word. Scores read texts only.
@@ -35,7 +37,9 @@ HOMOGLYPHS = {
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ⅼ": "l",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-#: Phrases whose words are meant otherwise.
+#: Those of them that may end a word.
+ENDINGS = "".join(k for k in SUBSTITUTES if k != "!")
+#: Phrases whose words are meant otherwise, besides those learned from labels.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clown car", "sore loser", "idiot proof")
 
 
@@ -65,6 +69,13 @@ def fold(text: str) -> str:
     return f" {' '.join(signs.sub(_letters, text).translate(_fold_table()).split())} "
 
 
+def endings(text: str) -> list[str]:
+    """Other readings of words that end in digits or signs: these too read as letters, each word folded by itself."""
+    held = worker_cache("toxicity").setdefault("toxicity:ends", re.compile(rf"[^\W\d_][^\W_]*?[{re.escape(ENDINGS)}]+(?![^\W_])"))
+    read = lambda m: m[0].translate({ord(k): v for k, v in SUBSTITUTES.items()})
+    return [fold(read(m)) for m in held.finditer(text)]
+
+
 @dataclass
 class Lexicon:
     """Entries with their weights, exception phrases, and the curve: score = 1 / (1 + exp(-(a + b·plain + c·dense)))."""
@@ -86,10 +97,14 @@ class Lexicon:
             found.make_automaton()
         return found
 
+    def matches(self, word: str) -> bool:
+        """Whether a folded word is an entry, or begins with one."""
+        return f" {word} " in self.entries or any(f" {word[:n]}" in self.entries for n in BEGINNINGS if len(word) >= n)
+
     def hits(self, text: str | None) -> tuple[float, float]:
         """The sum of the weights of the words that match, and that sum per 100 words."""
         folded = fold(text or "")
-        cache, key = worker_cache("toxicity"), f"toxicity:{self.key}"
+        cache, key = worker_cache("toxicity"), f"machine:{self.key}"
         machine = cache.get(key) or cache.setdefault(key, self.automaton())
         if not len(machine):
             return 0.0, 0.0
@@ -104,6 +119,8 @@ class Lexicon:
         if spared:
             best = {at: w for at, w in best.items() if not any(a <= at < b for a, b in spared)}
         plain = float(sum(best.values()))
+        for word in endings(text or ""):
+            plain += max((w for end, (n, w) in machine.iter(word) if w is not None and end == n - 1), default=0.0)
         return plain, 100.0 * plain / max(1, folded.count(" ") - 1)
 
     def score(self, text: str | None) -> float:
@@ -131,6 +148,25 @@ def _terms(lengths):
     return run
 
 
+def _phrases(lexicon):
+    """Pairs of neighbouring words one of which is matched, once a text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            terms, toxic = [], []
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = fold(text or "").split()
+                hit = {w for w in set(words) if lexicon.value.matches(w)}
+                found = {f"{v} {w}" for v, w in zip(words, words[1:]) if v in hit or w in hit}
+                terms += found
+                toxic += [label] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(toxic, pa.int32())], names=["term", "toxic"])
+
+    return run
+
+
 def _measured(lexicon):
     def run(batches):
         import pyarrow as pa
@@ -179,10 +215,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     entries = {r.term: r.w for r in found.collect()}
     if not entries:
         return Lexicon(key="none")
-    key = str(hash((tuple(sorted(entries.items())), EXCEPTIONS)))
-    sent = spark.sparkContext.broadcast(Lexicon(entries, EXCEPTIONS, None, key))
+    # a pair of words that sets texts apart the other way is an exception: its match is meant otherwise
+    pairs = rows.mapInArrow(_phrases(spark.sparkContext.broadcast(Lexicon(entries, (), None, "entries"))), "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    kinder = F.log((F.col("good") + 0.5) / (good + 1.0)) - F.log((F.col("bad") + 0.5) / (bad + 1.0))
+    learned = [r.term for r in pairs.where(F.col("good") >= 2 * LEAST_DOCS).where(kinder > LEAST_WEIGHT).select("term").collect()]  # pairs of fit_rows texts
+    exceptions = tuple(sorted({*EXCEPTIONS, *learned}))
+    key = str(hash((tuple(sorted(entries.items())), exceptions)))
+    sent = spark.sparkContext.broadcast(Lexicon(entries, exceptions, None, key))
     measured = rows.mapInArrow(_measured(sent), "plain double, dense double, toxic int").collect()  # three numbers for each of fit_rows
-    return Lexicon(entries, EXCEPTIONS, _curve([tuple(r) for r in measured]), key)
+    return Lexicon(entries, exceptions, _curve([tuple(r) for r in measured]), key)
 
 
 def _scorer(lexicon):

@@ -90,3 +90,48 @@ def test_prefix_terms_lose_nothing():
     for i in range(len(licenses.TEMPLATES)):
         rest = math.sqrt(sum(w * w for k, _, t, w in rows if k == i and t not in keep))
         assert rest < licenses.THRESHOLD
+
+
+def test_unseen_pages_and_where_the_cut_decides():
+    """Text of fresh made-up pages against their known blocks; and blocks that the classifier alone would judge otherwise."""
+    import random
+
+    rng, right, found, true, alone_wrong, cut_wrong = random.Random(77), 0, 0, 0, 0, 0
+    weights = html_text.train()
+    for _ in range(600):
+        html, truth = html_text._made_up(rng)
+        blocks = html_text.blocks_of(html)
+        if len(blocks) != len(truth):
+            continue
+        kept = html_text.label(blocks, weights)
+        alone_wrong += sum((html_text.content_cost(b, weights) <= 0) != t for b, t in zip(blocks, truth))
+        cut_wrong += sum(k != t for k, t in zip(kept, truth))
+        right, found, true = right + sum(k and t for k, t in zip(kept, truth)), found + sum(kept), true + sum(truth)
+        assert html_text.main_text(html, weights) == "\n\n".join(b.text for b, k in zip(blocks, kept) if k)
+    assert right / found > 0.97 and right / true > 0.95 and cut_wrong <= alone_wrong
+
+
+def test_a_weak_block_follows_its_neighbours():
+    """A line that the classifier cannot tell stays between paragraphs, and goes between links."""
+    weights = html_text.train()
+    say = "<p>" + "many words of a long and quiet paragraph, with a stop. " * 4 + "</p>"
+    link = "<p><a href='/x'>more here</a></p>"
+    cost = lambda line: abs(html_text.content_cost(html_text.blocks_of(line)[0], weights))
+    line = min((f"<p>{'o' * (40 - n)} of <a href='/x'>{'t' * n}</a></p>" for n in range(1, 40)), key=cost)
+    text = html_text.blocks_of(line)[0].text
+    inside, outside = f"<div>{say}{line}{say}</div>", f"<div>{link * 3}{line}{link * 3}</div><div>{say}</div>"
+    assert cost(line) < 1 and text in html_text.main_text(inside, weights) and text not in html_text.main_text(outside, weights)
+    alone = [html_text.content_cost(b, weights) for html in (inside, outside) for b in html_text.blocks_of(html) if b.text == text]
+    assert alone[0] == alone[1]  # the classifier sees no difference: the cut decides
+
+
+@pytest.mark.parametrize("piece", ["<div>x y z", "<b>", "<a ", "<p>x ", "<li>x", "<td>x", "</b></p>", "<div class=ad>x</div><p>words and words.</p>", "<!-- ", "<script>", "&amp;", "<table><tr>"])
+def test_long_pages_take_linear_time(piece):
+    import time
+
+    weights, took = html_text.train(), []
+    for n in (2_000, 16_000):
+        began = time.perf_counter()
+        html_text.main_text(piece * n, weights)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0] + 0.5

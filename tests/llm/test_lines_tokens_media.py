@@ -150,3 +150,52 @@ def test_decontamination(spark, block_bytes):
     none = decontaminate.find_contamination(docs(spark, rows), table.limit(0), block_bytes=block_bytes).collect()
     assert all(r.n_hit == 0 for r in none) and len(none) == len(rows)
     assert decontaminate.find_contamination(docs(spark, []), table, block_bytes=block_bytes).count() == 0
+
+
+def bmp(w, h, bits=8):
+    import struct
+
+    return b"BM" + struct.pack("<IHHI", 100, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, bits, 0, 0, 0, 0, 0, 0) + b"\0" * 40
+
+
+@pytest.mark.parametrize("data", [b"P5 99999999999 x", b"P5 99999999999 99999999999 255\n", b"P5 0 4 255\n", b"P5 4 0 255\n", b"P6 0 0 255\n", b"P2 0 1 255\n", b"P1 3 0\n", b"P4 0 0\n", b"P5\n#", b"P5 -1 4 255\n", bmp(0, 3), bmp(3, 0), bmp(2**31 - 1, 2**31 - 1), bmp(-5, 3), bmp(1 << 20, 1 << 20, 24), b"BM", b"P3\n1 1\n255\n1 2", b"P7", b"P5 2 2 255", b"P1 1 1\nx"])
+def test_unreadable_images_give_nulls(spark, data):
+    if data != b"P1 1 1\nx":
+        with pytest.raises(ValueError):
+            media.decode_image(data)
+    row = next(iter(media._describe(False)([batch_of(data)]))).to_pylist()[0]
+    assert data == b"P1 1 1\nx" or row["payload_sha256"] is None and row["feature"] is None and row["tile"] is None
+
+
+def batch_of(data):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([1]), pa.array([{"x": 1}]), pa.array([data], pa.binary())], names=["__id", "__rest", "__text"])
+
+
+def test_tiles_are_stored_and_read_back(spark):
+    table = media.store_text_as_media(docs(spark, [(1, "b" * 640), (2, None)]))
+    assert "tile" in table.columns
+    got = {r.doc_id: r for r in media.describe_media(table, tile_col="tile").collect()}
+    assert media.read_tile(got[1].tile).tolist() == [[98] * 16] * 16 and got[1].tile_mean == 98.0 and got[2].tile_mean == 0.0
+    assert {r.doc_id: bytes(r.tile) for r in table.collect()} == {i: bytes(r.tile) for i, r in got.items()}
+
+
+def built(kind):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    made = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz ĠĊ▁")}, merges=[]))
+    made.pre_tokenizer = {"bytes": pre_tokenizers.ByteLevel(add_prefix_space=False), "metaspace": pre_tokenizers.Metaspace(), "white": pre_tokenizers.Whitespace(), "none": None, "digits": pre_tokenizers.Digits()}[kind] if kind != "none" else made.pre_tokenizer
+    if kind == "white":
+        made.normalizer = normalizers.Lowercase()
+    return made
+
+
+@pytest.mark.parametrize("kind", ["bytes", "metaspace", "white", "none", "digits"])
+def test_tokenizers_that_keep_white_space(tmp_path, kind):
+    path = f"{tmp_path}/t.json"
+    built(kind).save(path)
+    encoder = token_files.WordEncoder(path)
+    assert encoder.by_word == (kind == "white")
+    texts = ["hello world", " a  b\n\tc ", "", "one", "x y z"]
+    assert [list(np.frombuffer(x, "<u4")) for x in encoder.encode([t.encode() for t in texts])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
