@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_dir
 
-__all__ = ["ID", "REST", "TEXT", "in_small_batches", "materialise", "pack", "partitions", "shared_dir", "table", "trim", "unpack", "worker_cache"]
+__all__ = ["ID", "REST", "TEXT", "hot_keys", "in_small_batches", "materialise", "pack", "partitions", "shared_dir", "spread_join", "table", "trim", "unpack", "worker_cache"]
 
 ID, TEXT, REST = "__id", "__text", "__rest"
 BATCH_ROWS = 1024
@@ -50,6 +50,26 @@ def unpack(df: DataFrame, like: DataFrame, id_col: str, text_col: str, own: dict
     return df.select(*out, *[v.alias(k) for k, v in own.items()])
 
 
+def hot_keys(counts: DataFrame, key: str, spark: SparkSession) -> DataFrame:
+    """(key, parts) of the keys that hold so many of the rows that one task should not: counts holds key and n.
+
+    A key is hot from a quarter of a partition's even share on, so that there are at most four times as many hot keys as
+    shuffle partitions: they may be broadcast whatever the size of the data."""
+    share = 4 * partitions(spark)
+    whole = counts.agg(F.sum("n").alias("whole"))  # one row
+    parts = F.ceil(F.col("n") * share / F.col("whole")).cast("int")
+    return counts.crossJoin(F.broadcast(whole)).where(F.col("n") * share > F.col("whole")).select(F.col(key), parts.alias("parts"))
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """many joined with one (a row a key) on key, the rows of hot keys dealt over parts by a hash of the columns by; one's
+    rows of hot keys are sent to each part."""
+    salt = F.pmod(F.xxhash64(*by), F.coalesce("parts", F.lit(1))).cast("int")
+    left = many.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).drop("parts")
+    right = one.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 def worker_cache(owner: str) -> dict:
     """A dict that lives across the tasks of a Python worker, for one operator at a time: the next operator's call frees it."""
     import pyspark

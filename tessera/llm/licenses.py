@@ -10,8 +10,10 @@ that hold terms are licensed; the best licence file of a directory (by score, th
 directory, and a file without a licence takes that of the nearest directory at or above it that has one.
 
 DataFrame operations only. A line or block can reach the threshold only if it holds a term of a template's prefix (its weightiest
-terms, until the rest has a norm below the threshold; everyday words go last) and if its known terms may outweigh its
-unknown ones: others are dropped before any shuffle. The templates' terms are broadcast; their number is fixed by TEMPLATES and BLOCKS.
+terms, until the rest has a norm below the threshold; everyday words go last): texts, and then parts, without any are
+dropped, which loses none. Texts that stay move once, by path, and all their parts are judged there. The templates' terms
+are broadcast; their number is fixed by TEMPLATES and BLOCKS. Directories and ancestors that hold many rows are dealt over
+parts in the joins (see hot_keys).
 
 Defined cases: null and empty texts have no lines with terms; null paths are files at the root with an empty name; rows
 that repeat a path are one file with the lines of all; ties go to the first licence by name; an empty table gives an
@@ -25,11 +27,9 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hot_keys, materialise, spread_join
 
 THRESHOLD = 0.6
-#: Parts over which the files of a directory are dealt in the last join.
-SALTS = 16
 #: Notices and opening passages by which licences are known.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -85,7 +85,9 @@ BLOCKS = (
     *((n, f"SPDX-License-Identifier: {n}{end}") for n, ends in _SPDX.items() for end in ("", *ends)),
 )
 #: Copyright statements in lower case: they name holders, not licences.
-COPYRIGHT = r"(?:copyright\s*(?:\(c\)|\u00a9)?|\(c\)|\u00a9)\s*[0-9]{4}[^.\n]*(?:\.|(?=\n)|$)|all rights reserved\.?"
+COPYRIGHT = r"(?:copyright[\t-\r ]*(?:\(c\)|\u00a9)?|\(c\)|\u00a9)[\t-\r ]*[0-9]{4}[^.\n]*\.?|all rights reserved\.?"
+#: Once a line that holds a term: from its first term to its end.
+WITH_TERMS = r"[a-z0-9][^\n]*"
 #: Words too common to look a line up by.
 EVERYDAY = ("a", "an", "and", "any", "at", "by", "for", "in", "is", "it", "of", "or", "that", "the", "this", "to", "under", "with", "without", "you", "0", "1", "2", "3", "4")
 LICENCE_NAME = r"(?i)^(un)?licen[sc]es?([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
@@ -122,87 +124,72 @@ def prefix_terms(rows, threshold: float) -> list[str]:
     return sorted(out)
 
 
-def may_reach(terms: str, idf: dict[str, float], unknown: float, threshold: float):
-    """Whether a line's known terms may outweigh its unknown ones enough for the threshold: a bound within the row.
-
-    The cosine squared is at most K / (K + U), with K and U the squared weights of known and unknown terms. Of a term held
-    t times, (1 + ln t)^2 <= 1.5 t bounds its part of K, and 1 its part of U from below."""
-    groups: dict[float, list[str]] = {}
-    for t, w in idf.items():
-        groups.setdefault(w, []).append(t)
-
-    def square(t):
-        out = F.lit(0.0)
-        for w, names in sorted(groups.items()):
-            out = F.when(t.isin(names), F.lit(1.5 * w * w)).otherwise(out)
-        return out
-
-    known = F.aggregate(terms, F.lit(0.0), lambda s, t: s + square(t))
-    strange = F.size(F.array_distinct(F.filter(terms, lambda t: ~t.isin(sorted(idf)) & (t != "")))) * F.lit(unknown * unknown)
-    return known * (1 + 1e-9) >= threshold * threshold * (known + strange)
-
-
-def nearest_template(parts: DataFrame, keys: list[str], templates, threshold: float) -> DataFrame:
-    """(keys, b: (less, license)) of the parts (keys, terms) that reach the threshold with a template; less is the negated score."""
-    spark = parts.sparkSession
-    rows, idf, unknown = vectors(templates)
-    lookup = F.array(*[F.lit(t) for t in prefix_terms(rows, threshold)])
-    held = parts.where(F.arrays_overlap("terms", lookup)).where(may_reach("terms", idf, unknown, threshold))
-
-    # the parts that may reach the threshold, as bags of terms
-    each = held.select(*keys, F.posexplode("terms").alias("at", "term")).where("term <> ''").distinct()
-    bags = each.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-    known = spark.sql("select * from values " + ", ".join(f"('{t}', {w!r}D)" for t, w in sorted(idf.items())) + " as t(term, idf)")
-    weighed = bags.join(F.broadcast(known), "term", "left").withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.lit(unknown)))
-    units = spark.sql("select * from values " + ", ".join(f"({i}, '{n}', '{t}', {w!r}D)" for i, n, t, w in rows) + " as t(template, license, term, unit)")
-    norms = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(units), "term").groupBy(*keys, "license", "template").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
-    scored = dots.join(norms, keys).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
-    return scored.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("b"))
-
-
-def outspoken(parts: DataFrame, whole: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, b): of parts (keys, n, b), summed, and whole (keys, size, b), whole where it comes nearer than each part."""
-    inner = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("b").alias("b"))
-    both = inner.join(whole.select(*keys, "size", F.col("b").alias("wb")), keys, "full")
-    wins = F.col("wb").isNotNull() & (F.col("b").isNull() | (F.col("wb.less") < F.col("b.less")))
-    return both.select(*keys, F.when(wins, F.col("size")).otherwise(F.col("n")).alias("n"), F.when(wins, F.col("wb")).otherwise(F.col("b")).alias("b"))
+def _literals(spark, rows, columns: str) -> DataFrame:
+    return spark.sql("select * from values " + ", ".join(rows) + f" as t({columns})")
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, blocks=BLOCKS) -> DataFrame:
     """A row per path: path, lines (with terms), licensed (lines), license, score, origin (own, inherited, none), license_path."""
+    spark = files.sparkSession
     # rows of one path are told apart by their texts; alike rows are one
     held = files.select(F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")).alias("path"), F.xxhash64(F.col(f"`{text_col}`")).alias("copy"), F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text"))
-    held = held.withColumn("texts", F.split("text", "\n", -1))
-    size = lambda texts: F.size(F.filter(texts, lambda t: t.rlike("[a-z0-9]")))
     named = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_NAME)
-    holders = lambda text: text.contains("copyright") | text.contains("(c)") | text.contains("\u00a9") | text.contains("all rights reserved")
-    terms = lambda text: F.split(F.when(holders(text), F.regexp_replace(text, COPYRIGHT, " ")).otherwise(text), "[^a-z0-9]+")
+    cut = lambda text: F.split(text, "[^a-z0-9]+")
+    sets = [vectors(templates), vectors((*templates, *blocks))]
+    prefixes = [F.array(*[F.lit(t) for t in prefix_terms(rows, threshold)]) for rows, _, _ in sets]
 
+    # only texts that hold a prefix term of any template are looked into; they move once, to where all their parts are judged
+    looked = held.where(F.arrays_overlap(cut(F.col("text")), F.array_distinct(F.concat(*prefixes)))).dropDuplicates(["path", "copy"])
+    holders = lambda text: text.contains("copyright") | text.contains("(c)") | text.contains("\u00a9") | text.contains("all rights reserved")
+    spoken_of = lambda text: cut(F.when(holders(text), F.regexp_replace(text, COPYRIGHT, " ")).otherwise(text))
+    size = lambda text: F.regexp_count(text, F.lit(WITH_TERMS))
+    part = lambda kind, block, pos, n, terms: F.struct(F.lit(kind).alias("kind"), block.alias("block"), pos.alias("pos"), n.cast("int").alias("size"), terms.alias("terms"))
+    none = F.lit(-1)
     # lines without terms part the blocks
-    runs = held.select("path", "copy", F.posexplode(F.split("text", "\n[^a-z0-9]*\n", -1)).alias("block", "run"))
-    lines = runs.select("path", "copy", "block", F.posexplode(F.split("run", "\n", -1)).alias("pos", "line")).select("path", "copy", "block", "pos", F.split("line", "[^a-z0-9]+").alias("terms"))
-    by_line = nearest_template(lines, ["path", "copy", "block", "pos"], templates, threshold).select("path", "copy", "block", F.lit(1).alias("n"), "b")
-    whole = (*templates, *blocks)
-    sized = runs.select("path", "copy", "block", size(F.split("run", "\n", -1)).alias("size"), terms(F.col("run")).alias("terms"))
-    by_block = outspoken(by_line, nearest_template(sized, ["path", "copy", "block", "size"], whole, threshold), ["path", "copy", "block"])
-    # texts of other files are set to null, as the filter alone does not keep Spark from cutting them into terms
-    texts = held.where(named).select("path", "copy", F.when(named, size("texts")).alias("size"), F.when(named, terms(F.col("text"))).alias("terms"))
-    by_file = outspoken(by_block, nearest_template(texts, ["path", "copy", "size"], whole, threshold), ["path", "copy"])
+    of_block = lambda run, k: F.concat(F.array(part("block", k, none, size(run), spoken_of(run))), F.transform(F.split(run, "\n", -1), lambda line, i: part("line", k, i, F.lit(1), cut(line))))
+    parts = F.flatten(F.transform(F.split("text", "\n[^a-z0-9]*\n", -1), of_block))
+    whole = F.when(named, F.array(part("file", none, none, size(F.col("text")), spoken_of(F.col("text")))))
+    each = looked.select("path", "copy", F.explode(F.concat(parts, F.coalesce(whole, F.slice(parts, 1, 0)))).alias("p")).select("path", "copy", "p.*")
+    wide = (F.col("kind") != "line").cast("int")
+    each = each.withColumn("wide", wide).where(F.when(F.col("wide") == 0, F.arrays_overlap("terms", prefixes[0])).otherwise(F.arrays_overlap("terms", prefixes[1])))
+
+    # from here on rows stay with their path and copy: every grouping's keys begin with these two
+    keys = ["path", "copy", "kind", "block", "pos", "size", "wide"]
+    bags = each.select(*keys, F.explode("terms").alias("term")).where("term <> ''").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    known = _literals(spark, [f"({i}, '{t}', {w!r}D)" for i, (_, idf, _) in enumerate(sets) for t, w in sorted(idf.items())], "wide, term, idf")
+    units = _literals(spark, [f"({i}, {k}, '{n}', '{t}', {w!r}D)" for i, (rows, _, _) in enumerate(sets) for k, n, t, w in rows], "wide, template, license, term, unit")
+    strange = F.when(F.col("wide") == 0, F.lit(sets[0][2])).otherwise(F.lit(sets[1][2]))
+    weighed = bags.join(F.broadcast(known), ["wide", "term"], "left").withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", strange))
+    # of a part: its length, and its weights of known terms, of which there are no more than the templates have
+    vector = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("known"))
+    dots = vector.select(*keys, "norm", F.explode("known").alias("k")).select(*keys, "norm", "k.*").join(F.broadcast(units), ["wide", "term"]).groupBy(*keys, "license", "template").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"), F.max("norm").alias("norm"))
+    scored = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
+    best = scored.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("b"))
+
+    # a block speaks for all its lines where it comes nearer than each of them, and a file for all its blocks
+    of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("b")))
+    inner = best.groupBy("path", "copy", "block").agg(F.count(F.when(F.col("kind") == "line", 1)).alias("n"), of("line").alias("b"), F.min(F.when(F.col("kind") != "line", F.col("b"))).alias("wb"), F.max(F.when(F.col("kind") != "line", F.col("size"))).alias("size"))
+    wins = lambda b, wb: wb.isNotNull() & (b.isNull() | (wb["less"] < b["less"]))
+    won = wins(F.col("b"), F.col("wb"))
+    judged = inner.select("path", "copy", "block", F.when(won, F.col("size")).otherwise(F.col("n")).alias("n"), F.when(won, F.col("wb")).otherwise(F.col("b")).alias("b"))
+    lone = F.col("block") < 0
+    outer = judged.groupBy("path", "copy").agg(F.sum(F.when(~lone, F.col("n"))).alias("n"), F.min(F.when(~lone, F.col("b"))).alias("b"), F.min(F.when(lone, F.col("b"))).alias("wb"), F.max(F.when(lone, F.col("n"))).alias("size"))
+    by_file = outer.select("path", "copy", F.when(won, F.col("size")).otherwise(F.col("n")).alias("n"), F.when(won, F.col("wb")).otherwise(F.col("b")).alias("b"))
     own = by_file.groupBy("path").agg(F.sum("n").alias("licensed"), F.min("b").alias("b")).select("path", "licensed", F.col("b.license").alias("own"), (-F.col("b.less")).alias("own_score"))
-    total = held.groupBy("path", "copy").agg(F.max(size("texts")).alias("lines")).groupBy("path").agg(F.sum("lines").alias("lines"))
+    total = held.select("path", "copy", size(F.col("text")).alias("lines")).groupBy("path", "copy").agg(F.max("lines").alias("lines")).groupBy("path").agg(F.sum("lines").alias("lines"))
     found = materialise(total.join(own, "path", "left").withColumn("directory", F.regexp_replace("path", "/?[^/]*$", "")), "licenses")
 
     # directories that a licence file speaks for, and the nearest of them at or above each directory
     speaks = found.where(F.col("own").isNotNull() & (named | (2 * F.col("licensed") >= F.col("lines"))))
     spoken = speaks.groupBy("directory").agg(F.min(F.struct((-F.col("own_score")).alias("less"), F.col("own").alias("license"), F.col("path").alias("from"))).alias("v"))
-    directories = found.select("directory").distinct()
-    parts = F.split("directory", "/")
-    above = directories.select("directory", F.posexplode(F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("up", "ancestor")).distinct()
-    nearest = above.join(spoken.withColumnRenamed("directory", "ancestor"), "ancestor").groupBy("directory").agg(F.min(F.struct("up", "v")).alias("n"))
-    heir = nearest.select("directory", F.col("n.v.license").alias("inherited"), (-F.col("n.v.less")).alias("inherited_score"), F.col("n.v.from").alias("from"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    # a directory may hold a third of all files: they are dealt over the salts
-    out = found.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(heir, ["directory", "salt"], "left")
+    directories = found.groupBy("directory").agg(F.count(F.lit(1)).alias("n"))
+    levels = F.split("directory", "/")
+    above = directories.select("directory", F.posexplode(F.transform(F.sequence(F.size(levels), F.lit(0), F.lit(-1)), lambda k: F.array_join(F.slice(levels, 1, k), "/"))).alias("up", "ancestor"))
+    crowded = hot_keys(above.groupBy("ancestor").agg(F.count(F.lit(1)).alias("n")), "ancestor", spark)
+    nearest = spread_join(above, spoken.withColumnRenamed("directory", "ancestor"), "ancestor", crowded, ["directory"]).groupBy("directory").agg(F.min(F.struct("up", "v")).alias("n"))
+    heir = nearest.select("directory", F.col("n.v.license").alias("inherited"), (-F.col("n.v.less")).alias("inherited_score"), F.col("n.v.from").alias("from"))
+    # a directory may hold a third of all files
+    out = spread_join(found, heir, "directory", hot_keys(directories, "directory", spark), ["path"], "left")
     return out.select(
         "path",
         F.col("lines").cast("bigint").alias("lines"),
@@ -214,32 +201,43 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     )
 
 
-def oracle_sql(files: str, first: str, threshold: float = THRESHOLD, templates=TEMPLATES) -> str:
+def oracle_sql(files: str, first: str, threshold: float = THRESHOLD, templates=TEMPLATES, blocks=BLOCKS) -> str:
     """The scan of distinct paths as DuckDB SQL; files selects path and text, first is one more output column."""
-    rows, idf, unknown = vectors(templates)
-    known = ", ".join(f"('{t}', cast({w!r} as double))" for t, w in sorted(idf.items()))
-    units = ", ".join(f"({i}, '{n}', '{t}', cast({w!r} as double))" for i, n, t, w in rows)
+    sets = [vectors(templates), vectors((*templates, *blocks))]
+    known = ", ".join(f"({i}, '{t}', cast({w!r} as double))" for i, (_, idf, _) in enumerate(sets) for t, w in sorted(idf.items()))
+    units = ", ".join(f"({i}, {k}, '{n}', '{t}', cast({w!r} as double))" for i, (rows, _, _) in enumerate(sets) for k, n, t, w in rows)
+    copyright = COPYRIGHT.replace(r"\u00a9", r"\x{a9}")
+    name = "regexp_matches(split_part(path, '/', -1), '" + LICENCE_NAME + "')"
+    outspoken = "case when wb is not null and (b is null or wb.less < b.less) then {0} else {1} end"
     return f"""
 with files as ({files}),
-known(term, idf) as (values {known}),
-units(template, license, term, unit) as (values {units}),
-texts as (
-  select path, unnest(string_split(lower(coalesce(text, '')), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from files),
-terms as (select path, pos, unnest(regexp_extract_all(line, '[a-z0-9]+')) as term from texts),
-bags as (select path, pos, term, count(*) as tf from terms group by all),
-weighed as (select b.*, (1 + ln(tf)) * coalesce(idf, {unknown!r}) as w from bags b left join known using (term)),
-norms as (select path, pos, sqrt(sum(w * w)) as norm from weighed group by all),
-dots as (select path, pos, license, template, sum(w * unit) as dot from weighed join units using (term) group by all),
-scored as (select path, pos, license, round(dot / norm, 6) as score from dots join norms using (path, pos) where round(dot / norm, 6) >= {threshold}),
-best as (select *, row_number() over (partition by path, pos order by score desc, license) as k from scored),
-own as (
-  select path, count(*) as licensed, first(license order by score desc, license) as license, max(score) as score from best where k = 1 group by path),
-total as (select path, count(*) filter (regexp_matches(line, '[a-z0-9]')) as lines from texts group by path),
+known(wide, term, idf) as (values {known}),
+units(wide, template, license, term, unit) as (values {units}),
+low as materialized (select path, lower(coalesce(text, '')) as text from files),
+runs as (select path, unnest(r) as run, generate_subscripts(r, 1) as block from (select path, string_split_regex(text, '\n[^a-z0-9]*\n') as r from low)),
+parts as materialized (
+  select path, 'line' as kind, block, generate_subscripts(string_split(run, chr(10)), 1) as pos, 1 as size, 0 as wide, unnest(string_split(run, chr(10))) as part from runs
+  union all
+  select path, 'block', block, -1, len(list_filter(string_split(run, chr(10)), lambda x: regexp_matches(x, '[a-z0-9]'))), 1, regexp_replace(run, '{copyright}', ' ', 'g') from runs
+  union all
+  select path, 'file', -1, -1, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[a-z0-9]'))), 1, regexp_replace(text, '{copyright}', ' ', 'g') from low where {name}),
+terms as (select * exclude (part), unnest(regexp_extract_all(part, '[a-z0-9]+')) as term from parts),
+bags as materialized (select *, count(*) as tf from terms group by all),
+weighed as (select b.*, (1 + ln(tf)) * coalesce(idf, case when b.wide = 0 then {sets[0][2]!r} else {sets[1][2]!r} end) as w from bags b left join known k on b.wide = k.wide and b.term = k.term),
+norms as (select path, kind, block, pos, size, sqrt(sum(w * w)) as norm from weighed group by all),
+dots as (select path, kind, block, pos, size, license, template, sum(w * unit) as dot from weighed w join units u on w.wide = u.wide and w.term = u.term group by all),
+scored as (select d.* exclude (dot), round(dot / norm, 6) as score from dots d join norms using (path, kind, block, pos, size) where round(dot / norm, 6) >= {threshold}),
+best as (select path, kind, block, pos, size, min({{'less': -score, 'license': license}}) as b from scored group by all),
+inner_ as (
+  select path, block, count(*) filter (kind = 'line') as n, min(b) filter (kind = 'line') as b, min(b) filter (kind <> 'line') as wb, max(size) filter (kind <> 'line') as size from best group by path, block),
+judged as (select path, block, {outspoken.format('size', 'n')} as n, {outspoken.format('wb', 'b')} as b from inner_),
+outer_ as (select path, sum(n) filter (block >= 0) as n, min(b) filter (block >= 0) as b, min(b) filter (block < 0) as wb, max(n) filter (block < 0) as size from judged group by path),
+own as (select path, {outspoken.format('size', 'n')} as licensed, ({outspoken.format('wb', 'b')}).license as license, -({outspoken.format('wb', 'b')}).less as score from outer_),
+total as (select path, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[a-z0-9]'))) as lines from low),
 found as (
   select t.path, t.lines, coalesce(o.licensed, 0) as licensed, o.license, o.score, regexp_replace(t.path, '/?[^/]*$', '') as directory
   from total t left join own o using (path)),
-speaks as (
-  select * from found where license is not null and (2 * licensed >= lines or regexp_matches(split_part(path, '/', -1), '(?i)^(un)?licen[sc]es?([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$'))),
+speaks as (select * from found where license is not null and (2 * licensed >= lines or {name})),
 spoken as (select * from (select *, row_number() over (partition by directory order by score desc, license, path) as k from speaks) where k = 1),
 heirs as (
   select f.path, s.license, s.score, s.path as license_path, row_number() over (partition by f.path order by length(s.directory) desc) as k
