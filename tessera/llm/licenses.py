@@ -1,8 +1,9 @@
 """License scans: sparse TF-IDF cosine of lines, blocks and licence files to templates, then inheritance from the nearest
 ancestor directory.
 
-Terms are lower-cased runs of a-z and 0-9; a term weighs (1 + ln tf) * idf, with idf over the templates and the largest
-idf for terms of none. A line of a file is licensed as the template nearest to it, from a cosine of ``threshold`` on. A
+Terms are lower-cased runs of a-z and 0-9 but for STOP words; a term weighs (1 + ln tf) * idf, with idf over the templates and the largest
+idf for terms of none. A line of a file is licensed as the template nearest to it, from a cosine of ``threshold`` and two
+shared terms on. A
 block is a run of consecutive lines that hold terms, less its copyright statements; it is compared with BLOCKS (whole
 notices, whole short licences, SPDX forms) and speaks for all its lines if it comes nearer than each of them. The whole
 text of a file named as a licence is compared so too, against all its blocks. A file has the licence of its best part. A file is a licence file if its name says so, or if at least half of its lines
@@ -10,8 +11,8 @@ that hold terms are licensed; the best licence file of a directory (by score, th
 directory, and a file without a licence takes that of the nearest directory at or above it that has one.
 
 DataFrame operations only. A line or block can reach the threshold only if it holds a term of a template's prefix (its weightiest
-terms, until the rest has a norm below the threshold; everyday words go last): texts, and then parts, without any are
-dropped, which loses none. Texts that stay move once, by path, and all their parts are judged there. The templates' terms
+terms, until the rest has a norm below the threshold; numbers go last), and if its known terms may outweigh its unknown
+ones: texts without a prefix term, and then parts that cannot reach it, are dropped, which loses none. Texts that stay move once, by path, and all their parts are judged there. The templates' terms
 are broadcast; their number is fixed by TEMPLATES and BLOCKS. Directories and ancestors that hold many rows are dealt over
 parts in the joins (see hot_keys).
 
@@ -88,13 +89,17 @@ BLOCKS = (
 COPYRIGHT = r"(?:copyright[\t-\r ]*(?:\(c\)|\u00a9)?|\(c\)|\u00a9)[\t-\r ]*[0-9]{4}[^.\n]*\.?|all rights reserved\.?"
 #: Once a line that holds a term: from its first term to its end.
 WITH_TERMS = r"[a-z0-9][^\n]*"
-#: Words too common to look a line up by.
-EVERYDAY = ("a", "an", "and", "any", "at", "by", "for", "in", "is", "it", "of", "or", "that", "the", "this", "to", "under", "with", "without", "you", "0", "1", "2", "3", "4")
+#: Words that say nothing about a text; they are no terms. Numbers are, but are too common to look a text up by.
+STOP = (
+    "a all also an and any are as at be been but by can could did do does each either even for from had has have he her here his how i if in into is it its itself may me might more most must my no nor not now of off on"
+    " once one only or other our out over own same shall she should so some such than that the their them then there these they this those through to too under until up upon us very was we were what when where which while"
+    " who whom whose why will with within without would you your"
+).split()
 LICENCE_NAME = r"(?i)^(un)?licen[sc]es?([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
 
 
 def terms_of(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.lower())
+    return [t for t in re.findall("[a-z0-9]+", text.lower()) if t not in STOP]
 
 
 def vectors(templates=TEMPLATES):
@@ -114,9 +119,9 @@ def prefix_terms(rows, threshold: float) -> list[str]:
     """Terms one of which a vector must hold to reach the threshold with some template."""
     out = set()
     for i in {r[0] for r in rows}:
-        mine = sorted(((t in EVERYDAY, -w, t) for k, _, t, w in rows if k == i), reverse=True)
+        mine = sorted(((t.isdigit(), -w, t) for k, _, t, w in rows if k == i), reverse=True)
         rest = 0.0
-        for everyday, w, t in mine:  # from the last: drop what cannot reach the threshold by itself
+        for _, w, t in mine:  # from the last: drop what cannot reach the threshold by itself
             if rest + w * w < threshold * threshold * (1 - 1e-9):
                 rest += w * w
             else:
@@ -124,6 +129,16 @@ def prefix_terms(rows, threshold: float) -> list[str]:
     return sorted(out)
 
 
+def may_reach(idf: dict[str, float], unknown: float, threshold: float):
+    """Whether a part's known terms may outweigh its unknown ones enough for the threshold: a bound within the row.
+
+    The cosine squared is at most K / (K + U), with K and U the squared weights of known and unknown terms. Of a term held
+    t times, (1 + ln t)^2 <= 1.5 t bounds its part of K, and 1 its part of U from below."""
+    known = F.size(F.filter("terms", lambda t: t.isin(sorted(idf)))) * F.lit(1.5 * max(idf.values()) ** 2 * (1 + 1e-9))
+    strange = F.size(F.array_except("terms", F.array(*[F.lit(t) for t in ("", *STOP, *sorted(idf))]))) * F.lit(unknown * unknown)
+    return known >= threshold * threshold * (known + strange)
+
+
 def _literals(spark, rows, columns: str) -> DataFrame:
     return spark.sql("select * from values " + ", ".join(rows) + f" as t({columns})")
 
@@ -151,19 +166,20 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     whole = F.when(named, F.array(part("file", none, none, size(F.col("text")), spoken_of(F.col("text")))))
     each = looked.select("path", "copy", F.explode(F.concat(parts, F.coalesce(whole, F.slice(parts, 1, 0)))).alias("p")).select("path", "copy", "p.*")
     wide = (F.col("kind") != "line").cast("int")
-    each = each.withColumn("wide", wide).where(F.when(F.col("wide") == 0, F.arrays_overlap("terms", prefixes[0])).otherwise(F.arrays_overlap("terms", prefixes[1])))
+    reach = [F.arrays_overlap("terms", p) & may_reach(idf, unknown, threshold) for p, (_, idf, unknown) in zip(prefixes, sets)]
+    each = each.withColumn("wide", wide).where(F.when(F.col("wide") == 0, reach[0]).otherwise(reach[1])).withColumn("terms", F.filter("terms", lambda t: ~t.isin("", *STOP)))
 
     # from here on rows stay with their path and copy: every grouping's keys begin with these two
     keys = ["path", "copy", "kind", "block", "pos", "size", "wide"]
-    bags = each.select(*keys, F.explode("terms").alias("term")).where("term <> ''").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    bags = each.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     known = _literals(spark, [f"({i}, '{t}', {w!r}D)" for i, (_, idf, _) in enumerate(sets) for t, w in sorted(idf.items())], "wide, term, idf")
     units = _literals(spark, [f"({i}, {k}, '{n}', '{t}', {w!r}D)" for i, (rows, _, _) in enumerate(sets) for k, n, t, w in rows], "wide, template, license, term, unit")
     strange = F.when(F.col("wide") == 0, F.lit(sets[0][2])).otherwise(F.lit(sets[1][2]))
     weighed = bags.join(F.broadcast(known), ["wide", "term"], "left").withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", strange))
     # of a part: its length, and its weights of known terms, of which there are no more than the templates have
     vector = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("known"))
-    dots = vector.select(*keys, "norm", F.explode("known").alias("k")).select(*keys, "norm", "k.*").join(F.broadcast(units), ["wide", "term"]).groupBy(*keys, "license", "template").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"), F.max("norm").alias("norm"))
-    scored = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
+    dots = vector.select(*keys, "norm", F.explode("known").alias("k")).select(*keys, "norm", "k.*").join(F.broadcast(units), ["wide", "term"]).groupBy(*keys, "license", "template").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("shared"))
+    scored = dots.where("shared > 1").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
     best = scored.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("b"))
 
     # a block speaks for all its lines where it comes nearer than each of them, and a file for all its blocks
@@ -221,11 +237,11 @@ parts as materialized (
   select path, 'block', block, -1, len(list_filter(string_split(run, chr(10)), lambda x: regexp_matches(x, '[a-z0-9]'))), 1, regexp_replace(run, '{copyright}', ' ', 'g') from runs
   union all
   select path, 'file', -1, -1, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[a-z0-9]'))), 1, regexp_replace(text, '{copyright}', ' ', 'g') from low where {name}),
-terms as (select * exclude (part), unnest(regexp_extract_all(part, '[a-z0-9]+')) as term from parts),
+terms as (select * from (select * exclude (part), unnest(regexp_extract_all(part, '[a-z0-9]+')) as term from parts) where term not in ({", ".join(f"'{t}'" for t in STOP)})),
 bags as materialized (select *, count(*) as tf from terms group by all),
 weighed as (select b.*, (1 + ln(tf)) * coalesce(idf, case when b.wide = 0 then {sets[0][2]!r} else {sets[1][2]!r} end) as w from bags b left join known k on b.wide = k.wide and b.term = k.term),
 norms as (select path, kind, block, pos, size, sqrt(sum(w * w)) as norm from weighed group by all),
-dots as (select path, kind, block, pos, size, license, template, sum(w * unit) as dot from weighed w join units u on w.wide = u.wide and w.term = u.term group by all),
+dots as (select path, kind, block, pos, size, license, template, sum(w * unit) as dot from weighed w join units u on w.wide = u.wide and w.term = u.term group by all having count(*) > 1),
 scored as (select d.* exclude (dot), round(dot / norm, 6) as score from dots d join norms using (path, kind, block, pos, size) where round(dot / norm, 6) >= {threshold}),
 best as (select path, kind, block, pos, size, min({{'less': -score, 'license': license}}) as b from scored group by all),
 inner_ as (
