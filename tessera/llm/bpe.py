@@ -18,7 +18,7 @@ import base64
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, REST, TEXT, pack, partitions, trim, unpack, worker_cache
+from .common import ID, REST, TEXT, ddl, pack, partitions, trim, unpack, worker_cache
 
 #: UTF-8 bytes of text at most aimed at in one block; small inputs have a block for each shuffle partition.
 BLOCK_BYTES, LEAST_BYTES = 32 << 20, 256 << 10
@@ -258,7 +258,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     )
     words = dealt.sortWithinPartitions("block").mapInArrow(_block_words(pattern, n), "block bigint, bucket int, words binary")
     ids = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks_path, pattern), "block bigint, bucket int, ids binary, lens binary")
-    id_type, rest = base.schema[ID].dataType.simpleString(), base.schema[REST].dataType.simpleString()
+    id_type, rest = ddl(base.schema[ID].dataType), ddl(base.schema[REST].dataType)
     made = dealt.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble(pattern, n), f"{ID} {id_type}, {REST} {rest}, ids array<int>")
     return unpack(made, docs.drop(text_col), id_col, text_col, {"ids": F.col("ids")})
 
@@ -307,6 +307,6 @@ def _decoder(ranks_path: str):
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """encoded with decoded, the bytes of its ids."""
     base = pack(encoded, id_col, ids_col, ["decoded"])
-    kinds = {c: base.schema[c].dataType.simpleString() for c in (ID, TEXT, REST)}
+    kinds = {c: ddl(base.schema[c].dataType) for c in (ID, TEXT, REST)}
     made = base.mapInArrow(_decoder(ranks_path), ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", decoded binary")
     return unpack(made, encoded, id_col, ids_col, {"decoded": F.col("decoded")})

@@ -2,10 +2,11 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..storage import materialise, shared_dir
 
-__all__ = ["ID", "REST", "TEXT", "hot_keys", "in_small_batches", "materialise", "pack", "partitions", "shared_dir", "spread_join", "table", "trim", "unpack", "worker_cache"]
+__all__ = ["ID", "REST", "TEXT", "ddl", "hot_keys", "in_small_batches", "materialise", "pack", "partitions", "shared_dir", "spread_join", "table", "trim", "unpack", "worker_cache"]
 
 ID, TEXT, REST = "__id", "__text", "__rest"
 BATCH_ROWS = 1024
@@ -27,6 +28,18 @@ def in_small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def ddl(kind: DataType) -> str:
+    """A type as text for a schema, with every field name quoted."""
+    if isinstance(kind, StructType):
+        quoted = lambda n: "`" + n.replace("`", "``") + "`"
+        return "struct<" + ", ".join(f"{quoted(f.name)}: {ddl(f.dataType)}" for f in kind) + ">"
+    if isinstance(kind, ArrayType):
+        return f"array<{ddl(kind.elementType)}>"
+    if isinstance(kind, MapType):
+        return f"map<{ddl(kind.keyType)}, {ddl(kind.valueType)}>"
+    return kind.simpleString()
+
+
 def pack(docs: DataFrame, id_col: str, text_col: str, own: list[str]) -> DataFrame:
     """Id, text and the other columns as one struct, so that no name of the input meets a name of ours.
 
@@ -46,7 +59,7 @@ def unpack(df: DataFrame, like: DataFrame, id_col: str, text_col: str, own: dict
         if c.lower() in names:
             continue
         at = {id_col.lower(): ID, text_col.lower(): TEXT}.get(c.lower())
-        out.append(F.col(at).alias(c) if at else F.col(f"{REST}.`{c}`").alias(c))
+        out.append(F.col(at).alias(c) if at else F.col(REST)[c].alias(c))
     return df.select(*out, *[v.alias(k) for k, v in own.items()])
 
 

@@ -17,7 +17,7 @@ result column.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, REST, TEXT, materialise, pack, unpack, worker_cache
+from .common import ID, REST, TEXT, ddl, materialise, pack, unpack, worker_cache
 
 #: Bytes of item text in one broadcast block.
 BLOCK_BYTES = 16 << 20
@@ -125,7 +125,7 @@ def find_contamination(
     """docs with n_words, n_hit, items (ids as sorted strings) and hit_spans (word places, end exclusive)."""
     spark, own = docs.sparkSession, ["n_words", "n_hit", "items", "hit_spans"]
     base = pack(docs, id_col, text_col, own)
-    id_type, rest = base.schema[ID].dataType.simpleString(), base.schema[REST].dataType.simpleString()
+    id_type, rest = ddl(base.schema[ID].dataType), ddl(base.schema[REST].dataType)
     schema = f"{ID} {id_type}, {TEXT} string, {REST} {rest}, n_words bigint, hit_spans array<struct<a: bigint, b: bigint>>, items array<string>"
     bare = base.select(ID, F.col(TEXT).cast("binary").alias(TEXT), REST)
     parts = []
@@ -145,7 +145,7 @@ def find_contamination(
         keyed = base.withColumn(REST, F.struct(F.col(REST), F.monotonically_increasing_id().alias("row")))
         keyed = materialise(keyed, "decontaminate")
         kept = keyed.select(ID, F.col(TEXT).cast("binary").alias(TEXT), REST)
-        more = schema.replace(rest, keyed.schema[REST].dataType.simpleString())
+        more = schema.replace(rest, ddl(keyed.schema[REST].dataType))
         hits = None
         for sent in parts:
             part = kept.mapInArrow(_matcher(sent, width), more).where(F.size("hit_spans") > 0).select(F.col(f"{REST}.row").alias("row"), "hit_spans", "items")

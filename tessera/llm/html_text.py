@@ -21,7 +21,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, REST, TEXT, pack, unpack, worker_cache
+from .common import ID, REST, TEXT, ddl, pack, unpack, worker_cache
 
 #: Elements that stand in a line of text; every other element begins a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -393,7 +393,7 @@ def _extractor(weights):
 def extract_main_text(pages: DataFrame, weights: list[float] | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """The columns of pages but for the html, and text."""
     base = pack(pages, id_col, html_col, ["text"])
-    id_type, rest = base.schema[ID].dataType.simpleString(), base.schema[REST].dataType.simpleString()
+    id_type, rest = ddl(base.schema[ID].dataType), ddl(base.schema[REST].dataType)
     sent = pages.sparkSession.sparkContext.broadcast(weights or train())
     made = base.mapInArrow(_extractor(sent), f"{ID} {id_type}, {REST} {rest}, text string")
     return unpack(made, pages.drop(html_col), id_col, html_col, {"text": F.col("text")})

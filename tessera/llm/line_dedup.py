@@ -12,7 +12,7 @@ pass through, save those named as a result column.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, REST, TEXT, materialise, pack, unpack, worker_cache
+from .common import ID, REST, TEXT, ddl, materialise, pack, unpack, worker_cache
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: A hot line's rows are dealt over so many parts in the join with the frequent keys.
@@ -73,7 +73,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the text rewritten, and n_lines (before dropping) and n_dropped."""
     own = ["n_lines", "n_dropped"]
     base = pack(docs, id_col, text_col, own).withColumn("__row", F.xxhash64(TEXT))
-    id_type = base.schema[ID].dataType.simpleString()
+    id_type = ddl(base.schema[ID].dataType)
     lines = base.select(ID, "__row", F.col(TEXT).cast("binary")).mapInArrow(_exploder(max(1, min_chars)), f"id {id_type}, row bigint, key binary, places array<int>")
     lines = materialise(lines, "lines")
     # one row for each key and document first: a hot key's documents are counted in many tasks
@@ -89,6 +89,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy(F.col("id").alias("__gid"), F.col("row").alias("__grow")).agg(F.flatten(F.collect_list("places")).alias("places"))
     )
     joined = base.join(gone, base[ID].eqNullSafe(gone["__gid"]) & (base["__row"] == gone["__grow"]), "left")
-    rest = base.schema[REST].dataType.simpleString()
+    rest = ddl(base.schema[REST].dataType)
     out = joined.select(ID, F.col(TEXT).cast("binary").alias(TEXT), REST, "places").mapInArrow(_rewrite, f"{ID} {id_type}, {TEXT} string, {REST} {rest}, n_lines bigint, n_dropped bigint")
     return unpack(out, docs, id_col, text_col, {c: F.col(c) for c in own})

@@ -12,7 +12,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, REST, TEXT, in_small_batches, materialise, pack, unpack
+from .common import ID, REST, TEXT, ddl, in_small_batches, materialise, pack, unpack
 
 WIDTH = 64
 TILE = 16
@@ -168,7 +168,7 @@ def store_text_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Each text's UTF-8 bytes, with zeros up to a positive multiple of 64, are the samples of a grey image 64 wide."""
     base = pack(docs, id_col, text_col, ["n_bytes", "media", "tile"])
-    id_type, rest = base.schema[ID].dataType.simpleString(), base.schema[REST].dataType.simpleString()
+    id_type, rest = ddl(base.schema[ID].dataType), ddl(base.schema[REST].dataType)
     made = base.select(ID, F.col(TEXT).cast("binary"), REST).mapInArrow(_encoder(form), f"{ID} {id_type}, {REST} {rest}, n_bytes bigint, media binary, tile binary")
     made = unpack(made, docs.drop(text_col), id_col, text_col, {c: F.col(c) for c in ("n_bytes", "media", "tile")})
     return materialise(made, "media")
@@ -219,7 +219,7 @@ def describe_media(table: DataFrame, id_col: str = "doc_id", media_col: str = "m
     """What the decoded samples of each image show: sizes, digests, difference hash, NPY tile (read from tile_col, or made) and the
     tile's mean."""
     base = pack(table, id_col, media_col, list(OWN))
-    id_type, rest = base.schema[ID].dataType.simpleString(), base.schema[REST].dataType.simpleString()
+    id_type, rest = ddl(base.schema[ID].dataType), ddl(base.schema[REST].dataType)
     schema = f"{ID} {id_type}, {REST} {rest}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width int, height int, tile binary, tile_mean double"
     given = base.select(ID, REST, TEXT)
     if tile_col:  # beside the packed columns, as tile is a name of the result

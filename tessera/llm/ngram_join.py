@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _blocker, _from_blob, _to_blob
-from .common import ID, REST, TEXT, in_small_batches, materialise, partitions, trim, worker_cache
+from .common import ID, REST, TEXT, ddl, in_small_batches, materialise, pack, partitions, trim, unpack, worker_cache
 from ..operators.components import components
 from .signature_tree import Links
 from .signature_tree import join as tree_join
@@ -353,7 +353,7 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     in_small_batches(spark)
     text = F.col(f"`{text_col}`")
     base = docs.select(F.col(f"`{id_col}`").alias(ID), text.cast("binary").alias(TEXT), F.xxhash64(text).alias(REST))
-    id_type = base.schema[ID].dataType.simpleString()
+    id_type = ddl(base.schema[ID].dataType)
     blocks = _blocks(docs.select(F.sum(F.octet_length(text))).first()[0] or 0, n, BLOCK_BYTES, LEAST_BYTES)
     dealt = (
         base.select(F.pmod(F.xxhash64(ID, REST), F.lit(blocks)).cast("bigint").alias("block"), ID, TEXT, REST)
@@ -401,6 +401,6 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs without those that have a smaller id in their component; of rows alike in id and text one stays."""
     found = group_near_duplicates(docs, id_col, text_col, width, percent)
     kept = found.where(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id_col}`").alias("__kid"), F.col("row").alias("__krow")).distinct()
-    held = docs.withColumn("__row", F.xxhash64(F.col(f"`{text_col}`")))
-    out = held.join(kept, held[id_col].eqNullSafe(kept["__kid"]) & (held["__row"] == kept["__krow"]), "left_semi")
-    return out.dropDuplicates([id_col, "__row"]).drop("__row")
+    held = pack(docs, id_col, text_col, []).withColumn("__row", F.xxhash64(TEXT))
+    out = held.join(kept, held[ID].eqNullSafe(kept["__kid"]) & (held["__row"] == kept["__krow"]), "left_semi").dropDuplicates([ID, "__row"])
+    return unpack(out, docs, id_col, text_col, {})

@@ -22,7 +22,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, REST, TEXT, pack, unpack
+from .common import ID, REST, TEXT, ddl, pack, unpack
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -488,7 +488,7 @@ def _finder(weights):
 def find_pii(docs: DataFrame, weights: dict[str, list[float]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with base and spans: arrays of (kind, start, end), by kind and start."""
     base = pack(docs, id_col, text_col, ["base", "spans"])
-    kinds = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in (ID, TEXT, REST))
+    kinds = ", ".join(f"{c} {ddl(base.schema[c].dataType)}" for c in (ID, TEXT, REST))
     sent = docs.sparkSession.sparkContext.broadcast(weights or train())
     span = "array<struct<kind: string, start: bigint, end: bigint>>"
     made = base.mapInArrow(_finder(sent), f"{kinds}, base {span}, spans {span}")

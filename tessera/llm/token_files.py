@@ -18,7 +18,7 @@ import struct
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, materialise, partitions, worker_cache
+from .common import ddl, in_small_batches, materialise, partitions, worker_cache
 
 MAGIC = b"TSRPACK1"
 BLOCK_IDS = 4096
@@ -216,7 +216,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     in_small_batches(docs.sparkSession)
     bits = bits_for(max(Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
+    id_type = ddl(rows.schema["id"].dataType)
     dealt = rows.repartitionByRange(partitions(docs.sparkSession), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
     shards = dealt.mapInArrow(
         _packer(tokenizer_path, end_id, bits, shard_ids, f"words:{tokenizer_path}"),
@@ -247,6 +247,6 @@ def read_token_files(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     # one row for each part, of which there are as many as shuffle partitions
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     bases = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    id_type = shards.schema["docs"].dataType.elementType.simpleString()
+    id_type = ddl(shards.schema["docs"].dataType.elementType)
     placed = shards.join(F.broadcast(bases), "part").select("docs", "lens", (F.col("base") + F.col("before")).alias("start"), "image")
     return placed.mapInArrow(_reader, f"id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint").withColumnRenamed("id", id_col)

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, REST, TEXT, in_small_batches, materialise, pack, unpack, worker_cache
+from .common import ID, REST, TEXT, ddl, in_small_batches, materialise, pack, unpack, worker_cache
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hash of their id.
 FIT_ROWS = 20_000
@@ -240,6 +240,6 @@ def _scorer(lexicon):
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with score, from 0 to 1."""
     base = pack(docs, id_col, text_col, ["score"])
-    kinds = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in (ID, TEXT, REST))
+    kinds = ", ".join(f"{c} {ddl(base.schema[c].dataType)}" for c in (ID, TEXT, REST))
     made = base.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(lexicon)), f"{kinds}, score double")
     return unpack(made, docs, id_col, text_col, {"score": F.col("score")})

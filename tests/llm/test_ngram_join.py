@@ -124,3 +124,11 @@ def test_many_partitions_against_sql(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_keep_one_with_names_of_its_own(spark):
+    rows = [(1, "one two three four five six", "x", 9.5, None), (2, "one two three four five six", "y", 8.5, 1), (None, "of its own", "z", 7.5, 2), (None, "of its own", "z", 7.5, 2), (3, None, "w", 6.5, 3), (3, None, "w", 6.5, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row string, `a.b` double, n_shingles int")
+    got = ngram_join.keep_one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)

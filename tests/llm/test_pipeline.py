@@ -62,3 +62,24 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).schema.simpleString() == docs.schema.simpleString(), name
     lengths = corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).selectExpr("sum(cast(n_chars <> length(text) as int))").first()[0]
     assert lengths == 0 and re.fullmatch(r"\w+", corpus_pipeline.STAGES[0][0])
+
+
+def test_extra_columns_repeated_rows_and_null_ids(spark, tmp_path):
+    """Columns named as the operators' results come back as they were, from every stage."""
+    names = ["score", "n_lines", "n_dropped", "n_words", "n_hit", "items", "hit_spans", "__row", "a.b", "row", "component_id", "__id", "__rest", "__doc", "places"]
+    docs = small(spark, tmp_path)[:40]
+    rows = [(i, t, s, c, *[float(k) + 0.5 for k in range(len(names))]) for i, t, s, _, c in [d[:5] for d in docs]]
+    rows += [(None, "a null id", "en", 9, *[9.5] * len(names)), (None, "a null id", "en", 9, *[9.5] * len(names)), (77, None, None, None, *[None] * len(names)), rows[0]]
+    schema = "doc_id bigint, text string, lang string, n_chars bigint, " + ", ".join(f"`{n}` double" for n in names)
+    table = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, table, str(tmp_path))
+        assert got.columns == table.columns, name
+        kept = got.collect()
+        want = {(r[0], *r[4:]) for r in rows}
+        assert {(r[0], *tuple(r)[4:]) for r in kept} <= want and kept, name
+        n = sum(r[0] is None for r in kept)
+        assert n == (1 if name == "ngram_join" else 2), name
+        assert not stage(spark, table.limit(0), str(tmp_path)).count()
+    last = corpus_pipeline.encode(spark, table, str(tmp_path)).collect()
+    assert len(last) == len(rows)
