@@ -1,8 +1,9 @@
 """A cleaning pipeline over documents: each stage works on the rows its predecessor kept, read back from Parquet.
 
-A stage takes (spark, docs, sf_dir). All but the last return the columns of documents; n_chars follows the text where a
-stage rewrites it. Null and empty texts pass the filtering stages. Tables with extra columns keep them to the last stage,
-which returns doc_id, ids, n_tokens and decoded_sha256."""
+A stage takes (spark, docs, sf_dir). All but the last return the columns of documents, extra ones included whatever their
+names; n_chars follows the text where a stage rewrites it. Null and empty texts pass the filtering stages; of rows alike in
+id and text the near-duplicate stage keeps one, the other stages keep each; an empty table gives an empty table. The last
+stage returns doc_id, ids, n_tokens and decoded_sha256."""
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -13,27 +14,39 @@ from tessera.llm.common import materialise, table
 from tessera.llm.queries import held_out
 
 
+def bare(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns in one struct, so that no name of theirs meets a name of an operator's result."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("string")
+    return docs.select("doc_id", "text", packed.alias("__doc"))
+
+
+def whole(found: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of documents again, from what an operator made of bare documents."""
+    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col("__doc")[c].alias(c) for c in like.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half; the lexicon is learned from labels of these documents that are not held out."""
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return toxicity.score(docs.withColumn("score", F.lit(0.0)), lexicon).where("score < 0.5").select(*docs.columns)
+    return whole(toxicity.score(bare(docs), lexicon).where("score < 0.5"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many documents share."""
-    found = line_dedup.dedup_lines(docs)
-    return found.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    found = whole(line_dedup.dedup_lines(bare(docs)), docs)
+    return found.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else found
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of least id."""
-    return ngram_join.keep_one_of_each(docs).select(*docs.columns)
+    return ngram_join.keep_one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("n_hit = 0").select(*docs.columns)
+    found = decontaminate.find_contamination(bare(docs), table(spark, sf_dir, "benchmark"))
+    return whole(found.where("n_hit = 0"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; in a local session without one, as in tests, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
 
 
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
