@@ -12,11 +12,9 @@ pass through, save those named as a result column.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, REST, TEXT, ddl, materialise, pack, unpack, worker_cache
+from .common import ID, REST, TEXT, ddl, hot_keys, materialise, pack, spread_join, unpack, worker_cache
 
 SPACE = b" \t\n\x0b\x0c\r"
-#: A hot line's rows are dealt over so many parts in the join with the frequent keys.
-SALTS = 16
 
 
 def _exploder(min_chars: int):
@@ -77,14 +75,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = base.select(ID, "__row", F.col(TEXT).cast("binary")).mapInArrow(_exploder(max(1, min_chars)), f"id {id_type}, row bigint, key binary, places array<int>")
     lines = materialise(lines, "lines")
     # one row for each key and document first: a hot key's documents are counted in many tasks
-    frequent = (
-        lines.select("key", "id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
-        .where(F.col("n") >= min_docs)
-        .select("key", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
+    frequent = materialise(lines.select("key", "id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs), "frequent")
     gone = (
-        lines.withColumn("salt", F.pmod(F.xxhash64("id", "row"), F.lit(SALTS)).cast("int"))
-        .join(frequent, ["key", "salt"])
+        spread_join(lines, frequent.select("key", "keeper"), "key", hot_keys(frequent.select("key", "n"), "key", docs.sparkSession), ["id", "row"])
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("id").alias("__gid"), F.col("row").alias("__grow")).agg(F.flatten(F.collect_list("places")).alias("places"))
     )

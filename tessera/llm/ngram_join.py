@@ -6,8 +6,8 @@ Words are lower-cased (A-Z) runs without ASCII white space; a document's set is
 Equal sets are one class. A class can link only if enough of a prefix of its set (in hash order, longer than a prefix
 filter needs) is held by other classes; the others drop out (they are compared with nothing they could link with). The
 rest get a second prefix, in order of rarity, and classes that share a prefix token are bound into one group. No link
-crosses groups, so each group is joined by a signature tree of its own; a group too large for a task is cut into parts,
-and every pair of parts is joined. Shared tokens are found by blocks of documents: a block sends each of its distinct
+crosses groups, so each group is joined by a signature tree of its own; a group that is too large for a task, or holds
+more than a task's share of all tokens, is cut into parts, and every pair of parts is joined. Shared tokens are found by blocks of documents: a block sends each of its distinct
 tokens once to the bucket of the token, so a token of a third of all documents is one row a block.
 
 Defined cases: null and empty texts, and texts without words, have the empty set and are alone; a null id is carried as
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _blocker, _from_blob, _to_blob
-from .common import ID, REST, TEXT, ddl, in_small_batches, materialise, pack, partitions, trim, unpack, worker_cache
+from .common import ID, REST, TEXT, ddl, hot_keys, in_small_batches, materialise, pack, partitions, spread_join, trim, unpack, worker_cache
 from ..operators.components import components
 from .signature_tree import Links
 from .signature_tree import join as tree_join
@@ -380,21 +380,23 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     members = groups.join(sets, groups["node"] == sets["key"]).select("label", "key", "n", "set")
     sizes = groups.join(sets.select("key", "n"), groups["node"] == F.col("key")).groupBy("label").agg(F.sum("n").alias("tokens"))
-    cut = F.greatest(F.lit(1), F.ceil(F.col("tokens") / part_tokens)).cast("int")
-    split = members.join(sizes.select("label", cut.alias("cuts")), "label").withColumn("own", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int"))
+    # a group of a share f of all tokens is cut so that its pairs of parts are some f * n tasks of the n there are
+    cut = F.greatest(F.lit(1), F.ceil(F.col("tokens") / part_tokens), F.floor(F.sqrt(2.0 * n * F.col("tokens") / F.lit(float(max(total, 1)))))).cast("int")
+    # a group, a component and the copies of a text may each hold a third of all rows: their rows are spread in the joins
+    crowded = hot_keys(groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label", spark)
+    split = spread_join(members, sizes.select("label", cut.alias("cuts")), "label", crowded, ["key"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int"))
     # a part meets itself and every other part of its group
     met = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     dealt_groups = met.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "key", "set")
     linked = dealt_groups.repartition(n, "label", "i", "j").sortWithinPartitions("label", "i", "j", "key").mapInArrow(_join_groups(percent), "a binary, b binary")
     labels = components(linked)
 
-    least_id = found.where("key is not null").groupBy("key").agg(F.min(ID).alias("least"))
-    labelled = least_id.join(labels, least_id["key"] == labels["node"], "left").select("key", "least", F.coalesce("label", "key").alias("label"))
-    of_label = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_key = labelled.join(of_label, "label").select(F.col("key").alias("__key"), "component_id")
-    return found.join(of_key, found["key"] == of_key["__key"], "left").select(
-        F.col(ID).alias(id_col), F.col(REST).alias("row"), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col(ID)).otherwise(F.col("component_id")).alias("component_id")
-    )
+    least_id = found.where("key is not null").groupBy("key").agg(F.min(ID).alias("least"), F.count(F.lit(1)).alias("n"))
+    labelled = materialise(least_id.join(labels, least_id["key"] == labels["node"], "left").select("key", "least", "n", F.coalesce("label", "key").alias("label")), "classes")
+    of_label = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_key = spread_join(labelled.select("key", "label"), of_label.select("label", "component_id"), "label", hot_keys(of_label.select("label", "n"), "label", spark), ["key"]).select("key", "component_id")
+    out = spread_join(found.select(ID, REST, "n", "key"), of_key, "key", hot_keys(labelled.select("key", "n"), "key", spark), [ID, REST], "left")
+    return out.select(F.col(ID).alias(id_col), F.col(REST).alias("row"), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col(ID)).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -39,6 +39,7 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 #: Those of them that may end a word.
 ENDINGS = "".join(k for k in SUBSTITUTES if k != "!")
+LETTERS = {ord(k): v for k, v in SUBSTITUTES.items()}
 #: Phrases whose words are meant otherwise, besides those learned from labels.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clown car", "sore loser", "idiot proof")
 
@@ -71,9 +72,15 @@ def fold(text: str) -> str:
 
 def endings(text: str) -> list[str]:
     """Other readings of words that end in digits or signs: these too read as letters, each word folded by itself."""
-    held = worker_cache("toxicity").setdefault("toxicity:ends", re.compile(rf"[^\W\d_][^\W_]*?[{re.escape(ENDINGS)}]+(?![^\W_])"))
-    read = lambda m: m[0].translate({ord(k): v for k, v in SUBSTITUTES.items()})
-    return [fold(read(m)) for m in held.finditer(text)]
+    tails = worker_cache("toxicity").setdefault("toxicity:tails", re.compile(rf"[{re.escape(ENDINGS)}]+(?![^\W_])"))
+    out = []
+    for m in tails.finditer(text):
+        a = m.start()
+        if a and text[a - 1].isalpha():
+            while a and text[a - 1].isalnum():
+                a -= 1
+            out.append(fold(text[a : m.end()].translate(LETTERS)))
+    return out
 
 
 @dataclass
