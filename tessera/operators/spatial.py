@@ -356,27 +356,45 @@ def polygon_centroid_pairs(predictions: DataFrame, crowns: DataFrame, cell: floa
 
 def polygon_cover(tiles: DataFrame, crowns: DataFrame, cell: float, by: tuple[str, ...] = ("plot",), tile: str = "tile", ring: str = "ring") -> DataFrame:
     """Per tile: visible, the largest share of a crown's area that it shows, and crowns, how many it meets (touching counts)."""
-    window = box_of("l")
-    pairs = grid_join(tiles, crowns, cell, by).where(meets_window()(F.col(f"r.{ring}"), *window)).withColumn("share", window_shares()(F.col(f"r.{ring}"), *window))
-    seen = pairs.groupBy(*[F.col(f"l.{c}").alias(c) for c in (*by, tile)]).agg(F.max("share").alias("v"), F.count(F.lit(1)).alias("n"))
-    return tiles.join(seen, [*by, tile], "left").select(*tiles.columns, F.coalesce("v", F.lit(0.0)).alias("visible"), F.coalesce("n", F.lit(0)).alias("crowns"))
+    pairs = grid_join(tiles, crowns, cell, by).withColumn("share", seen(ring=ring)).where("share is not null")
+    best = pairs.groupBy(*[F.col(f"l.{c}").alias(c) for c in (*by, tile)]).agg(F.max("share").alias("v"), F.count(F.lit(1)).alias("n"))
+    return tiles.join(best, [*by, tile], "left").select(*tiles.columns, F.coalesce("v", F.lit(0.0)).alias("visible"), F.coalesce("n", F.lit(0)).alias("crowns"))
+
+
+def seen_shares():
+    """Of a column of rings and four of window bounds: the share of each ring's area inside its window, null where the two
+    do not meet (a touching point meets); a null ring counts as one wholly inside."""
+
+    @F.arrow_udf("double")
+    def share(rings: pa.Array, x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array) -> pa.Array:
+        import numpy as np
 
+        from tessera.functions.polygons import as_batch, meet_windows, overlap_areas, signed_areas, window_batch
 
-def meets_window():
-    """Whether a column of rings meets windows given by four columns, a touching point included."""
+        points, counts = as_batch(rings)
+        windows, left = window_batch(x1, y1, x2, y2), np.flatnonzero(rings.is_valid().to_numpy(zero_copy_only=False))
+        out, missed = np.ones(len(counts)), np.zeros(len(counts), bool)
+        held, against = (points[left], counts[left]), (windows[0][left], windows[1][left])
+        whole, shown = np.abs(signed_areas(*held)), overlap_areas(held, against)
+        out[left] = np.where(whole > 0, shown / np.where(whole > 0, whole, 1), 0.0)
+        none = np.flatnonzero(shown <= 0)
+        missed[left[none]] = ~meet_windows((held[0][none], held[1][none]), (against[0][none], against[1][none]))
+        return pa.array(out, pa.float64(), mask=missed)
 
-    @F.arrow_udf("boolean")
-    def meets(rings: pa.Array, x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array) -> pa.Array:
-        from tessera.functions.polygons import meet_windows, window_batch
+    return share
 
-        return pa.array(meet_windows(rings, window_batch(x1, y1, x2, y2)), pa.bool_())
 
-    return meets
+def seen(side: str = "r", window: str = "l", ring: str = "ring") -> Column:
+    """The share of a polygon of a pair that its window shows, null where they do not meet. A polygon whose box the window
+    holds is not sent."""
+    a, b = box_of(window), box_of(side)
+    within = (a[0] <= b[0]) & (a[1] <= b[1]) & (b[2] <= a[2]) & (b[3] <= a[3])
+    return seen_shares()(F.when(~within, F.col(f"{side}.{ring}")), *a)
 
 
 def meets_footprint(crowns: DataFrame, footprints: DataFrame, cell: float, by: tuple[str, ...] = ("plot",), ring: str = "ring") -> DataFrame:
     """Crowns that meet a footprint (a box) of their plot."""
-    met = grid_join(crowns, footprints, cell, by).where(meets_window()(F.col(f"l.{ring}"), *box_of("r")))
+    met = grid_join(crowns, footprints, cell, by).where(seen("l", "r", ring).isNotNull())
     return met.select("l.*").dropDuplicates(crowns.columns if ring not in crowns.columns else [c for c in crowns.columns if c != ring])
 
 
@@ -393,8 +411,7 @@ def label_lines(tiles: DataFrame, crowns: DataFrame, cell: float, by: tuple[str,
     """(by, tile, key, part, line): the label line of every part of a crown inside a tile that shows at least so much of it.
 
     Corners are shares of the tile to six places, from the least one round to the left."""
-    share = window_shares()(F.col(f"r.{ring}"), *box_of("l"))
-    pairs = grid_join(tiles, crowns, cell, by).withColumn("share", share).where((F.col("share") >= least) & (F.col("share") > 0))
+    pairs = grid_join(tiles, crowns, cell, by).withColumn("share", seen(ring=ring)).where((F.col("share") >= least) & (F.col("share") > 0))
     flat = pairs.select(*[F.col(f"l.{c}").alias(c) for c in (*by, tile)], F.col(f"r.{key}").alias(key), F.col(f"r.{ring}").alias("ring"), *[F.col(f"l.{c}").alias(w) for c, w in zip(BOX, ("wx1", "wy1", "wx2", "wy2"))])
     parts = clipped(flat).select(*by, tile, key, "wx1", "wy1", "wx2", "wy2", F.posexplode("clips").alias("part", "ring"))
     place = lambda v, low, high: F.round(F.least(F.greatest((v - F.col(low)) / (F.col(high) - F.col(low)), F.lit(0.0)), F.lit(1.0)), 6)
@@ -441,7 +458,7 @@ def stitched(polygons: DataFrame, labels: DataFrame, touching: DataFrame | None
         guests = guests.where("component <> home").select("component", "b", "confidence").distinct()
         more = guests.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.max("confidence").alias("d"))
         parts = parts.join(more, "component", "left").withColumns({"n": F.col("n") + F.coalesce("m", F.lit(0)), "c": F.greatest("c", "d")}).drop("m", "d")
-    return parts.withColumnsRenamed({"n": "n_frag", "c": "confidence"})
+    return materialise(parts.withColumnsRenamed({"n": "n_frag", "c": "confidence"}), "stitched")
 
 
 def polygon_hits(parts: DataFrame, again: DataFrame, cell: float, tolerance: float = 2.0, part: str = "component", seq: str = "id", ring: str = "ring") -> DataFrame:
