@@ -9,11 +9,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import argmax, clip_above, distance, doubles, energy, negative_entropy, softmax
+from ..functions.vector import argmax, clip_above, distance, doubles, energy, negative_entropy, normalise, softmax
+from ..storage import materialise
+from .blocks import block_products, matrix
 
 UNKNOWN = -1
-#: Training rows that one broadcast block of the nearest-neighbour scorer holds.
-BLOCK_ROWS = 100_000
+#: Rows that a broadcast of training vectors, or a block of a product of all with all, holds at most.
+BLOCK_ROWS = 16_384
 
 
 def logit_scores(rows: DataFrame, logits: str = "logits") -> DataFrame:
@@ -123,49 +125,46 @@ class ViM:
 def knn_score(rows: DataFrame, train: DataFrame, k: int = 5, features: str = "features", name: str = "knn") -> DataFrame:
     """rows with the negated mean distance to the k nearest training features, all of unit length.
 
-    The training side is broadcast in blocks of BLOCK_ROWS; the k least distances are kept from block to block."""
+    A training side of at most BLOCK_ROWS rows is broadcast. A larger one is met in blocks: each block gives a row its k
+    nearest, and the k least of all blocks' are kept."""
     n = train.count()
     if not 1 <= k <= n:
-        raise ValueError(f"k must be between 1 and {n}, received {k}")
-    spark, held, blocks = rows.sparkSession, [], []
-    out = rows.withColumn("__near", F.array().cast("array<double>"))
-    at = out.columns.index("__near")
+        raise ValueError(f"{k} neighbours are asked of {n} training rows")
+    unit = train.select(normalise(features).alias("f"))
+    if n <= BLOCK_ROWS:
+        held = rows.sparkSession.sparkContext.broadcast(np.array([r.f for r in unit.collect()]))  # at most BLOCK_ROWS rows
 
-    def nearest(block):
-        def run(batches):
-            import pyarrow as pa
+        def nearest(x):
+            return (-_nearest(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), held.value, k).sum(axis=1) / k,)
 
-            b = block.value
-            for batch in batches:
-                for start in range(0, batch.num_rows, 512):
-                    part = batch.slice(start, 512)
-                    x = part.column(part.schema.get_field_index(features)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                    d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * x @ b.T, 0.0))
-                    # products of nearly equal vectors cancel: the nearest are measured again
-                    near = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, : min(4 * k, d.shape[1])] if d.shape[1] <= 4 * k else np.argpartition(d, 4 * k - 1, axis=1)[:, : 4 * k]
-                    exact = np.linalg.norm(x[:, None, :] - b[near], axis=2)
-                    merged = [np.sort(np.concatenate([e, o or []]))[:k].tolist() for e, o in zip(exact, part.column(at).to_pylist())]
-                    yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(merged, pa.list_(pa.float64()))], names=part.schema.names)
+        return _scoring(rows, [features], [name], ["double"], nearest)
 
-        return run
+    # rows get numbers that a written table keeps, so that what blocks find for a row comes together again
+    numbered = materialise(rows.withColumn("__n", F.monotonically_increasing_id()), "knn")
 
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in out.schema)
+    def meet(asked, block):
+        import pyarrow as pa
 
-    def send():
-        x = np.array(held)
-        blocks.append(spark.sparkContext.broadcast(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)))
-        held.clear()
+        found = _nearest(matrix(asked, "f"), matrix(block, "f"), k) if len(asked) and len(block) else np.zeros((len(asked), 0))
+        return pa.table({"__n": asked.column("__n"), "near": pa.array(found.tolist(), pa.list_(pa.float64()))})
 
-    for (v,) in train.select(doubles(features)).toLocalIterator():
-        held.append(v)
-        if len(held) >= BLOCK_ROWS:
-            send()
-    if held:
-        send()
-    for block in blocks:
-        out = out.mapInArrow(nearest(block), schema)
-    return out.withColumn(name, -F.aggregate("__near", F.lit(0.0), lambda s, x: s + x) / F.lit(k)).drop("__near")
+    parts = block_products(numbered.select("__n", normalise(features).alias("f")), unit, meet, "__n bigint, near array<double>", BLOCK_ROWS)
+    least = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)  # k numbers a block
+    scored = parts.groupBy("__n").agg((-F.aggregate(least, F.lit(0.0), lambda s, x: s + x) / F.lit(k)).alias(name))
+    return numbered.join(scored, "__n").select(*rows.columns, name)
+
+
+def _nearest(x, b, k: int):
+    """The k least distances of each row of x to rows of b (all, if b has fewer), measured exactly among the likeliest."""
+    out = []
+    for at in range(0, len(x), 512):
+        part = x[at : at + 512]
+        d = (part * part).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * part @ b.T
+        # products of nearly equal vectors cancel: the nearest are measured again
+        few = min(4 * k, d.shape[1])
+        near = np.argpartition(d, few - 1, axis=1)[:, :few] if few < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        out.append(np.sort(np.linalg.norm(part[:, None, :] - b[near], axis=2), axis=1)[:, :k])
+    return np.concatenate(out) if out else np.zeros((0, k))
 
 
 def percentile_clip(rows: DataFrame, features: str = "features", q: float = 0.9) -> list[float]:
@@ -186,15 +185,24 @@ def to_long(rows: DataFrame, methods: list[str], keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in methods])).alias("m")).select(*keep, "m.method", "m.score")
 
 
-def osr_metrics(scores: DataFrame, by: list[str]) -> DataFrame:
+def osr_metrics(scores: DataFrame, by: list[str], stretches: int = 64) -> DataFrame:
     """Per group: auroc and oscr of score, over known (bool) and correct (bool) rows, with ties counted half.
 
-    Rows are summed by score first; windows then run over distinct scores of a group."""
+    Rows are summed by score first. A group's distinct scores are then cut into stretches of about equal size by its
+    quantiles, which need not be exact: running sums go over the scores of a stretch, and over the stretches before it."""
     steps = scores.groupBy(*by, "score").agg(
         F.sum(F.col("known").cast("bigint")).alias("k"), F.sum((~F.col("known")).cast("bigint")).alias("u"), F.sum((F.col("known") & F.col("correct")).cast("bigint")).alias("c"))
-    falling = Window.partitionBy(*by).orderBy(F.desc("score"))
-    run = steps.withColumn("cc", F.sum("c").over(falling)).withColumn("ku", F.sum("k").over(falling))
-    sums = run.groupBy(*by).agg(
+    ends = steps.groupBy(*by).agg(F.percentile_approx("score", [i / stretches for i in range(1, stretches)], 20 * stretches).alias("ends"))
+    cut = steps.join(ends.withColumnsRenamed({c: f"__{c}" for c in by}), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]).withColumn("stretch", F.size(F.filter("ends", lambda e: e > F.col("score")))).drop("ends", *[f"__{c}" for c in by])
+    # the higher scores of a group, by stretch: a row a stretch
+    falling = Window.partitionBy(*by).orderBy("stretch")
+    sums = cut.groupBy(*by, "stretch").agg(F.sum("k").alias("sk"), F.sum("c").alias("sc"))
+    before = sums.select(*by, "stretch", (F.sum("sk").over(falling) - F.col("sk")).alias("bk"), (F.sum("sc").over(falling) - F.col("sc")).alias("bc"))
+    inside = Window.partitionBy(*by, "stretch").orderBy(F.desc("score"))
+    run = cut.withColumn("cc", F.sum("c").over(inside)).withColumn("ku", F.sum("k").over(inside))
+    b = before.withColumnsRenamed({c: f"__{c}" for c in (*by, "stretch")})
+    run = run.join(b, [*[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.col("stretch") == F.col("__stretch")]).withColumns({"cc": F.col("cc") + F.col("bc"), "ku": F.col("ku") + F.col("bk")})
+    total = run.groupBy(*by).agg(
         F.sum("k").alias("nk"), F.sum("u").alias("nu"),
         # pairs of a known row above an unknown one, a tie counting half
         F.sum(F.col("u") * (F.col("ku") - F.col("k") / 2)).alias("above"),
@@ -202,7 +210,7 @@ def osr_metrics(scores: DataFrame, by: list[str]) -> DataFrame:
         F.sum(F.col("u") * (2 * F.col("cc") - F.col("c")) / 2).alias("area"),
     )
     pairs = F.col("nk") * F.col("nu")
-    return sums.select(*by, F.col("nk").alias("known_samples"), F.col("nu").alias("unknown_samples"), (F.col("above") / pairs).alias("auroc"), (F.col("area") / pairs).alias("oscr"))
+    return total.select(*by, F.col("nk").alias("known_samples"), F.col("nu").alias("unknown_samples"), (F.col("above") / pairs).alias("auroc"), (F.col("area") / pairs).alias("oscr"))
 
 
 def closed_set_metrics(rows: DataFrame, by: list[str], label: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -251,19 +259,51 @@ def centroid_shift(rows: DataFrame, first, second, domain: str = "domain", label
 
 
 def domain_auc(rows: DataFrame, domain: str = "domain", features: str = "features", id_col: str = "id", folds: int = 5) -> float:
-    """Mean area under the ROC of a logistic regression that tells the two domains apart, over stratified folds by hash."""
+    """Mean area under the ROC of a logistic regression that tells the two domains apart, over folds stratified by a shuffle."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    order = Window.partitionBy("y").orderBy(F.md5(F.col(id_col).cast("string")), F.col(id_col))
-    held = rows.select(F.col(id_col), F.col(domain).cast("double").alias("y"), array_to_vector(doubles(features)).alias("x")).withColumn("fold", F.row_number().over(order) % folds).persist()
+    from .sampling import places_in_shuffle
+
+    placed = places_in_shuffle(rows.select(F.col(id_col).alias("id"), F.col(domain).cast("double").alias("y"), doubles(features).alias("f")), ["y"], F.md5(F.col("id").cast("string")), "id")
+    held = materialise(placed.select("y", "f", ((F.col("place") - 1) % folds).alias("fold")), "folds").select("y", "fold", array_to_vector("f").alias("x"))
     model, measure = LogisticRegression(featuresCol="x", labelCol="y", maxIter=100, regParam=1e-3), BinaryClassificationEvaluator(labelCol="y")
     found = [measure.evaluate(model.fit(held.where(F.col("fold") != f)).transform(held.where(F.col("fold") == f))) for f in range(folds)]
-    held.unpersist()
     return float(np.mean(found))
 
 
+def supervised_contrastive_loss(rows: DataFrame, temperature: float = 0.1, id_col: str = "id", label: str = "label", features: str = "features") -> DataFrame:
+    """One row: anchors with a positive, and the mean loss over them, against all rows as one batch.
+
+    The rows meet themselves in blocks of BLOCK_ROWS: each block gives an anchor the maximum, the sum of exponentials under
+    it and the sum over positives, which are put together by anchor. The work grows with the square of the rows."""
+    batch = materialise(rows.select(F.monotonically_increasing_id().alias("n"), F.col(label).cast("double").alias("label"), doubles(features).alias("f")), "batch")
+
+    def meet(mine, block):
+        import pyarrow as pa
+
+        if not len(mine) or not len(block):
+            return pa.table({c: pa.array([], k) for c, k in (("n", pa.int64()), ("most", pa.float64()), ("total", pa.float64()), ("positive", pa.float64()), ("count", pa.int64()))})
+        x, b = matrix(mine, "f"), matrix(block, "f")
+        (i, y), (j, z) = ((t.column("n").to_numpy(), t.column("label").to_numpy()) for t in (mine, block))
+        out = []
+        for at in range(0, len(x), 512):
+            s = x[at : at + 512] @ b.T / temperature
+            other = i[at : at + 512, None] != j[None]
+            same = other & (y[at : at + 512, None] == z[None])
+            top = s.max(axis=1)
+            out.append((top, np.where(other, np.exp(s - top[:, None]), 0.0).sum(axis=1), np.where(same, s, 0.0).sum(axis=1), same.sum(axis=1)))
+        most, total, positive, n = (np.concatenate(v) for v in zip(*out))
+        return pa.table({"n": i, "most": most, "total": total, "positive": positive, "count": n.astype(np.int64)})
+
+    parts = block_products(batch, batch, meet, "n bigint, most double, total double, positive double, count bigint", BLOCK_ROWS)
+    most = F.max("most").over(Window.partitionBy("n"))  # a row a block
+    each = parts.withColumn("top", most).groupBy("n").agg(F.max("top").alias("most"), F.sum(F.col("total") * F.exp(F.col("most") - F.col("top"))).alias("total"), F.sum("positive").alias("positive"), F.sum("count").alias("count"))
+    loss = F.col("positive") / F.col("count") - F.col("most") - F.log(F.col("total") + 1e-12)
+    return each.where("count > 0").agg(F.count(F.lit(1)).alias("anchors"), (-F.avg(loss)).alias("loss"))
+
+
 def supervised_contrastive_loss(rows: DataFrame, temperature: float = 0.1, id_col: str = "id", label: str = "label", features: str = "features") -> DataFrame:
     """One row: anchors with a positive, and the mean loss over them, against all rows as one batch.
 

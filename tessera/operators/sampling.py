@@ -4,9 +4,14 @@ Random choices order rows by a hash of a seed and the row's key: the same sizes,
 shuffle, the same on any number of executors. Fractions are rounded half to even, or cut, as each operator says.
 """
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 DETECTION_COLUMNS = ("year", "tif", "source_path", "class", "confidence", "center_x_geo", "center_y_geo", "tile_x", "tile_y", "x1", "y1", "x2", "y2")
 
 
@@ -92,21 +97,38 @@ def source_splits(df: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataF
     return split.groupBy("source_path").agg(F.max_by("split", "year").alias("split"))
 
 
-def take_of_each(df: DataFrame, by: list[str], count: Column, seed: int, key: str) -> DataFrame:
-    """df with taken: whether the row is among the first count rows of its group in a shuffle; count may use n, the size."""
-    order = Window.partitionBy(*by).orderBy(*shuffled(seed, key))
-    ranked = df.withColumn("__rk", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    return ranked.withColumn("taken", F.col("__rk") <= count).drop("__rk", "n")
+def places_in_shuffle(df: DataFrame, by: list[str], mixed: Column, key: str) -> DataFrame:
+    """df with place, from 1 in its group in order of mixed (hexadecimal text) and key, and size, that of its group.
+
+    A group is cut by the first digits of mixed: places are ranks within a cut, and the rows of the cuts before it."""
+    cut = df.withColumn("__mixed", mixed).withColumn("__cut", F.substring("__mixed", 1, CUT_DIGITS))
+    sums = cut.groupBy(*by, "__cut").agg(F.count(F.lit(1)).alias("__n"))  # so many rows a group at most
+    upto = Window.partitionBy(*by).orderBy("__cut")
+    before = sums.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__cut").alias("__of"), (F.sum("__n").over(upto) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(*by)).alias("size"))
+    ranked = cut.withColumn("__rank", F.row_number().over(Window.partitionBy(*by, "__cut").orderBy("__mixed", key)))
+    joined = ranked.join(before, [*[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.col("__cut") == F.col("__of")])
+    return joined.select(*df.columns, (F.col("__before") + F.col("__rank")).alias("place"), "size")
+
+
+#: Digits that cut a group in a shuffle: 256 cuts.
+CUT_DIGITS = 2
+
+
+def take_of_each(df: DataFrame, by: list[str], count: Callable[[Column], Column], seed: int, key: str) -> DataFrame:
+    """df with taken: whether the row is among the first count(size of its group) rows of its group in a shuffle."""
+    mixed, *_ = shuffled(seed, key)
+    placed = places_in_shuffle(df, by, mixed, key)
+    return placed.select(*df.columns, (F.col("place") <= count(F.col("size"))).alias("taken"))
 
 
 def cap_groups(df: DataFrame, cap: int | None, seed: int = 42, key: str = "id", by: tuple[str, ...] = ("class", "year")) -> DataFrame:
     """At most cap rows of each group (None: all)."""
-    return df if cap is None else take_of_each(df, list(by), F.lit(cap), seed, key).where("taken").drop("taken")
+    return df if cap is None else take_of_each(df, list(by), lambda n: F.lit(cap), seed, key).where("taken").drop("taken")
 
 
 def validation_split(df: DataFrame, fraction: float = 0.15, seed: int = 42, key: str = "id", by: tuple[str, ...] = ("class", "year")) -> DataFrame:
     """df with validation: in each group, max(1, round half even (n * fraction)) rows."""
-    return take_of_each(df, list(by), F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(fraction)).cast("int")), seed, key).withColumnRenamed("taken", "validation")
+    return take_of_each(df, list(by), lambda n: F.greatest(F.lit(1), F.bround(n * F.lit(fraction)).cast("int")), seed, key).withColumnRenamed("taken", "validation")
 
 
 def build_manifest(detections: DataFrame, known: list[str], unknown: list[str], *, known_confidence: float = 0.45, unknown_confidence: float = 0.55, distance: float = 3.0, test_fraction: float = 0.2, train_cap: int | None = 300, unknown_cap: int | None = 200, seed: int = 42, key: str = "id") -> DataFrame:
@@ -141,11 +163,11 @@ def role(manifest: DataFrame, which: str, known: list[str], years=None, classes=
     elif which in ("test_known", "test_unknown"):
         df = df.where(F.col("split") == ("test" if which == "test_known" else which))
     else:
-        raise ValueError(f"unsupported role: {which}")
+        raise ValueError(f"a role is train, validation, test_known or test_unknown, not {which}")
     place = F.array_position(F.array(*[F.lit(c) for c in known]), F.col("class"))
     out = df.withColumn("label", F.lit(-1) if which == "test_unknown" else F.when(place > 0, place - 1).cast("int"))
     if not out.limit(1).count():
-        raise ValueError(f"no records for role={which}, years={years}")
+        raise ValueError(f"the role {which} has no rows in the years {years}")
     return out
 
 
@@ -154,19 +176,36 @@ def class_weights(df: DataFrame, by: str = "class") -> DataFrame:
     return df.join(df.groupBy(by).agg((1 / F.count(F.lit(1))).alias("weight")), by)
 
 
-def weighted_sample(df: DataFrame, draws: int, seed: int = 42, weight: str = "weight", key: str = "id", parts: int = 64) -> DataFrame:
+def weighted_sample(df: DataFrame, draws: int, seed: int = 42, weight: str = "weight", key: str = "id") -> DataFrame:
     """draws rows with replacement, in proportion to weight: (draw, columns). Draw i falls at a point that its hash decides
-    on the line of cumulative weights; rows are dealt by hash into parts, whose totals place them on the line."""
+    on the line of the weights, laid end to end in order of key.
+
+    The line is cut into the range partitions of one written table, whose totals place them on it; rows and draws of a
+    partition are then merged in order."""
     spark = df.sparkSession
-    dealt = df.where(F.col(weight) > 0).withColumn("__part", F.pmod(F.xxhash64(key), F.lit(parts)))
-    totals = dealt.groupBy("__part").agg(F.sum(weight).alias("t"))  # a row a part
-    line = totals.select("__part", (F.sum("t").over(Window.orderBy("__part")) - F.col("t")).alias("base"), F.sum("t").over(Window.orderBy("__part")).alias("top"))
-    whole = line.agg(F.max("top").alias("whole"))
-    points = spark.range(draws).select(F.col("id").alias("draw"), (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "id")), 1, 12), 16, 10).cast("double") / float(16**12)).alias("u"))
-    fell = points.crossJoin(F.broadcast(whole)).withColumn("at", F.col("u") * F.col("whole")).join(F.broadcast(line), (F.col("at") >= F.col("base")) & (F.col("at") < F.col("top"))).select("draw", "at", "__part")
-    placed = dealt.join(F.broadcast(line), "__part").withColumn("end", F.col("base") + F.sum(weight).over(Window.partitionBy("__part").orderBy(key))).withColumn("start", F.col("end") - F.col(weight))
-    both = placed.select("__part", F.col("start").alias("p"), F.lit(None).cast("bigint").alias("draw"), F.struct(*df.columns).alias("row")).unionByName(fell.select("__part", F.col("at").alias("p"), "draw", F.lit(None).cast(df.select(F.struct(*df.columns).alias("r")).schema["r"].dataType).alias("row")))
-    under = F.last("row", ignorenulls=True).over(Window.partitionBy("__part").orderBy("p", F.col("draw").isNotNull(), "draw"))
+    dealt = df.where(F.col(weight) > 0).repartitionByRange(F.col(key)).sortWithinPartitions(key)
+    placed = materialise(dealt.select(F.struct(*df.columns).alias("row"), F.col(weight).cast("double").alias("w"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "line")
+    totals = placed.groupBy("part").agg(F.sum("w").alias("t"))  # a row a partition
+    tops = [(r.part, r.t) for r in totals.orderBy("part").collect()]
+    ends, whole = [], 0.0
+    for _, t in tops:
+        whole += t
+        ends.append(whole)
+    bases = spark.createDataFrame([(p, e - t) for (p, t), e in zip(tops, ends)], "part int, base double")
+
+    @F.arrow_udf("int")
+    def part_of(points: pa.Array) -> pa.Array:
+        import numpy as np
+
+        found = np.minimum(np.searchsorted(np.array(ends), points.to_numpy(zero_copy_only=False), "right"), len(tops) - 1)
+        return pa.array(np.array([p for p, _ in tops], np.int32)[found], pa.int32())
+
+    share = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "id")), 1, 12), 16, 10).cast("double") / float(16**12)
+    fell = spark.range(draws if tops else 0).select(F.col("id").alias("draw"), (share * F.lit(whole)).alias("p")).withColumn("part", part_of("p"))
+    run = F.sum("w").over(Window.partitionBy("part").orderBy("at")) - F.col("w")
+    rows = placed.join(F.broadcast(bases), "part").select("part", (F.col("base") + run).alias("p"), F.lit(None).cast("bigint").alias("draw"), "row")
+    both = rows.unionByName(fell.select("part", "p", "draw", F.lit(None).cast(placed.schema["row"].dataType).alias("row")))
+    under = F.last("row", ignorenulls=True).over(Window.partitionBy("part").orderBy("p", F.col("draw").isNotNull(), "draw"))
     return both.withColumn("row", under).where("draw is not null").select("draw", "row.*")
 
 

@@ -79,10 +79,9 @@ def class_weights(spark, sf_dir):
 
 
 def weighted_sample(spark, sf_dir):
-    """Ten thousand draws by class weight: shares of the classes, rounded coarsely."""
+    """Ten thousand draws by class weight: how often each row was drawn."""
     df = sampling.class_weights(detections(spark, sf_dir).select("id", "class"))
-    drawn = sampling.weighted_sample(df, 10_000)
-    return drawn.groupBy("class").agg(F.round(F.count(F.lit(1)) / 10_000, 1).alias("share"))
+    return sampling.weighted_sample(df, 10_000).groupBy("id", "class").agg(F.count(F.lit(1)).alias("draws"))
 
 
 def example_sample(spark, sf_dir):
@@ -262,7 +261,13 @@ with {DET}, t as (select * from det where id % 5 <> 0 and year in (1995, 1996, 1
 r as (select *, row_number() over (partition by class, year order by {HASH(42, 'id')}) <= greatest(1, cast(round_even(count(*) over (partition by class, year) * cast(0.15 as double), 0) as int)) as validation from t)
 select id, class, year, cast(list_position(['URGENT', 'HIGH', 'MEDIUM', 'NOT SPECIFIED', 'LOW'], class) - 1 as int) as label from r where not validation""",
     "class_weights": f"with {DET} select id, class, round(1 / count(*) over (partition by class), 10) + 0.0 as weight from det",
-    "weighted_sample": f"with {DET} select distinct class, cast(0.2 as double) as share from det",
+    "weighted_sample": f"""
+with {DET},
+w as (select id, class, 1 / count(*) over (partition by class) as w from det),
+line as materialized (select id, class, sum(w) over (order by id) - w as low, sum(w) over () as whole from w),
+drawn as (select i, cast('0x' || substring(md5('42|' || i), 1, 12) as bigint) / pow(16, 12) as u from range(10000) as r(i)),
+fell as (select u * (select max(whole) from line) as p from drawn)
+select l.id, l.class, count(*) as draws from fell asof join line l on fell.p >= l.low group by all""",
     "example_sample": f"with {DET} select id, class from det where class = 'HIGH' order by {HASH(42, 'id')} limit 4",
     "site_positive_counts": f"with {TILES} select site, count(*) as positives from tiles where is_positive = 1 and year = 2023 group by site",
     "ablation_holdout": f"with {HOLDOUT} select site from held",
