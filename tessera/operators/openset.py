@@ -395,6 +395,34 @@ def apply_head(rows: DataFrame, head: np.ndarray, bias: np.ndarray, features: st
     return rows.withColumn("logits", logits).withColumn("predicted", argmax("logits"))
 
 
+@dataclass(frozen=True)
+class Classifier:
+    """A linear head with what must fit the data it is used on: its classes in order, and the years it was trained on."""
+
+    known_classes: tuple[str, ...]
+    train_years: tuple[int, ...]
+    head: np.ndarray
+    bias: np.ndarray
+
+    def save(self, spark, path: str) -> None:
+        """One row of Parquet, so that a half-written file is never met."""
+        row = (list(self.known_classes), list(self.train_years), np.asarray(self.head, float).tolist(), np.asarray(self.bias, float).tolist())
+        spark.createDataFrame([row], "known_classes array<string>, train_years array<int>, head array<array<double>>, bias array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str, known_classes: list[str] | tuple[str, ...] | None = None) -> "Classifier":
+        """A saved head; other classes than those asked for, or another order of them, are an error."""
+        r = spark.read.parquet(path).first()
+        if known_classes is not None and tuple(r.known_classes) != tuple(known_classes):
+            raise ValueError(f"the saved head tells {list(r.known_classes)} apart, not {list(known_classes)}")
+        return cls(tuple(r.known_classes), tuple(r.train_years), np.array(r["head"]), np.array(r.bias))
+
+
+def epoch_losses(batches: DataFrame, by: list[str], loss: str = "loss", size: str = "n") -> DataFrame:
+    """Per group the mean loss of its batches, weighted by their sizes."""
+    return batches.groupBy(*by).agg((F.sum(F.col(loss) * F.col(size)) / F.sum(size)).alias("loss"))
+
+
 def lookalikes(manifest: DataFrame, pairs: list[tuple[str, str, float]], examples: int = 4, seed: int = 42) -> DataFrame:
     """Example crops of unknown classes and of the known classes they look like: (unknown, known, auroc, side, columns)."""
     from .sampling import shuffled

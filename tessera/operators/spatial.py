@@ -407,15 +407,16 @@ def centroid_inside(crowns: DataFrame, footprints: DataFrame, by: tuple[str, ...
     return held.where((x > F.col("f_minx")) & (x < F.col("f_maxx")) & (y > F.col("f_miny")) & (y < F.col("f_maxy"))).select(*crowns.columns)
 
 
-def label_lines(tiles: DataFrame, crowns: DataFrame, cell: float, by: tuple[str, ...] = ("plot",), tile: str = "tile", key: str = "id", least: float = 0.5, ring: str = "ring") -> DataFrame:
+def label_lines(tiles: DataFrame, crowns: DataFrame, cell: float, by: tuple[str, ...] = ("plot",), tile: str = "tile", key: str = "id", least: float = 0.5, ring: str = "ring", down: bool = False) -> DataFrame:
     """(by, tile, key, part, line): the label line of every part of a crown inside a tile that shows at least so much of it.
 
-    Corners are shares of the tile to six places, from the least one round to the left."""
+    Corners are shares of the tile to six places, from the least one round to the left; with down, shares of its height
+    count from its top, as the rows of an image that looks north do."""
     pairs = grid_join(tiles, crowns, cell, by).withColumn("share", seen(ring=ring)).where((F.col("share") >= least) & (F.col("share") > 0))
     flat = pairs.select(*[F.col(f"l.{c}").alias(c) for c in (*by, tile)], F.col(f"r.{key}").alias(key), F.col(f"r.{ring}").alias("ring"), *[F.col(f"l.{c}").alias(w) for c, w in zip(BOX, ("wx1", "wy1", "wx2", "wy2"))])
     parts = clipped(flat).select(*by, tile, key, "wx1", "wy1", "wx2", "wy2", F.posexplode("clips").alias("part", "ring"))
     place = lambda v, low, high: F.round(F.least(F.greatest((v - F.col(low)) / (F.col(high) - F.col(low)), F.lit(0.0)), F.lit(1.0)), 6)
-    points = F.transform("ring", lambda p: F.struct(place(p["x"], "wx1", "wx2").alias("x"), place(p["y"], "wy1", "wy2").alias("y")))
+    points = F.transform("ring", lambda p: F.struct(place(p["x"], "wx1", "wx2").alias("x"), (place(p["y"], "wy2", "wy1") if down else place(p["y"], "wy1", "wy2")).alias("y")))
     turned = parts.withColumn("p", F.array_distinct(points)).withColumn("k", F.array_position("p", F.array_min("p")).cast("int"))
     rotated = F.concat(F.expr("slice(p, k, size(p))"), F.expr("slice(p, 1, k - 1)"))
     line = F.concat(F.lit("0 "), F.array_join(F.transform(rotated, lambda p: F.format_string("%.6f %.6f", p["x"], p["y"])), " "))

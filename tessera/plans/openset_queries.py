@@ -120,7 +120,7 @@ def early_stopping(spark, sf_dir):
 def epoch_loss(spark, sf_dir):
     """Mean loss of an epoch over batches, weighted by their sizes."""
     e = table(spark, sf_dir, "events").select(F.dayofmonth("ts").alias("epoch"), F.col("value").cast("double").alias("loss"), (F.col("user_id") % 32 + 1).alias("n"))
-    return rounded(e.groupBy("epoch").agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss")))
+    return rounded(openset.epoch_losses(e, ["epoch"]))
 
 
 QUERIES = {

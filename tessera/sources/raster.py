@@ -177,10 +177,6 @@ def read_tiles(files: DataFrame, windows: DataFrame) -> DataFrame:
     listed = windows.groupBy("path").agg(F.collect_list(F.struct("row_off", "col_off", "width", "height")).alias("w"))  # of one raster
 
     def run(batches):
-        import pyarrow as pa
-
-        kinds = [pa.string(), *[pa.int32()] * 5, pa.string(), pa.binary(), pa.float64(), pa.float64()]
-        names = ["path", "row_off", "col_off", "width", "height", "count", "dtype", "pixels", "masked", "valid"]
         for batch in batches:
             for path, content, ws in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 try:
@@ -188,18 +184,106 @@ def read_tiles(files: DataFrame, windows: DataFrame) -> DataFrame:
                 except (ValueError, KeyError, struct.error):
                     continue
                 for w in ws:
-                    width, height = min(w["width"], t.width - w["col_off"]), min(w["height"], t.height - w["row_off"])
-                    if width <= 0 or height <= 0:
-                        continue
-                    a = t.read(w["col_off"], w["row_off"], width, height)
-                    masked = (a == t.nodata).all(axis=0).mean() if t.nodata is not None else (a[3] == 0).mean() if t.count >= 4 else 0.0
-                    valid = (a[3] > 0).mean() if t.count >= 4 else 1.0
-                    row = [path, w["row_off"], w["col_off"], width, height, t.count, a.dtype.str, a.tobytes(), float(masked), float(valid)]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+                    if made := tile_row(t, path, w["col_off"], w["row_off"], w["width"], w["height"]):
+                        yield _tile_batch(made)
 
     return files.join(listed, "path").select("path", "content", "w").mapInArrow(run, TILE)
 
 
+def open_mapped(path: str):
+    """A file that all executors see, mapped: only the parts that are looked at are read."""
+    import mmap
+    from urllib.parse import unquote, urlparse
+
+    name = unquote(urlparse(path).path) if path.startswith("file:") else path
+    with open(name, "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+def tile_row(t: Tiff, path: str, col: int, row: int, width: int, height: int) -> list | None:
+    """A row of a tile table: the window cut at the raster; None if nothing is left."""
+    width, height = min(width, t.width - col), min(height, t.height - row)
+    if width <= 0 or height <= 0:
+        return None
+    a = t.read(col, row, width, height)
+    masked = (a == t.nodata).all(axis=0).mean() if t.nodata is not None else (a[3] == 0).mean() if t.count >= 4 else 0.0
+    valid = (a[3] > 0).mean() if t.count >= 4 else 1.0
+    return [path, row, col, width, height, t.count, a.dtype.str, a.tobytes(), float(masked), float(valid)]
+
+
+_TILE_NAMES = ["path", "row_off", "col_off", "width", "height", "count", "dtype", "pixels", "masked", "valid"]
+
+
+def _tile_batch(row: list):
+    import pyarrow as pa
+
+    kinds = [pa.string(), *[pa.int32()] * 5, pa.string(), pa.binary(), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=_TILE_NAMES)
+
+
+def read_windows(windows: DataFrame, opener=open_mapped) -> DataFrame:
+    """The tile table of windows (path, row_off, col_off, width, height), each read by the task that holds the window: neither
+    files nor pixels are shuffled, and of a file only the blocks that its windows meet are read. opener gives bytes by
+    slices of a path. Files that are no rasters give no tiles."""
+    n = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        path, t = None, None
+        for batch in batches:
+            for p, row, col, width, height in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if p != path:
+                    path, t = p, None
+                    try:
+                        t = Tiff(opener(p))
+                    except (OSError, ValueError, KeyError, struct.error):
+                        continue
+                if t is not None and (made := tile_row(t, p, col, row, width, height)):
+                    yield _tile_batch(made)
+
+    # strips of rows of a raster go to tasks of their own, so that a large raster is no hot key
+    dealt = windows.select("path", *[F.col(c).cast("int") for c in ("row_off", "col_off", "width", "height")]).repartition(n, "path", "row_off").sortWithinPartitions("path", "row_off", "col_off")
+    return dealt.mapInArrow(run, TILE)
+
+
+def mapped_metadata(paths: DataFrame, opener=open_mapped) -> DataFrame:
+    """A row per readable raster of paths (path), of whose files only the headers are read."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    t = Tiff(opener(path))
+                except (OSError, ValueError, KeyError, struct.error):
+                    continue
+                row = [path, t.width, t.height, t.count, t.dtype.newbyteorder("=").str, t.transform, t.crs, t.nodata]
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64()), pa.string(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["path", "width", "height", "count", "dtype", "transform", "crs", "nodata"])
+
+    return paths.select("path").mapInArrow(run, META)
+
+
+def list_rasters(spark: SparkSession, sources: list[tuple[int | None, str]], glob: str = GLOB) -> DataFrame:
+    """(year, path) of the TIFF files below each source, found recursively, in order of year and path."""
+    out = None
+    for year, directory in sources:
+        # the content is not read where it is not asked for
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(directory).select(F.lit(year).cast("int").alias("year"), "path")
+        out = found if out is None else out.unionByName(found)
+    return out.orderBy("year", "path")
+
+
+def world_window(transform="transform", col="col_off", row="row_off", width="width", height="height"):
+    """struct(minx, miny, maxx, maxy) of a window in the raster's coordinates."""
+    from ..functions.geometry import to_world
+
+    c, r = F.col(col), F.col(row)
+    corners = [to_world(transform, x, y) for x in (c, c + F.col(width)) for y in (r, r + F.col(height))]
+    xs, ys = [p["x"] for p in corners], [p["y"] for p in corners]
+    return F.struct(F.least(*xs).alias("minx"), F.least(*ys).alias("miny"), F.greatest(*xs).alias("maxx"), F.greatest(*ys).alias("maxy"))
+
+
 def with_data(tiles: DataFrame, most_masked: float = 0.30) -> DataFrame:
     return tiles.where(F.col("masked") <= most_masked)
 
@@ -221,21 +305,28 @@ def is_dark(rgb, mean: float = 8.0, black: float = 0.9) -> bool:
 def masked_crop(array, ring, background: int = 124):
     """The box of a ring (in pixels) of an image (bands, height, width) as RGB bytes, pixels whose centre lies outside the
     ring set to the background; None without three bands or pixels."""
-    from ..functions.polygons import inside
+    from ..functions.polygons import are_inside
 
-    if array.shape[0] < 3:
-        return None
-    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
-    x1, y1 = max(0, int(np.floor(min(xs)))), max(0, int(np.floor(min(ys))))
-    x2, y2 = min(array.shape[2], int(np.ceil(max(xs)))), min(array.shape[1], int(np.ceil(max(ys))))
-    if x2 <= x1 or y2 <= y1:
+    corners = np.asarray(ring, float)
+    (x1, y1), (x2, y2) = np.maximum(np.floor(corners.min(axis=0)), 0).astype(int), np.minimum(np.ceil(corners.max(axis=0)), array.shape[:0:-1]).astype(int)
+    if array.shape[0] < 3 or x2 <= x1 or y2 <= y1:
         return None
-    ring = [tuple(p) for p in ring]
-    mask = np.array([[inside((x + 0.5, y + 0.5), ring) for x in range(x1, x2)] for y in range(y1, y2)])
+    centres = np.stack(np.meshgrid(np.arange(x1, x2) + 0.5, np.arange(y1, y2) + 0.5), axis=-1)
+    mask = are_inside(centres.reshape(-1, 2), corners).reshape(centres.shape[:2])
     rgb = array[:3, y1:y2, x1:x2].transpose(1, 2, 0).clip(0, 255).astype(np.uint8)
     return np.where(mask[:, :, None], rgb, np.uint8(background))
 
 
+def read_masked(t: Tiff, ring, background: int = 124):
+    """masked_crop of a raster, of which only the box of the ring is read."""
+    corners = np.asarray(ring, float)
+    low = np.maximum(np.floor(corners.min(axis=0)), 0).astype(int)
+    high = np.minimum(np.ceil(corners.max(axis=0)), (t.width, t.height)).astype(int)
+    if (high <= low).any():
+        return None
+    return masked_crop(t.read(int(low[0]), int(low[1]), int(high[0] - low[0]), int(high[1] - low[1])), corners - low, background)
+
+
 def to_png(rgb) -> bytes:
     """A PNG of (height, width, 3) or (height, width) bytes."""
     a = np.ascontiguousarray(rgb, np.uint8)

@@ -72,3 +72,79 @@ def encode_tiles(tiles: DataFrame, pixels: int | None = None) -> DataFrame:
         return pd.Series(out)
 
     return tiles.withColumn("image", png("pixels", "dtype", "count", "height", "width"))
+
+
+def write_files(df: DataFrame, folder: str, name: str = "name", data: str = "data") -> None:
+    """A file of each row's bytes (or text) below a folder that all executors see. A file is written beside its place and
+    moved there whole, so that a task that is lost or tried again leaves no torn file."""
+
+    def run(rows):
+        import os
+        import uuid
+
+        for r in rows:
+            path = os.path.join(folder, r[0])
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with open(part, "wb") as f:
+                f.write(r[1].encode() if isinstance(r[1], str) else bytes(r[1]))
+            os.replace(part, path)
+
+    df.select(name, data).foreachPartition(run)
+
+
+def crop_paths(manifest: DataFrame) -> DataFrame:
+    """manifest with relative_path: split, class and name of each crop."""
+    from ..functions.text import crop_name
+
+    return manifest.withColumn("relative_path", F.concat_ws("/", "split", "class", crop_name("class", "year", "source_path", "number")))
+
+
+def state_files(records: DataFrame, path: str = "path") -> DataFrame:
+    """(name, data): the state of each finished raster, records holding positives and negatives as arrays of structs."""
+    from ..functions.text import state_name
+
+    return records.select(state_name(path).alias("name"), F.to_json(F.struct("positives", "negatives")).alias("data"))
+
+
+def write_gpkg(df: DataFrame, folder: str, epsg: int, ring: str = "ring", table: str = "layer") -> None:
+    """A GeoPackage for each partition of df, whose rows are its polygons with their other columns as attributes."""
+    rest = [c for c in df.columns if c != ring]
+    kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "float": "REAL"}
+    columns = [(c, kinds.get(t, "TEXT")) for c, t in df.dtypes if c != ring]
+
+    def run(rows):
+        import itertools
+        import os
+        import sqlite3
+        import struct
+        import uuid
+
+        rows = iter(rows)
+        first = next(rows, None)
+        if first is None:
+            return
+        con = sqlite3.connect(":memory:")
+        con.executescript(
+            "pragma application_id = 1196444487; pragma user_version = 10300;"
+            "create table gpkg_spatial_ref_sys (srs_name text, srs_id integer primary key, organization text, organization_coordsys_id integer, definition text, description text);"
+            "create table gpkg_contents (table_name text primary key, data_type text, identifier text, description text, last_change text, min_x double, min_y double, max_x double, max_y double, srs_id integer);"
+            "create table gpkg_geometry_columns (table_name text, column_name text, geometry_type_name text, srs_id integer, z tinyint, m tinyint);"
+        )
+        con.execute("insert into gpkg_spatial_ref_sys values (?, ?, 'EPSG', ?, 'undefined', null)", (f"EPSG:{epsg}", epsg, epsg))
+        con.execute("insert into gpkg_contents values (?, 'features', ?, '', strftime('%Y-%m-%dT%H:%M:%fZ', 'now'), null, null, null, null, ?)", (table, table, epsg))
+        con.execute("insert into gpkg_geometry_columns values (?, 'geom', 'POLYGON', ?, 0, 0)", (table, epsg))
+        con.execute(f'create table "{table}" (fid integer primary key, geom blob' + "".join(f', "{c}" {k}' for c, k in columns) + ")")
+        for r in itertools.chain([first], rows):
+            points = [(p["x"], p["y"]) for p in r[ring]]
+            points.append(points[0])
+            wkb = struct.pack("<BIII", 1, 3, 1, len(points)) + struct.pack(f"<{2 * len(points)}d", *(v for p in points for v in p))
+            con.execute(f'insert into "{table}" values (null, ?' + ", ?" * len(rest) + ")", (b"GP\0\1" + struct.pack("<i", epsg) + wkb, *(r[c] for c in rest)))
+        con.commit()
+        os.makedirs(folder, exist_ok=True)
+        name = os.path.join(folder, f"part-{uuid.uuid4().hex}.gpkg")
+        with open(name + ".part", "wb") as f:
+            f.write(con.serialize())
+        os.replace(name + ".part", name)
+
+    df.foreachPartition(run)
