@@ -172,7 +172,7 @@ def polygon_overlap(spark, sf_dir):
     p = polygons(spark, sf_dir)
     b = geometry.bounds("ring")
     p = p.select("p_partkey", (F.col("p_partkey") % 20).alias("plot"), "ring", *[b[c].alias(c) for c in spatial.BOX])
-    pairs = spatial.polygon_iou_pairs(p, p, CELL, by=("plot",)).where("l.p_partkey < r.p_partkey")
+    pairs = spatial.polygon_iou_pairs(p, p, CELL, by=("plot",)).where("l.p_partkey < r.p_partkey and iou > 1e-9")
     return rounded(pairs.select(F.col("l.p_partkey").alias("a"), F.col("r.p_partkey").alias("b"), "iou"))
 
 
@@ -430,6 +430,14 @@ e as (
 select p_partkey, count(*) filter (crosses) % 2 = 1 as inside,
   round(case when count(*) filter (crosses) % 2 = 1 then 0.0 else min(sqrt(pow(px - x - t * (x2 - x), 2) + pow(py - y - t * (y2 - y), 2))) end, 4) + 0.0 as distance
 from e group by p_partkey""",
+    "polygon_overlap": f"""
+with {HEXES},
+held as materialized (select p_partkey, list({{'x': x, 'y': y}} order by k) as r, min(x) as minx, min(y) as miny, max(x) as maxx, max(y) as maxy from c group by p_partkey),
+met as materialized (
+  select l.p_partkey as a, o.p_partkey as b, l.r as r, o.r as q, {AREA_OF('l.r')} + {AREA_OF('o.r')} as both_areas
+  from held l join held o on l.p_partkey < o.p_partkey and l.p_partkey % 20 = o.p_partkey % 20 and l.minx <= o.maxx and o.minx <= l.maxx and l.miny <= o.maxy and o.miny <= l.maxy),
+shared as (select a, b, {AREA_OF('r')} as s, both_areas from {halved('met', BY_EDGES[:6])} where len(r) > 2)
+select a, b, round(s / (both_areas - s), 6) + 0.0 as iou from shared where s / (both_areas - s) > 1e-9""",
     "polygon_shapes": f"""
 with {STRIPS},
 pairs as (select p_partkey, r, r[i] as a, r[j].x - r[i].x as dx, r[j].y - r[i].y as dy from strips, range(1, 6) as gi(i), range(1, 6) as gj(j) where i <> j),
