@@ -52,7 +52,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and n_tokens of byte-level BPE, and the digest of the bytes that the ids decode to."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN), ranks)
+    # written between the two, so that a task has one Python worker at a time
+    encoded = materialise(bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN), "encoded")
+    found = bpe.decode(encoded, ranks)
     return found.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
